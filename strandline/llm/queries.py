@@ -5,6 +5,7 @@ from __future__ import annotations
 from strandline.llm.language import op5_language
 from strandline.llm.lm import op2_lm
 from strandline.llm.mixing import OP1_SQL, op1_mixing
+from strandline.llm.neighbours import op10_neighbours
 from strandline.llm.packing import op7_packing
 from strandline.llm.pii import op6_pii
 from strandline.llm.quality import op8_quality
@@ -14,7 +15,7 @@ from strandline.llm.toxicity import op3_toxicity
 
 
 def queries() -> dict:
-    return {"op1_mixing": op1_mixing, "op2_lm": op2_lm, "op3_toxicity": op3_toxicity, "op4_simhash": op4_simhash, "op5_language": op5_language, "op6_pii": op6_pii, "op7_packing": op7_packing, "op8_quality": op8_quality, "op9_quality_rules": op9_quality_rules}
+    return {"op1_mixing": op1_mixing, "op10_neighbours": op10_neighbours, "op2_lm": op2_lm, "op3_toxicity": op3_toxicity, "op4_simhash": op4_simhash, "op5_language": op5_language, "op6_pii": op6_pii, "op7_packing": op7_packing, "op8_quality": op8_quality, "op9_quality_rules": op9_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
