@@ -70,8 +70,8 @@ def targets(sources: DataFrame, scratch: Scratch, weights=WEIGHTS, share: float
     return weighed.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, columns: list[str], id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", seed: str = ":mix", weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """``columns`` of every document with size, source_size, target and taken.
+def mix(docs: DataFrame, columns: list[str], id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", seed: str = ":mix", weights=WEIGHTS, share: float = SHARE, most: int = MOST, prefix: str = "") -> DataFrame:
+    """``columns`` of every document with size, source_size, target and taken, named after ``prefix``.
 
     ``taken`` is the size times the whole epochs, once more for a document of the
     fractional epoch: documents in key order whose middle word lies within the rest of
@@ -87,34 +87,34 @@ def mix(docs: DataFrame, columns: list[str], id_column: str = "doc_id", text_col
     keyed = scratch.keep(keyed.withColumn("__slice", F.floor((1 - F.exp(-F.col("__key"))) * SLICES).cast("int")), "keyed")
     slices = scratch.keep(keyed.groupBy("__source", "__slice").agg(F.sum("__size").alias("words")), "slices")
     target = scratch.keep(targets(slices.groupBy(F.col("__source").alias("source")).agg(F.sum("words").alias("source_size")), scratch, weights, share, most), "targets")
-    same = lambda a, b: a.eqNullSafe(b)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     target = target.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
     # at most SLICES rows a source meet in this window
     order = Window.partitionBy("__source").orderBy("__slice")
     run = slices.withColumn("upto", F.sum("words").over(order)).withColumn("before", F.col("upto") - F.col("words"))
-    run = run.withColumnRenamed("__source", "s").withColumnRenamed("__slice", "k")
-    edged = run.join(target, same(F.col("s"), F.col("source"))).where("before < rest and rest < upto")
-    edge = edged.select(F.col("source").alias("e"), F.col("k").alias("edge"), F.col("before").alias("edge_before"))
-    plan = scratch.keep(target.join(edge, same(F.col("source"), F.col("e")), "left").drop("e"), "plan")
-    joined = keyed.join(plan, same(keyed["__source"], plan["source"]))
-    base = F.col("epochs") * F.col("__size")
+    edged = run.join(target, F.col("__source").eqNullSafe(F.col("source"))).where("before < rest and rest < upto")
+    edge = edged.select(F.col("source").alias("e"), F.col("__slice").alias("edge"), F.col("before").alias("edge_before"))
+    plan = target.join(edge, F.col("source").eqNullSafe(F.col("e")), "left").drop("e")
+    plan = scratch.keep(plan.select(*[F.col(c).alias(f"__plan_{c}") for c in plan.columns]), "plan")
+    joined = keyed.join(plan, F.col("__source").eqNullSafe(F.col("__plan_source")))
+    base, edge, rest = F.col("__plan_epochs") * F.col("__size"), F.col("__plan_edge"), F.col("__plan_rest")
     # below the edge all are taken; a source without edge takes all of the fraction or nothing
-    inside = F.when(F.col("edge").isNull(), F.col("rest") >= F.col("source_size")).otherwise(F.col("__slice") < F.col("edge"))
-    clear = joined.where(F.col("edge").isNull() | (F.col("__slice") != F.col("edge"))).withColumn("__taken", base + F.when(inside, F.col("__size")).otherwise(0))
-    on_edge = joined.where(F.col("__slice") == F.col("edge"))
-    sorted_ = Window.partitionBy("source", "__slice").orderBy("__key", F.col("__id").asc_nulls_last(), "__row").rowsBetween(Window.unboundedPreceding, 0)
-    middle = F.col("edge_before") + F.sum("__size").over(sorted_) - F.col("__size") / 2
-    cut = on_edge.withColumn("__taken", base + F.when(middle <= F.col("rest"), F.col("__size")).otherwise(0))
-    out = [*columns, F.col("__size").alias("size"), "source_size", "target", F.col("__taken").cast("long").alias("taken")]
+    inside = F.when(edge.isNull(), rest >= F.col("__plan_source_size")).otherwise(F.col("__slice") < edge)
+    clear = joined.where(edge.isNull() | (F.col("__slice") != edge)).withColumn("__taken", base + F.when(inside, F.col("__size")).otherwise(0))
+    on_edge = joined.where(F.col("__slice") == edge)
+    sorted_ = Window.partitionBy("__plan_source", "__slice").orderBy("__key", F.col("__id").asc_nulls_last(), "__row").rowsBetween(Window.unboundedPreceding, 0)
+    middle = F.col("__plan_edge_before") + F.sum("__size").over(sorted_) - F.col("__size") / 2
+    cut = on_edge.withColumn("__taken", base + F.when(middle <= rest, F.col("__size")).otherwise(0))
+    added = {"size": "__size", "source_size": "__plan_source_size", "target": "__plan_target", "taken": "__taken"}
+    out = [*columns, *[(F.col(c).cast("long") if k == "taken" else F.col(c)).alias(prefix + k) for k, c in added.items()]]
     return clear.select(*out).unionByName(cut.select(*out))
 
 
 def mixed_documents(docs: DataFrame, text_column: str = "text", **settings) -> DataFrame:
     """The documents of the mix with their own columns, a row for each time that the mix takes them."""
     names = docs.columns
-    taken = mix(docs.select(*names), names, text_column=text_column, **settings)
-    times = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int")
+    taken = mix(docs, names, text_column=text_column, prefix="__mix_", **settings)
+    times = F.when(F.col("__mix_size") > 0, F.col("__mix_taken") / F.col("__mix_size")).otherwise(0).cast("int")
     return taken.where(times > 0).withColumn("__times", F.explode(F.array_repeat(F.lit(1), times))).select(*names)
 
 
