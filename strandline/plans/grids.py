@@ -13,9 +13,9 @@ def cscan(spark, d):
     return cells(spark, d).groupBy("x", "y").agg(F.round(F.max(F.abs("v")), 4).alias("peak"))
 
 
-@query("p07_roi_crop", f"WITH {V} SELECT x, y, z, round(v, 4) AS v FROM vol WHERE x BETWEEN 2 AND 6 AND y >= 2 AND y < 5 AND z < 32")
+@query("p07_roi_crop", f"WITH {V} SELECT x, y, z, round(v, 6) AS v FROM vol WHERE x BETWEEN 2 AND 6 AND y >= 2 AND y < 5 AND z < 32")
 def roi(spark, d):
-    return cells(spark, d).where("x between 2 and 6 and y >= 2 and y < 5 and z < 32").select("x", "y", "z", F.round("v", 4).alias("v"))
+    return cells(spark, d).where("x between 2 and 6 and y >= 2 and y < 5 and z < 32").select("x", "y", "z", F.round("v", 6).alias("v"))
 
 
 @query("p09_weak_trace_drop", f"WITH {V}, p AS (SELECT x, y, max(abs(v)) AS p FROM vol GROUP BY x, y) SELECT x, y, round(p / (SELECT max(p) FROM p), 6) AS share FROM p WHERE p >= 0.97 * (SELECT max(p) FROM p)")

@@ -107,11 +107,11 @@ def quantiles(spark, d):
 
 
 @query("k11_xcorr_delay", f"""WITH {S}, c AS (SELECT b.user_id, a.i - b.i AS lag, sum(a.v * b.w) AS c FROM s a JOIN (SELECT user_id, i, v - 50 AS w FROM s) b ON a.user_id = b.user_id AND a.i - b.i BETWEEN -5 AND 5 GROUP BY ALL)
- SELECT user_id, arg_min(lag, (-round(c, 3), lag))::INT AS lag, round(max(c), 3) AS peak FROM c GROUP BY user_id""")
+ SELECT user_id, arg_min(lag, (-round(c, 4), lag))::INT AS lag, round(max(c), 4) AS peak FROM c GROUP BY user_id""")
 def xcorr(spark, d):
     s = series(spark, d).withColumn("w", F.col("v") - 50)
     c = ser.xcorr(s, "user_id", "v", "w", 5)
-    return c.groupBy("user_id").agg(F.min_by("lag", F.struct(-F.round("c", 3), F.col("lag"))).alias("lag"), F.round(F.max("c"), 3).alias("peak"))
+    return c.groupBy("user_id").agg(F.min_by("lag", F.struct(-F.round("c", 4), F.col("lag"))).alias("lag"), F.round(F.max("c"), 4).alias("peak"))
 
 
 @query("k09_linear_resample", f"""WITH {S}, p AS (SELECT user_id, t, v, lead(t) OVER w AS t1, lead(v) OVER w AS v1 FROM s WINDOW w AS (PARTITION BY user_id ORDER BY t)),
@@ -172,11 +172,11 @@ def descriptive(spark, d):
     return series(spark, d).groupBy("user_id").agg(F.round(F.avg("v"), 6).alias("mean"), F.round(F.median("v"), 6).alias("median"), F.round(F.stddev_pop("v"), 6).alias("sd_pop"), F.round(F.stddev_samp("v"), 6).alias("sd_samp"))
 
 
-@query("k12_variogram_lags", f"WITH {S} SELECT a.user_id, b.i - a.i AS lag, count(*) AS n, round(avg((a.v - b.v) * (a.v - b.v)) / 2, 4) AS gamma FROM s a JOIN s b ON a.user_id = b.user_id AND b.i - a.i BETWEEN 1 AND 5 GROUP BY ALL")
+@query("k12_variogram_lags", f"WITH {S} SELECT a.user_id, b.i - a.i AS lag, count(*) AS n, floor(sum(round((a.v - b.v) * (a.v - b.v) * 10000)::BIGINT) / (2e4 * count(*)) * 1e6 + 0.5) / 1e6 AS gamma FROM s a JOIN s b ON a.user_id = b.user_id AND b.i - a.i BETWEEN 1 AND 5 GROUP BY ALL")
 def variogram(spark, d):
     s = series(spark, d).select("user_id", "i", "v")
     ahead = s.select("user_id", "i", F.col("v").alias("w")).withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(5)))).select("user_id", (F.col("i") - F.col("lag")).alias("i"), "w", F.col("lag").cast("long").alias("lag"))
-    return s.join(ahead, ["user_id", "i"]).groupBy("user_id", "lag").agg(F.count("*").alias("n"), F.round(F.avg(F.pow(F.col("v") - F.col("w"), 2)) / 2, 4).alias("gamma"))
+    return s.join(ahead, ["user_id", "i"]).groupBy("user_id", "lag").agg(F.count("*").alias("n"), (F.floor(F.sum(F.round(F.pow(F.col("v") - F.col("w"), 2) * 10000).cast("long")) / (2e4 * F.count("*")) * 1e6 + 0.5) / 1e6).alias("gamma"))
 
 
 @query("w15_peak_per_trace", f"WITH {T} SELECT vec_id, arg_min(z, (-abs(v), z))::INT AS z, round(max(abs(v)), 6) AS peak FROM tr GROUP BY vec_id")

@@ -127,7 +127,7 @@ def appearance(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.min("event_id").alias("first_seen"))
 
 
-@query("a15_mean_power", "WITH p AS (SELECT vec_id, label, list_sum(list_transform(embedding, x -> x::DOUBLE * x::DOUBLE)) AS p FROM embeddings) SELECT label, round(avg(p), 6) AS power, count(*) AS n FROM p GROUP BY label")
+@query("a15_mean_power", "WITH p AS (SELECT vec_id, label, list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) AS p FROM embeddings) SELECT label, round(avg(p), 6) AS power, count(*) AS n FROM p GROUP BY label")
 def mean_power(spark, d):
     p = F.aggregate(F.transform("embedding", lambda x: x.cast("double")), F.lit(0.0), lambda a, x: a + x * x)
     return table(spark, d, "embeddings").groupBy("label").agg(F.round(F.avg(p), 6).alias("power"), F.count("*").alias("n"))
