@@ -1 +1,64 @@
-"""Queries."""
+"""Queries that write a table in another format and read it again: the rows must come back unchanged."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from strandline.plans.registry import query, table
+from strandline.sources import readers
+from strandline.sources.shared import new_folder
+
+
+@query("s05_csv_projection", "SELECT round(epoch_us(ts) / 1e6, 6) AS t, value AS sync FROM events")
+def csv_projection(spark, d):
+    from strandline.plans.registry import micros
+
+    path = new_folder(spark, "csv")
+    table(spark, d, "events").select((micros(F.col("ts")) / 1e6).alias("Time_s"), F.col("value").alias("sync"), "event_type").write.option("header", True).csv(path)
+    return readers.logger_csv(spark, path, ["sync"])
+
+
+@query("s07_csv_metadata", "SELECT c_custkey, c_name, c_acctbal FROM customer")
+def csv_metadata(spark, d):
+    path, c = new_folder(spark, "meta"), table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
+    c.write.option("header", True).csv(path)
+    return spark.read.schema(c.schema).option("header", True).csv(path)
+
+
+@query("s08_traces_by_set", "SELECT vec_id, label, len(embedding)::INT AS n, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 5) AS total FROM embeddings WHERE label = 3")
+def traces_by_set(spark, d):
+    """One row a trace, a folder for each label: the filter on the label reads one folder."""
+    path = new_folder(spark, "traces")
+    table(spark, d, "embeddings").select("vec_id", "label", "embedding").write.partitionBy("label").parquet(path)
+    one = spark.read.parquet(path).where("label = 3")
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return one.select("vec_id", F.col("label").cast("int").alias("label"), F.size("embedding").alias("n"), F.round(total, 5).alias("total"))
+
+
+@query("s09_text_dump", "SELECT p_partkey::DOUBLE AS k, p_size::DOUBLE AS size FROM part")
+def dump(spark, d):
+    path = new_folder(spark, "dump")
+    table(spark, d, "part").select(F.concat_ws(" ", "p_partkey", "p_size")).write.text(path)
+    return readers.text_dump(spark, path).select(F.col("v")[0].alias("k"), F.col("v")[1].alias("size"))
+
+
+@query("s10_json_parameters", "SELECT n_name AS name, n_nationkey::DOUBLE AS magnitude, 'm' AS unit FROM nation")
+def json_parameters(spark, d):
+    path = new_folder(spark, "json")
+    entry = F.map_from_arrays(F.array("n_name"), F.array(F.struct(F.col("n_nationkey").cast("double").alias("magnitude"), F.lit("m").alias("unit"))))
+    table(spark, d, "nation").repartition(5, "n_nationkey").select(F.to_json(entry)).write.text(path)
+    text = spark.read.text(path)
+    return text.select(F.explode(F.from_json("value", "map<string,struct<magnitude:double,unit:string>>")).alias("name", "p")).select("name", "p.magnitude", "p.unit")
+
+
+@query("s12_codec_dump", "SELECT item_id, octet_length(encode(text)) AS bytes FROM benchmark")
+def codec_dump(spark, d):
+    path = new_folder(spark, "codec")
+    table(spark, d, "benchmark").select("item_id", F.encode("text", "UTF-8").alias("payload")).write.parquet(path)
+    return spark.read.parquet(path).select("item_id", F.octet_length("payload").cast("long").alias("bytes"))
+
+
+@query("s16_serpentine_files", """SELECT n AS number, (n - 1) // 8 AS "column", CASE WHEN (n - 1) // 8 % 2 = 1 THEN 7 - (n - 1) % 8 ELSE (n - 1) % 8 END AS row FROM (SELECT unnest(range(1, 65)) AS n)""")
+def serpentine_files(spark, d):
+    files = spark.range(1, 80).select(F.format_string("tile (%d).bin", F.col("id")).alias("path"))
+    return readers.grid_files(files, readers.serpentine(spark, 8, 8)).select("number", "column", "row")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
-MODULES = ("annotate", "signals", "grids", "tables", "formulas", "kernels", "streams", "files", "extensions")
+MODULES = ("annotate", "signals", "grids", "tables", "formulas", "projections", "kernels", "streams", "files", "extensions")
 
 
 def query(name: str, sql: str | None = None):
