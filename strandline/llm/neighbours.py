@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from strandline.llm.common import Scratch, table
 
-#: Vectors that the tree is fit on at most, children of a node, rows that a leaf is meant to hold.
-SAMPLE, BRANCHES, LEAF = 20_000, 8, 512
+#: Vectors that the tree is fit on at most, children of a node, and the share of the sample that a leaf holds at most.
+#: Leaves are shares of the table, so a query's visits do not grow with it; a large leaf is searched in blocks.
+SAMPLE, BRANCHES, LEAF = 20_000, 8, 1 / 32
 #: Queries that the number of leaf visits is calibrated on at most, and the recall to reach on them.
 CALIBRATE, RECALL = 200, 0.96
 #: Vectors and queries of one cell of the search at most.
@@ -178,12 +179,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_column: str =
     result = "query_id long, rank int, vec_id long, score double"
     if not sizes:
         return spark.createDataFrame([], result)
-    d, n = sizes[0]["d"], sizes[0]["count"]
+    d = sizes[0]["d"]
     usable = usable.where(F.size("vector") == d)
     asked = _usable(queries, id_column, vector_column).where(F.size("vector") == d).groupBy("vec_id").agg(F.min("vector").alias("vector"))
     by_hash = (F.xxhash64("vec_id"), "vec_id")
     sample = np.array([r["vector"] for r in usable.orderBy(*by_hash).limit(SAMPLE).collect()])
-    tree = Tree.fit(_unit(sample), max(16, int(LEAF * len(sample) / n)))
+    tree = Tree.fit(_unit(sample), max(16, int(LEAF * len(sample))))
 
     def leafed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
