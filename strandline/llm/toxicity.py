@@ -62,7 +62,7 @@ def _fit(features: np.ndarray, rows: list[np.ndarray], values: list[np.ndarray],
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(owner, scale * look[places], minlength=n) + look_b, -30, 30)))
         off = balance * (p - y)
-        new = look - step * (np.bincount(places, scale * off[owner], minlength=len(features)) + penalty / len(features) * look)
+        new = look - step * (np.bincount(places, scale * off[owner], minlength=len(features)) + penalty / max(1, len(features)) * look)
         new_b = look_b - step * off.sum()
         after = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
         look, look_b = new + (momentum - 1) / after * (new - w), new_b + (momentum - 1) / after * (new_b - b)
