@@ -36,7 +36,7 @@ def raw_int16(spark: SparkSession, path: str, suffix: str = "*") -> DataFrame:
 
 def sidecar(spark: SparkSession, path: str, suffix: str = "*.txt") -> DataFrame:
     """(series, start, end, duration) of text files whose third and fourth lines name start and end after a colon."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", suffix).text(path).select(F.regexp_extract(F.input_file_name(), STEM, 1).alias("series"), F.split("value", "\n").alias("line"))
+    files = spark.read.option("pathGlobFilter", suffix).text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), STEM, 1).alias("series"), F.split("value", "\n").alias("line"))
     number = lambda n: F.trim(F.regexp_extract(F.get("line", F.lit(n)), ":(.*)", 1)).cast("double")
     return files.select("series", number(2).alias("start"), number(3).alias("end")).withColumn("duration", F.round(F.col("end") - F.col("start"), 9))
 
@@ -79,14 +79,14 @@ def two_row_header(names: list[str], units: list[str], drop: int, last: str) ->
 
 def parameters(spark: SparkSession, path: str) -> DataFrame:
     """(name, magnitude, unit) of JSON files whose keys hold both."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     entries = F.from_json("value", "map<string,struct<magnitude:double,unit:string>>")
     return text.select(F.explode(entries).alias("name", "p")).select("name", "p.magnitude", "p.unit")
 
 
 def xml_tags(spark: SparkSession, path: str, tags: list[str]) -> DataFrame:
     """The first text of each tag, one row a file."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(*[F.regexp_extract("value", f"<{t}[^>]*>([^<]*)</{t}>", 1).alias(t) for t in tags])
 
 
