@@ -150,13 +150,13 @@ def mosaic(spark, d):
 
 
 @query("k36_mosaic_weighted", """WITH t AS (SELECT l_suppkey % 4 AS tx, l_linenumber AS ty, l_partkey % 8 AS px, l_orderkey % 6 AS py, avg(l_quantity) AS v FROM lineitem GROUP BY ALL),
- w AS (SELECT tx * 5 + px AS gx, ty * 3 + py AS gy, v, least(1, (px + 1) / 3.0, (8 - px) / 3.0) * least(1, (py + 1) / 3.0, (6 - py) / 3.0) AS w FROM t) SELECT gx, gy, round(sum(v * w) / sum(w), 3) AS v FROM w GROUP BY gx, gy""")
+ w AS (SELECT tx * 5 + px AS gx, ty * 3 + py AS gy, v, least(1, (px + 1) / 3.0, (8 - px) / 3.0) * least(1, (py + 1) / 3.0, (6 - py) / 3.0) AS w FROM t) SELECT gx, gy, round(sum(v * w) / sum(w), 6) AS v FROM w GROUP BY gx, gy""")
 def mosaic_weighted(spark, d):
     li = table(spark, d, "lineitem")
     t = li.groupBy((F.col("l_suppkey") % 4).alias("tx"), F.col("l_linenumber").alias("ty"), (F.col("l_partkey") % 8).alias("px"), (F.col("l_orderkey") % 6).alias("py")).agg(F.avg("l_quantity").alias("v"))
     ramp = lambda c, n: F.least(F.lit(1.0), (F.col(c) + 1) / 3.0, (n - F.col(c)) / 3.0)
     w = t.withColumn("w", ramp("px", 8) * ramp("py", 6))
-    return w.groupBy((F.col("tx") * 5 + F.col("px")).alias("gx"), (F.col("ty") * 3 + F.col("py")).alias("gy")).agg(F.round(F.sum(F.col("v") * F.col("w")) / F.sum("w"), 3).alias("v"))
+    return w.groupBy((F.col("tx") * 5 + F.col("px")).alias("gx"), (F.col("ty") * 3 + F.col("py")).alias("gy")).agg(F.round(F.sum(F.col("v") * F.col("w")) / F.sum("w"), 6).alias("v"))
 
 
 @query("w09_area_mean", f"""WITH {HALVES} SELECT a.x, a.y, round(sum(b.r * CASE WHEN a.x = b.x AND a.y = b.y THEN 4 WHEN a.x = b.x OR a.y = b.y THEN 2 ELSE 1 END) / 16, 5) AS v FROM h a JOIN h b ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 GROUP BY a.x, a.y""")
