@@ -80,10 +80,10 @@ def fitted_kriging(spark, d):
     "k14_variogram_features",
     f"""WITH s AS (SELECT p_brand, p_partkey % {GRID} AS x, p_partkey // {GRID} % {GRID} AS y, avg(p_retailprice) AS v FROM part WHERE p_partkey % 3 = 0 GROUP BY ALL),
   p AS (SELECT a.p_brand, pow(a.x - b.x, 2) + pow(a.y - b.y, 2) AS lag2, pow(a.v - b.v, 2) AS sq FROM s a JOIN s b ON a.p_brand = b.p_brand AND (a.x, a.y) < (b.x, b.y) WHERE pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 16)
-  SELECT p_brand, lag2::BIGINT AS lag2, round(count(*) / 5050, 6) AS share, round(avg(sq) / 2, 3) AS g FROM p GROUP BY ALL UNION ALL SELECT p_brand, 0, round(count(*) / 5050, 6), 0 FROM s GROUP BY p_brand""",
+  SELECT p_brand, lag2::BIGINT AS lag2, round(count(*) / 5050, 6) AS share, round(sqrt(avg(sq) / 2), 6) AS spread FROM p GROUP BY ALL UNION ALL SELECT p_brand, 0, round(count(*) / 5050, 6), 0 FROM s GROUP BY p_brand""",
 )
 def variogram_features(spark, d):
-    """For each squared lag within reach the share of its pairs among those of a full batch, and the raw variogram.
+    """For each squared lag within reach the share of its pairs among those of a full batch, and the root of the raw variogram.
 
     Samples are dealt to the offsets of a half plane, so pairs meet by equal keys.
     """
@@ -93,8 +93,8 @@ def variogram_features(spark, d):
     offsets = [(a, b) for a in reach for b in reach if (a, b) > (0, 0) and a * a + b * b <= REACH**2]
     dealt = s.select("p_brand", "x", "y", F.col("v").alias("w"), F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in offsets])).alias("o"))
     dealt = dealt.select("p_brand", (F.col("x") + F.col("o.a")).alias("x"), (F.col("y") + F.col("o.b")).alias("y"), "w", (F.col("o.a") ** 2 + F.col("o.b") ** 2).cast("long").alias("lag2"))
-    pairs = s.join(dealt, ["p_brand", "x", "y"]).groupBy("p_brand", "lag2").agg(F.round(F.count("*") / full, 6).alias("share"), F.round(F.avg(F.pow(F.col("v") - F.col("w"), F.lit(2))) / 2, 3).alias("g"))
-    return pairs.unionByName(s.groupBy("p_brand").agg(F.round(F.count("*") / full, 6).alias("share")).select("p_brand", F.lit(0).cast("long").alias("lag2"), "share", F.lit(0.0).alias("g")))
+    pairs = s.join(dealt, ["p_brand", "x", "y"]).groupBy("p_brand", "lag2").agg(F.round(F.count("*") / full, 6).alias("share"), F.round(F.sqrt(F.avg(F.pow(F.col("v") - F.col("w"), F.lit(2))) / 2), 6).alias("spread"))
+    return pairs.unionByName(s.groupBy("p_brand").agg(F.round(F.count("*") / full, 6).alias("share")).select("p_brand", F.lit(0).cast("long").alias("lag2"), "share", F.lit(0.0).alias("spread")))
 
 
 @query("k45_batch_interpolation")
@@ -125,7 +125,7 @@ LEVELS = f"""{V}, l AS (SELECT x, y, z, v, floor((v - min(v) OVER p) / (max(v) O
  m AS (SELECT z, floor(sum(x) / count(*))::BIGINT AS cx FROM l JOIN t USING (z) WHERE level > cut GROUP BY z), o AS (SELECT cx FROM m GROUP BY cx ORDER BY count(*) DESC, cx LIMIT 1)"""
 
 
-@query("k38_centring", f"WITH {LEVELS} SELECT x + 5 - cx AS x, y, z, round(v, 4) AS v FROM l, o WHERE x + 5 - cx BETWEEN 0 AND 9")
+@query("k38_centring", f"WITH {LEVELS} SELECT x + 5 - cx AS x, y, z, round(v, 6) AS v FROM l, o WHERE x + 5 - cx BETWEEN 0 AND 9")
 def centring(spark, d):
     """Frames moved sideways so that the column most of their bright parts centre on comes to the middle; what leaves the frame goes."""
     frame = Window.partitionBy("z")
@@ -140,7 +140,7 @@ def centring(spark, d):
     # one row: the most frequent column, the least of them on a tie
     most = centres.groupBy("cx").count().orderBy(F.desc("count"), "cx").limit(1).select("cx")
     moved = levels.crossJoin(F.broadcast(most)).withColumn("x", F.col("x") + 5 - F.col("cx"))
-    return moved.where("x BETWEEN 0 AND 9").select("x", "y", "z", F.round("v", 4).alias("v"))
+    return moved.where("x BETWEEN 0 AND 9").select("x", "y", "z", F.round("v", 6).alias("v"))
 
 
 DEFECTS = ("c_nationkey AS map", "CAST(c_acctbal AS DOUBLE) / 1000 AS w", "c_custkey % 97 / 7e0 AS x", "c_custkey % 89 / 5e0 - 2 AS z")
