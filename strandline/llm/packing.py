@@ -25,7 +25,8 @@ class Encoder:
 
     A text is cut before each single space between two other characters, where the
     vocabulary's pre-tokenizer cuts too, so the ids of the pieces are the ids of the
-    text. Pieces that were seen before come from a dictionary of bounded size.
+    text. Pieces that were seen before come from a dictionary of bounded size. A text that
+    holds one of the vocabulary's added tokens goes to the tokenizer whole.
     """
 
     #: Runs that the byte-level pre-tokenizer keeps together, for texts of Latin letters.
@@ -38,7 +39,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.model, self.remembered = self.tokenizer.model, remembered
         self.pieces: dict[str, bytes] = {"": b""}
         self.runs: dict[str, bytes] = {}
@@ -47,6 +49,8 @@ class Encoder:
         self.letters = {b: b for b in printable} | {b: 256 + i for i, b in enumerate(others)}
 
     def text(self, text: str) -> bytes:
+        if self.added and self.added.search(text):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         known = self.pieces
         if self.TWO_SPACES.search(text):
             parts = self.BETWEEN.split(text)

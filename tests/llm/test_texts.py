@@ -187,6 +187,13 @@ def test_packing_round_trip(spark, docs):
     assert packing.pack(docs.where("false"), PATH).count() == 0
 
 
+def test_packing_takes_added_tokens(spark):
+    marker = "<|endoftext|>"
+    rows = list(enumerate(["end of page " + marker + " next", marker, marker * 3, "a" + marker + "  b\n" + marker, "<|endoftext |>", " <|endoftext|", SENTENCE + marker]))
+    assert TOKENIZER.encode(rows[1][1], add_special_tokens=False).ids == [50256]
+    check_pieces(packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect(), rows)
+
+
 def test_packing_of_the_small_table(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
     check_pieces(packing.pack(docs, PATH).collect(), [tuple(r) for r in docs.collect()])
