@@ -43,9 +43,16 @@ def _valid_ssn(match: Column) -> Column:
     return ~match.rlike("^(?:000|666|9)|-00-|-0000$")
 
 
+def _trimmed_iban(match: Column) -> Column:
+    """The match without as many groups at its end as leave a valid number, the longest first; the whole match where none does."""
+    groups = F.split(match, " ")
+    shorter = F.transform(F.sequence(F.size(groups), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(groups, 1, n), " "))
+    return F.coalesce(F.get(F.filter(shorter, lambda c: F.coalesce(_valid_iban(c), F.lit(False))), F.lit(0)), match)
+
+
 @dataclass(frozen=True)
 class Kind:
-    """``pattern`` proposes, ``valid`` confirms; ``score`` is raised by a context word within the characters before the span."""
+    """``pattern`` proposes, ``trim`` shortens, ``valid`` confirms; ``score`` is raised by a context word within the characters before or after the span."""
 
     name: str
     pattern: str
@@ -53,7 +60,18 @@ class Kind:
     score: float
     context: str
     base: bool
+    trim: object = None
+
 
+#: Characters of an IBAN by country (a fixed register).
+IBAN = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}
+#: A number of the country's length, whatever follows it.
+_FIXED = "(?:" + "|".join(rf"(?:{names.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (rf"\x20?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, names in IBAN.items()) + ")(?![A-Za-z0-9])"
+#: Others may end in groups that are not theirs, but never run into the next number.
+_OTHER = rf"[A-Z]{{2}}[0-9]{{2}}(?:(?!\x20{_FIXED})\x20?[A-Z0-9]{{4}}){{2,7}}+(?:(?!\x20{_FIXED})\x20?[A-Z0-9]{{1,3}})?+(?![A-Za-z0-9])"
 
 #: Possessive repeats and the look behind keep the leftmost match and make each search linear: a run of
 #: characters that may start a match is tried once, or again right where the match before ended (\G).
@@ -62,11 +80,11 @@ KINDS = (
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", _valid_ip, 0.6, "address|host|server|login|ip", True),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", _valid_card, 0.8, "card|visa|credit|payment|karte|carte|tarjeta", True),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", _valid_phone, 0.6, "phone|call|tel|mobile|fax", True),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])", _valid_iban, 0.8, "iban|account|konto|compte|cuenta", False),
+    Kind("iban", rf"(?<![A-Za-z0-9])(?:{_FIXED}|{_OTHER})", _valid_iban, 0.8, "iban|account|konto|compte|cuenta", False, _trimmed_iban),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", _valid_ssn, 0.3, "ssn|social security", False),
     Kind("local_phone", r"(?<![0-9+])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])", lambda m: F.lit(True), 0.3, "phone|call|tel|mobile|fax", False),
 )
-#: What a context word adds, how far before the span it is looked for, and the least score of a span. Base spans reach it alone.
+#: What a context word adds, how far before and after the span it is looked for, and the least score of a span. Base spans reach it alone.
 GAIN, REACH, LEAST = 0.3, 40, 0.5
 SPAN = "struct<kind:string,start:int,end:int,score:double>"
 
@@ -78,12 +96,14 @@ def _spans(text: Column, kind: Kind, matches: Column) -> Column:
 
     def step(acc: Column, pair: Column) -> Column:
         start = acc["at"] + F.char_length(pair["gap"])
-        end = start + F.char_length(pair["match"])
-        near = F.lower(F.right(pair["gap"], F.lit(REACH))).rlike(kind.context)
+        match = kind.trim(pair["match"]) if kind.trim else pair["match"]
+        end = start + F.char_length(match)
+        before = F.substring(text, F.greatest(start - REACH, F.lit(0)) + 1, F.least(start, F.lit(REACH)))
+        near = F.lower(before).rlike(kind.context) | F.lower(F.substring(text, end + 1, F.lit(REACH))).rlike(kind.context)
         score = F.lit(kind.score) + F.when(near, GAIN).otherwise(0.0)
         span = F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), end.alias("end"), F.least(score, F.lit(1.0)).alias("score"))
-        found = F.when((score >= LEAST) & kind.valid(pair["match"]), F.concat(acc["found"], F.array(span))).otherwise(acc["found"])
-        return F.struct(end.alias("at"), found.alias("found"))
+        found = F.when((score >= LEAST) & kind.valid(match), F.concat(acc["found"], F.array(span))).otherwise(acc["found"])
+        return F.struct((start + F.char_length(pair["match"])).alias("at"), found.alias("found"))
 
     none = F.array().cast(f"array<{SPAN}>")
     start = F.struct(F.lit(0).alias("at"), none.alias("found"))

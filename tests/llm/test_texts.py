@@ -149,6 +149,26 @@ def test_pii_equals_plain_expressions(spark, docs):
     assert clean[0] is None and "[EMAIL]" in clean[8] and "4111" not in clean[8] and clean[4] == SENTENCE
 
 
+@pytest.mark.parametrize("text, kind, spans", [
+    ("ES91 2100 0418 4502 0005 1332 BIC CAIXESBBXXX", "iban", ["ES91 2100 0418 4502 0005 1332"]),
+    ("pay AT61 1904 3002 3457 3201 SWIFT or PL61 1090 1014 0000 0712 1981 2874 NOW", "iban", ["AT61 1904 3002 3457 3201", "PL61 1090 1014 0000 0712 1981 2874"]),
+    ("ES91 2100 0418 4502 0005 1332 GB82 WEST 1234 5698 7654 32 DE89370400440532013000 OK", "iban", ["ES91 2100 0418 4502 0005 1332", "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000"]),
+    ("ref AB12 CD34 EF56 ES91 2100 0418 4502 0005 1332 BIC", "iban", ["ES91 2100 0418 4502 0005 1332"]),
+    ("ES92 2100 0418 4502 0005 1332 BIC", "iban", []),
+    ("SSN: 123-45-6789, 234-56-7890", "ssn", ["123-45-6789", "234-56-7890"]),
+    ("123-45-6789 is her ssn", "ssn", ["123-45-6789"]),
+    ("123-45-6789 " + "x" * 40 + " ssn", "ssn", []),
+    ("ssn " + "x" * 40 + " 123-45-6789", "ssn", []),
+    ("call 555-123-4567 or 555-123-4568, 555-123-4569", "local_phone", ["555-123-4567", "555-123-4568", "555-123-4569"]),
+])
+def test_pii_spans_beside_others(spark, text, kind, spans):
+    text = "é漢😀 " + text
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    found = [text[s["start"] : s["end"]] for s in pii.find(docs).first()[f"pii_{kind}"]]
+    assert found == spans
+    assert not any(s in pii.redact(docs).first()["text"] for s in spans)
+
+
 def test_pii_on_the_small_table(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
     check_pii(pii.report(docs).join(docs, "doc_id").collect())
