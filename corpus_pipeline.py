@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strandline.llm import mixing, packing, pii, rules, simhash
+from strandline.llm import mixing, packing, pii, rules, shingles
 from strandline.llm.common import Scratch, table
 
 
@@ -15,8 +15,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: one document of each component stays, that of least id."""
-    return simhash.keep_first(docs)
+    """One document of each component stays, that of least id; links are pairs whose five-word shingles have Jaccard similarity 0.8 or more."""
+    return shingles.keep_first(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("quality rules", quality), ("SimHash near-dedup", near_duplicates), ("PII", personal_data), ("mixing sources", mix), ("packing", pack)]
+STAGES = [("quality rules", quality), ("near-dedup", near_duplicates), ("PII", personal_data), ("mixing sources", mix), ("packing", pack)]
 
 #: The rules' model and the components can't be stated in SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None

@@ -66,16 +66,23 @@ def anchors(block: np.ndarray) -> np.ndarray:
     return np.where(errors < 0, -1, errors ^ block[:, None])
 
 
-def fingerprint(text: str | None, shingle: int = 4) -> int:
-    """The fingerprint of one text, as a signed 64-bit number. No word: 0."""
+def hashed_shingles(text: str | None, shingle: int) -> np.ndarray:
+    """A 64-bit hash of each run of ``shingle`` words, of the whole text where it has fewer. No word: none."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined, width = b" ".join(words), min(shingle, len(words))
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = np.concatenate(([0], ends[:-1]))[: len(words) - width + 1].tolist()
     stops = (ends[width - 1 :] - 1).tolist()
-    hashed = np.array([xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, stops)], "<u8")
+    return np.array([xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, stops)], "<u8")
+
+
+def fingerprint(text: str | None, shingle: int = 4) -> int:
+    """The fingerprint of one text, as a signed 64-bit number. No word: 0."""
+    hashed = hashed_shingles(text, shingle)
+    if not len(hashed):
+        return 0
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashed), 65_536):
         part = hashed[at : at + 65_536]
