@@ -16,22 +16,27 @@ from strandline.llm.ngrams import steps
 PER_CLASS, DICTIONARY, LEVEL = 2000, 65_536, 3
 #: Share of the sample that the dictionaries are built from; the rest calibrates the score.
 BUILD = 0.6
-#: Bytes of one labelled text that go into a dictionary at most: excerpts for building it, never for scoring.
-EXCERPT = 8192
+#: Bytes of the consecutive excerpts that a labelled text is cut into for training, and of the pieces where no dictionary can be trained.
+EXCERPT, PIECE = 8192, 256
 FOLDS, HELD, CUT = 4, 2, 0.7
 
 _COMPRESSORS: dict[bytes, object] = {}
 
 
 def dictionary(texts: list[str]) -> bytes:
-    """A zstandard dictionary of the texts; where there are too few to train one, their own bytes."""
+    """A zstandard dictionary of the whole texts; where there are too few to train one, their own bytes, or pieces drawn by hash from all of them."""
+    import xxhash
     import zstandard
 
-    raw = [t.encode()[:EXCERPT] for t in texts if t]
+    whole = [t.encode() for t in texts if t]
+    raw = [t[i : i + EXCERPT] for t in whole for i in range(0, len(t), EXCERPT)]
     try:
         return zstandard.train_dictionary(DICTIONARY, raw).as_bytes()
     except (zstandard.ZstdError, ValueError):
-        return b"\n".join(raw)[:DICTIONARY]
+        if len(own := b"\n".join(whole)) <= DICTIONARY:
+            return own
+        pieces = {t[i : i + PIECE] for t in whole for i in range(0, len(t), PIECE)}
+        return b"\n".join(sorted(pieces, key=lambda x: (xxhash.xxh64_intdigest(x), x))[: DICTIONARY // (PIECE + 1)])
 
 
 def _compressor(words: bytes):
@@ -71,7 +76,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[bytes, bytes, np.ndarray]
     The slopes and intercept come from rows that the dictionaries have not seen.
     """
     rows = sample(docs, labels, "quality", FOLDS, HELD, PER_CLASS).persist()
-    built = rows.where(F.col("part") < BUILD).select("label", F.substring("text", 1, EXCERPT).alias("text")).collect()
+    built = rows.where(F.col("part") < BUILD).select("label", "text").collect()
     good, bad = (dictionary(sorted(r["text"] for r in built if r["label"] == k)) for k in (1, 0))
     if not good or not bad:
         rows.unpersist()

@@ -285,6 +285,13 @@ def test_classifiers_define_every_case(docs, labels, score):
     assert score(docs.where("false"), labels).count() == 0
 
 
+def test_dictionaries_learn_from_whole_texts():
+    rng = np.random.default_rng(2)
+    words = lambda n: " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(n))
+    assert b"pasted tail of junk" in quality.dictionary([words(2000) + " pasted tail of junk" * 40 for _ in range(60)])
+    assert b"pasted tail of junk" in quality.dictionary([words(20_000) + " pasted tail of junk" * 4000])
+
+
 def auc(y, s):
     rank = np.argsort(np.argsort(s)) + 1
     y = np.asarray(y)
