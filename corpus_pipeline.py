@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strandline.llm import mixing, packing, pii, rules, shingles
-from strandline.llm.common import Scratch, table
+from strandline.llm.common import Scratch, swept, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,7 +15,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays, that of least id; links are pairs whose five-word shingles have Jaccard similarity 0.8 or more."""
+    """Operator 4: fingerprints propose, whole sets of five-word shingles confirm, and a prefix filter finds what 4 bits miss.
+
+    Links are exactly the pairs of Jaccard similarity 0.8 or more; of each component the document of least id stays.
+    """
     return shingles.keep_first(docs)
 
 
@@ -34,7 +37,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("quality rules", quality), ("near-dedup", near_duplicates), ("PII", personal_data), ("mixing sources", mix), ("packing", pack)]
+STAGES = [("quality rules", quality), ("SimHash near-dedup", near_duplicates), ("PII", personal_data), ("mixing sources", mix), ("packing", pack)]
 
 #: The rules' model and the components can't be stated in SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
@@ -43,5 +46,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark)
     for i, (_, stage) in enumerate(STAGES[:-1]):
-        docs = scratch.keep(stage(spark, docs, sf_dir), f"stage{i}")
+        with swept():
+            docs = scratch.keep(stage(spark, docs, sf_dir), f"stage{i}")
+        if i:
+            scratch.drop(f"stage{i - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,14 +1,20 @@
-"""What several text operators need: the word class, folds, and tables in the shared folder."""
+"""What several text operators need: the word class, folds, joins on hot keys, and tables in the shared folder."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Words are runs of anything but ASCII white space. ``bytes.split()`` splits at the same six characters.
 WORD = r"[^\x20\x09-\x0D]+"
+#: A key with more than one in SPREAD of all rows is dealt to several tasks, so fewer than SPREAD such keys exist; parts of PART rows are small enough.
+SPREAD, PART = 1000, 256
+#: Steps of an octave in which counts are put to find the most frequent.
+STEPS = 64
 
 
 def fold(doc_id, parts: int):
@@ -16,18 +22,79 @@ def fold(doc_id, parts: int):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts
 
 
+def free_prefix(columns: list[str], prefix: str = "__") -> str:
+    """A prefix that none of the columns begins with, whatever their case."""
+    while any(c.lower().startswith(prefix.lower()) for c in columns):
+        prefix = f"_{prefix}"
+    return prefix
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, salt: list[str], total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table`` on ``key``, where a key may hold any share of the ``total`` rows.
+
+    The rows of a hot key go to as many parts as keep each below 1 in SPREAD of all rows
+    (or PART rows), by a hash of the columns ``salt``; the other side's rows of that key are
+    copied to each part. The broadcast table of hot keys has fewer than SPREAD rows.
+    """
+    part = max(PART, total / SPREAD)
+    hot = F.broadcast(rows.groupBy(key).agg(F.ceil(F.count("*") / F.lit(part)).cast("int").alias("__parts")).where("__parts > 1"))
+    parts = F.coalesce("__parts", F.lit(1))
+    one = rows.join(hot, key, "left").withColumn("__part", F.pmod(F.xxhash64(*salt, F.lit(17)), parts).cast("int")).drop("__parts")
+    other = table.join(hot, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    return one.join(other, [key, "__part"], how).drop("__part")
+
+
+def most_frequent(counts: DataFrame, count: str, most: int) -> DataFrame:
+    """The rows of largest ``count``, at most ``most`` of them: all from a count upwards, so ties are taken or left together.
+
+    Counts below STEPS are told apart exactly, larger ones to one part in STEPS. The driver gets a row for each step.
+    """
+    step = F.floor(F.log2(F.col(count).cast("double")) * STEPS).cast("int")
+    held, least = 0, None
+    for r in sorted(counts.where(F.col(count) > 0).groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["step"]):
+        held += r["n"]
+        if held > most:
+            break
+        least = r["step"]
+    return counts.where(F.lit(False)) if least is None else counts.where((F.col(count) > 0) & (step >= least))
+
+
+def least_drawn(df: DataFrame, draw: Column, most: int) -> DataFrame:
+    """The ``most`` rows of least ``draw``, a 64-bit hash. Only about twice as many rows are sorted or leave their tasks."""
+    rows = df.count()
+    if rows > 2 * most:
+        df = df.where(draw <= F.lit(int((2 * most / rows) * 2.0**64 - 2.0**63)).cast("long"))
+    return df.orderBy(draw, *df.columns[:1]).limit(most)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, only a local master gets a new one."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if path is None:
-        found = spark.sparkContext.getCheckpointDir()
-        if found is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="strandline-"))
-            found = spark.sparkContext.getCheckpointDir()
-        path = found
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="strandline-"))
+        path = spark.sparkContext.getCheckpointDir()
     return path.rstrip("/")
 
 
+_swept: list[list[Scratch]] = []
+
+
+@contextmanager
+def swept() -> Iterator[None]:
+    """Deletes at its end all scratch tables of operators that began within it; what they return must be written by then."""
+    made: list[Scratch] = []
+    _swept.append(made)
+    try:
+        yield
+    finally:
+        _swept.remove(made)
+        for scratch in made:
+            scratch.drop(*list(scratch.paths))
+
+
 class Scratch:
     """Tables written to the shared folder, which cut lineage and survive the loss of executors.
 
@@ -38,6 +105,8 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark)}/strandline-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
+        for made in _swept:
+            made.append(self)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = self.paths[name] = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"

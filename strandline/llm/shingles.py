@@ -1,10 +1,12 @@
 """Near-duplicates by their five-word shingles: all pairs of Jaccard similarity 0.8 or more, none lost by a sketch.
 
-Prefix filter: put the shingles of all documents in one order. Two sets of sizes m and n
-and similarity t or more have t * max(m, n) shingles in common, so the first
-n - ceil(t * n) + 1 of each set meet. Only documents that meet there are compared, on
-their whole sets. Any order is right; here shingles that a sample shows often come last,
-so what many texts share hardly ever makes them meet.
+Fingerprints that the anchors of ``simhash`` link propose pairs first, which the whole
+shingle sets confirm. Four bits link most copies with few edits but not all pairs of
+similarity 0.8, so a prefix filter then finds the rest: put the shingles of all documents
+in one order. Two sets of sizes m and n and similarity t or more have t * max(m, n)
+shingles in common, so the first n - ceil(t * n) + 1 of each set meet. Only documents that
+meet there and are not connected yet are compared. Any order is right; here shingles that
+a sample shows often come last, so what many texts share hardly ever makes them meet.
 """
 
 from __future__ import annotations
@@ -16,8 +18,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from strandline.llm.common import Scratch
-from strandline.llm.simhash import hashed_shingles, roots
+from strandline.llm.common import Scratch, free_prefix, most_frequent, spread_join
+from strandline.llm.simhash import fingerprint_of, hashed_shingles, links, roots
 
 #: Words of a shingle; the least similarity is LEAST / OF.
 WIDTH, LEAST, OF = 5, 4, 5
@@ -61,50 +63,44 @@ def _perhaps_among(df: DataFrame, column: str, others: DataFrame, other: str) ->
     return met.where(F.call_function("getbit", "__bits", bit(column)) == 1).select(*df.columns)
 
 
-def _with_signature(docs: DataFrame, text_column: str) -> DataFrame:
-    schema = T.StructType([*docs.schema.fields, T.StructField("__set", T.BinaryType())])
-    at = docs.columns.index(text_column)
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [xxhash.xxh3_128_digest(shingles(t.as_py()).tobytes()) for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=schema.names)
-
-    return docs.mapInArrow(task, schema)
-
-
-def _often(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles, counts) that occur most in a sample of the texts, by ascending shingle."""
+def _often(texts: DataFrame, text_column: str) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, counts) that occur most in a sample of the rows, by ascending shingle."""
     share = COUNTED / max(1, texts.count())
-    sampled = texts.where(F.pmod(F.xxhash64("row", F.lit(5)), F.lit(1_000_000)) < share * 1_000_000)
+    sampled = texts.where(F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(5)), F.lit(1_000_000)) < share * 1_000_000).select(text_column)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t in batch.column(1):
+            for t in batch.column(0):
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py()).view(np.int64))], names=["shingle"])
 
-    counted = sampled.mapInArrow(task, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 2")
-    found = np.array([tuple(r) for r in counted.orderBy(F.desc("n"), "shingle").limit(LAST).collect()], np.int64).reshape(-1, 2)
+    counted = sampled.mapInArrow(task, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 2").persist()
+    found = most_frequent(counted, "n", LAST).toPandas().to_numpy(np.int64).reshape(-1, 2)
+    counted.unpersist()
     names = found[:, 0].copy().view(np.uint64)
     order = np.argsort(names)
     return names[order], found[order, 1]
 
 
-def _postings(texts: DataFrame, often: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """(shingle, row, size): the prefix of every text."""
+def _described(docs: DataFrame, text_column: str, mark: str, often: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """The documents with a digest of their shingle set, its size, its prefix and their fingerprint, in columns that begin with ``mark``."""
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(mark + n, t) for n, t in (("set", T.BinaryType()), ("size", T.IntegerType()), ("prefix", T.ArrayType(T.LongType())), ("bits", T.LongType()))]])
+    at = docs.columns.index(text_column)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row = batch.column(0).to_numpy()
-            for first in range(0, len(row), 500):
-                some = range(first, min(first + 500, len(row)))
-                own = [shingles(batch.column(1)[i].as_py()) for i in some]
-                heads = [prefix(x, often, counts) if len(x) else x for x in own]
-                lengths = [len(x) for x in heads]
-                arrays = np.concatenate(heads).view(np.int64), np.repeat(row[first : first + 500], lengths), np.repeat(np.array([len(x) for x in own], np.int32), lengths)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["shingle", "row", "size"])
+            digests, sizes, heads, bits = [], [], [], []
+            for t in batch.column(at):
+                hashed = hashed_shingles(t.as_py(), WIDTH)
+                own = np.unique(hashed)
+                digests.append(xxhash.xxh3_128_digest(own.tobytes()))
+                sizes.append(len(own))
+                heads.append(prefix(own, often, counts).view(np.int64) if len(own) else own.view(np.int64))
+                bits.append(fingerprint_of(hashed))
+            ends = np.cumsum([0, *map(len, heads)]).astype(np.int32)
+            prefixes = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*heads, np.zeros(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), prefixes, pa.array(bits, pa.int64())], names=schema.names)
 
-    return texts.mapInArrow(task, "shingle long, row long, size int")
+    return docs.mapInArrow(task, schema)
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -117,7 +113,8 @@ def _sets(texts: DataFrame) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(bits, other): the pairs that are similar by their whole sets."""
+    """(bits, other): the pairs (a, b) that are similar by their whole sets. A document of very many pairs is spread over tasks."""
+    total = pairs.count()
     of = lambda end: _perhaps_among(sets.select(F.col("row").alias(end), F.col("shingles").alias(f"set_{end}")), end, pairs, end)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +123,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             keep = pa.array([similar(read(a), read(b)) for a, b in zip(batch.column(2), batch.column(3))], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["bits", "other"]).filter(keep)
 
-    return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "set_a", "set_b").mapInArrow(task, "bits long, other long")
+    met = spread_join(spread_join(pairs, of("b"), "b", ["a"], total), of("a"), "a", ["b"], total)
+    return met.select("a", "b", "set_a", "set_b").mapInArrow(task, "bits long, other long")
 
 
 def _fit(one: str, other: str) -> Column:
@@ -136,16 +134,19 @@ def _fit(one: str, other: str) -> Column:
 
 def _mixed(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
     """The lists whose documents are not all connected yet, with each document's label and the list's length."""
-    named = lists.drop("label", "n") if labels is None else lists.drop("label", "n").join(labels.select(F.col("bits").alias("row"), F.col("root").alias("label")), "row", "left")
-    named = named.withColumn("label", F.coalesce("label", "row")) if labels is not None else named.withColumn("label", F.col("row"))
+    named, total = lists.drop("label", "n"), lists.count()
+    if labels is None:
+        named = named.withColumn("label", F.col("row"))
+    else:
+        named = named.join(labels.select(F.col("bits").alias("row"), F.col("root").alias("label")), "row", "left").withColumn("label", F.coalesce("label", "row"))
     several = named.groupBy("shingle").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("shingle", "n")
-    return named.join(several, "shingle")
+    return spread_join(named, several, "shingle", ["row"], total)
 
 
 def _against_heads(lists: DataFrame, turn: int) -> DataFrame:
     """(a, b): each document b with that head of its lists which it meets most often. The rest is left to later rounds."""
     head = lists.groupBy("shingle").agg(F.min(F.struct(F.xxhash64("row", F.lit(turn)).alias("by"), F.col("row").alias("head"), F.col("size").alias("head_size"), F.col("label").alias("head_label"))).alias("h")).select("shingle", "h.*")
-    met = lists.join(head, "shingle").where((F.col("label") != F.col("head_label")) & _fit("size", "head_size"))
+    met = spread_join(lists, head, "shingle", ["row"], lists.count()).where((F.col("label") != F.col("head_label")) & _fit("size", "head_size"))
     often = met.groupBy("row", "head", "by").agg(F.count("*").alias("times"))
     return often.groupBy("row").agg(F.max(F.struct("times", "by", "head")).alias("best")).select(F.col("best.head").alias("a"), F.col("row").alias("b"))
 
@@ -159,37 +160,49 @@ def _all_pairs(lists: DataFrame) -> DataFrame:
     return a.join(b, ["shingle", "x", "y"]).where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & _fit("size_a", "size_b")).select("a", "b").distinct()
 
 
-def _components(texts: DataFrame, scratch: Scratch) -> DataFrame | None:
+def _by_fingerprint(texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b): pairs that the fingerprints propose. Texts of one fingerprint go with its first, linked fingerprints by their first texts."""
+    total = texts.count()
+    prints = scratch.keep(texts.groupBy("bits").agg(F.min("row").alias("a")), "prints")
+    same = spread_join(texts.select("bits", F.col("row").alias("b")), prints, "bits", ["b"], total).where("a <> b").select("a", "b")
+    linked = links(prints, scratch)
+    one = linked.join(prints.withColumnRenamed("a", "b"), "bits")
+    return same.unionByName(spread_join(one, prints.select(F.col("bits").alias("other"), "a"), "other", ["b"], linked.count()).select("a", "b"))
+
+
+def _components(texts: DataFrame, whole: DataFrame, scratch: Scratch) -> DataFrame | None:
     """(bits, root): the least row of the component of each row that is similar to another; none if no two texts meet.
 
+    ``texts`` holds row, size, prefix and bits of the distinct sets, ``whole`` row and text.
     Members of a large group of near copies are first compared with one head for each
     shingle, which connects nearly all of them; only documents that still are not
     connected are then compared pair by pair.
     """
-    postings = scratch.keep(_postings(texts, *_often(texts)), "postings")
     # counted by a shorter hash, which also lets a few shingles of one document pass; _mixed drops them
-    short = F.hash("shingle")
+    postings, short = texts.select(F.explode("prefix").alias("shingle"), "row", "size"), F.hash("shingle")
     shared = postings.groupBy(short.alias("short")).agg(F.count("*").alias("n")).where("n > 1")
     near = scratch.keep(_perhaps_among(postings.withColumn("short", short), "short", shared, "short").drop("short"), "near")
-    scratch.drop("postings")
     lists = scratch.keep(_mixed(near, None), "lists")
     scratch.drop("near")
-    sets = scratch.keep(_sets(_perhaps_among(texts, "row", lists, "row")), "sets")
-    edges, labels, before = None, None, None
+    sets = scratch.keep(_sets(_perhaps_among(whole, "row", lists, "row")), "sets")
+    # similar texts meet in a list, so pairs without sets need no look
+    edges = scratch.keep(_confirmed(scratch.keep(_by_fingerprint(texts, scratch), "proposed"), sets), "found")
+    labels = roots(edges, scratch)
+    before = None
     for turn in range(ROUNDS + 1):
-        left = lists.select(F.countDistinct("shingle").alias("k"), F.sum("n").alias("pairs"), F.count("*").alias("rows")).first()
+        lists = scratch.keep(_mixed(lists, labels), f"lists{turn}")
+        scratch.drop(f"lists{turn - 1}" if turn else "lists")
+        left = lists.agg(F.sum("n").alias("pairs"), F.count("*").alias("rows")).first()
         if not left["rows"]:
             break
         # sum of n over the rows is the sum of squared lengths
         last = turn == ROUNDS or left["pairs"] <= 4 * left["rows"] or (before is not None and left["pairs"] > before / 2)
         before = left["pairs"]
         pairs = scratch.keep(_all_pairs(lists) if last else _against_heads(lists, turn), f"pairs{turn}")
-        found = scratch.keep(_confirmed(pairs, sets), f"found{turn}")
-        edges = found if edges is None else edges.unionByName(found)
+        edges = edges.unionByName(scratch.keep(_confirmed(pairs, sets), f"found{turn}"))
         labels = roots(edges, scratch)
         if last:
             break
-        lists = scratch.keep(_mixed(lists, labels), f"lists{turn}")
     return labels
 
 
@@ -197,18 +210,21 @@ def keep_first(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     """One document of each component of similar texts: the one of least id, the first of several rows with that id.
 
     Words are folded to lower case. Null and blank texts have the empty set and equal each
-    other; a null id counts as the greatest; other columns stay; an empty table gives no rows.
+    other; a null id counts as the greatest; repeated rows are copies; other columns stay,
+    whatever their names; an empty table gives no rows.
     """
-    scratch, names = Scratch(docs.sparkSession), docs.columns
-    stored = scratch.keep(_with_signature(docs, text_column).withColumn("__row", F.monotonically_increasing_id()), "documents")
-    rows = stored.select("__set", F.struct(F.col(id_column).isNull().alias("no_id"), F.col(id_column).cast("long").alias("id"), F.col("__row").alias("row")).alias("at"))
-    first = scratch.keep(rows.groupBy("__set").agg(F.min("at").alias("first")), "first")
-    copies = scratch.keep(rows.join(first, "__set").where(F.col("at.row") != F.col("first.row")).select(F.col("at.row").alias("__row")), "copies")
-    texts = stored.join(copies, "__row", "left_anti").select(F.col("__row").alias("row"), F.col(text_column).alias("text"))
-    labels = _components(texts, scratch)
-    others = copies
-    if labels is not None:
-        member = first.select("first").join(labels, F.col("first.row") == F.col("bits"))
-        least = member.groupBy("root").agg(F.min("first").alias("least"))
-        others = others.unionByName(member.join(least, "root").where(F.col("first.row") != F.col("least.row")).select(F.col("first.row").alias("__row")))
-    return stored.join(others, "__row", "left_anti").select(*names)
+    scratch, names, mark = Scratch(docs.sparkSession), docs.columns, free_prefix(docs.columns)
+    described = _described(docs, text_column, mark, *_often(docs, text_column)).withColumn(f"{mark}row", F.monotonically_increasing_id())
+    stored = scratch.keep(described, "documents")
+    total = stored.count()
+    plain = stored.select(*[F.col(mark + c).alias(c) for c in ("row", "set", "size", "prefix", "bits")])
+    rows = stored.select(F.col(f"{mark}set").alias("set"), F.col(f"{mark}row").alias("row"), F.struct(F.col(id_column).isNull().alias("no_id"), F.col(id_column).cast("long").alias("id"), F.col(f"{mark}row").alias("row")).alias("at"))
+    first = scratch.keep(rows.groupBy("set").agg(F.min("at").alias("first")), "first")
+    copies = scratch.keep(spread_join(rows, first, "set", ["row"], total).where(F.col("row") != F.col("first.row")).select("row"), "copies")
+    texts = scratch.keep(plain.join(copies, "row", "left_anti").select("row", "size", "prefix", "bits"), "texts")
+    labels = _components(texts, stored.select(F.col(f"{mark}row").alias("row"), F.col(text_column).alias("text")), scratch)
+    member = scratch.keep(first.select("first", F.col("first.row").alias("bits")).join(labels, "bits"), "member")
+    least = member.groupBy("root").agg(F.min("first").alias("least"))
+    later = spread_join(member, least, "root", ["bits"], member.count()).where(F.col("first.row") != F.col("least.row")).select(F.col("first.row").alias("row"))
+    others = copies.unionByName(later).withColumnRenamed("row", f"{mark}row")
+    return stored.join(others, f"{mark}row", "left_anti").select(*names)

@@ -6,32 +6,41 @@ every block lies within 3 bits of exactly one anchor, its home. Two fingerprints
 differ in at most 4 bits differ in at most one bit in one of the blocks, so there the
 second lies within 3 + 1 bits of the home anchor of the first. Each fingerprint goes to
 all anchors within 4 bits, and every anchor compares those at home with those in reach.
+
+Beyond MANY distinct fingerprints there are two blocks of 32 bits instead, which differ in
+at most two bits; the code is the Golay code on 23 bits and all words on the other 9, two
+million anchors a block. That makes 212 replicas of a fingerprint instead of 16, and
+compares one pair in 10,000 instead of one in 256.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from strandline.llm.common import Scratch, table
+from strandline.llm.common import Scratch, spread_join, table
 
 THRESHOLD = 4
-#: (shift, bits) of the blocks.
-BLOCKS = ((0, 22), (22, 21), (43, 21))
+#: (shift, bits) of the blocks, by their number. Bits of a block above the Golay code's 23 are taken as they are.
+BLOCKS = {3: ((0, 22), (22, 21), (43, 21)), 2: ((0, 32), (32, 32))}
+GOLAY_BITS, RADIUS = 23, 3
 #: Generator polynomial of the binary Golay code of length 23 (a fixed value).
 GOLAY = 0xC75
-#: Fingerprints of either role that one cell compares at most.
-CELL = 4096
+#: Distinct fingerprints from which on two blocks cost less than three.
+MANY = 1 << 25
+#: Fingerprints of either role that one cell compares, and anchors that are cut into cells at most.
+CELL, CUT_ANCHORS = 4096, 50_000
 
 
 @cache
-def _golay() -> tuple[np.ndarray, np.ndarray]:
-    """Syndrome of each 23-bit value by three lookups, and each syndrome's error patterns of weight 4 or less, the least weight first, padded by -1."""
+def _golay(most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Syndrome of each 23-bit value by three lookups; each syndrome's error patterns of at most ``most`` bits, the least weight first, padded by -1; their weights."""
 
     def remainder(v: int) -> int:
         for bit in range(22, 10, -1):
@@ -39,31 +48,38 @@ def _golay() -> tuple[np.ndarray, np.ndarray]:
                 v ^= GOLAY << (bit - 11)
         return v
 
-    units = [remainder(1 << i) for i in range(23)]
+    units = [remainder(1 << i) for i in range(GOLAY_BITS)]
     tables = np.zeros((3, 256), np.int64)
     for byte in range(3):
         for v in range(256):
             for bit in range(8):
-                if v >> bit & 1 and 8 * byte + bit < 23:
+                if v >> bit & 1 and 8 * byte + bit < GOLAY_BITS:
                     tables[byte, v] ^= units[8 * byte + bit]
     patterns: list[list[int]] = [[] for _ in range(2048)]
     level = [(0, 0, -1)]
-    for weight in range(5):
+    for _ in range(most + 1):
         for value, syndrome, _ in level:
             patterns[syndrome].append(value)
-        level = [(v | 1 << i, s ^ units[i], i) for v, s, top in level for i in range(top + 1, 23)]
+        level = [(v | 1 << i, s ^ units[i], i) for v, s, top in level for i in range(top + 1, GOLAY_BITS)]
     padded = np.full((2048, max(map(len, patterns))), -1, np.int64)
     for s, found in enumerate(patterns):
         padded[s, : len(found)] = found
-    return tables, padded
+    return tables, padded, np.where(padded < 0, most + 1, np.bitwise_count(np.maximum(padded, 0))).astype(np.int64)
 
 
-def anchors(block: np.ndarray) -> np.ndarray:
-    """For each block value the anchors within 4 bits, its home anchor first, padded by -1."""
-    tables, padded = _golay()
-    syndrome = tables[0, block & 255] ^ tables[1, block >> 8 & 255] ^ tables[2, block >> 16 & 255]
-    errors = padded[syndrome]
-    return np.where(errors < 0, -1, errors ^ block[:, None])
+def anchors(block: np.ndarray, width: int, slack: int) -> np.ndarray:
+    """For each block value the anchors that a value within ``slack`` bits of it may have as its home; its own home first, padded by -1."""
+    tables, padded, weights = _golay(RADIUS + slack)
+    code, rest = block & ((1 << GOLAY_BITS) - 1), block >> GOLAY_BITS
+    syndrome = tables[0, code & 255] ^ tables[1, code >> 8 & 255] ^ tables[2, code >> 16 & 255]
+    errors, weight = padded[syndrome], weights[syndrome]
+    found = []
+    for flipped in range(min(slack, max(0, width - GOLAY_BITS)) + 1):
+        near = np.where(weight <= RADIUS + slack - flipped, errors ^ code[:, None], -1)
+        for places in combinations(range(width - GOLAY_BITS), flipped):
+            turned = rest ^ sum(1 << p for p in places)
+            found.append(np.where(near < 0, -1, near | (turned << GOLAY_BITS)[:, None]))
+    return np.concatenate(found, axis=1)
 
 
 def hashed_shingles(text: str | None, shingle: int) -> np.ndarray:
@@ -78,9 +94,8 @@ def hashed_shingles(text: str | None, shingle: int) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, stops)], "<u8")
 
 
-def fingerprint(text: str | None, shingle: int = 4) -> int:
-    """The fingerprint of one text, as a signed 64-bit number. No word: 0."""
-    hashed = hashed_shingles(text, shingle)
+def fingerprint_of(hashed: np.ndarray) -> int:
+    """The fingerprint of the shingles' hashes, as a signed 64-bit number. None: 0."""
     if not len(hashed):
         return 0
     counts = np.zeros(64, np.int64)
@@ -91,6 +106,10 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     return int(bits.view("<i8")[0])
 
 
+def fingerprint(text: str | None, shingle: int = 4) -> int:
+    return fingerprint_of(hashed_shingles(text, shingle))
+
+
 def with_fingerprint(docs: DataFrame, text_column: str = "text", to: str = "fingerprint_bits", shingle: int = 4) -> DataFrame:
     """The documents with their fingerprint as a long column; all columns stay."""
     schema = T.StructType([*docs.schema.fields, T.StructField(to, T.LongType())])
@@ -105,59 +124,61 @@ def with_fingerprint(docs: DataFrame, text_column: str = "text", to: str = "fing
     return docs.mapInArrow(task, schema)
 
 
-def _replicas(fingerprints: DataFrame) -> DataFrame:
-    """(anchor, home, bits): a row for each anchor in reach of a fingerprint; home marks its nearest."""
+def _replicas(fingerprints: DataFrame, number: int) -> DataFrame:
+    """(anchor, home, bits): a row for each anchor in reach of a fingerprint, by ``number`` blocks; home marks its nearest."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = batch.column(0).to_numpy(zero_copy_only=False)
-            for k, (shift, width) in enumerate(BLOCKS):
-                reach = anchors((bits.view(np.uint64) >> np.uint64(shift)).astype(np.int64) & ((1 << width) - 1))
-                row, place = np.nonzero(reach >= 0)
-                yield pa.RecordBatch.from_arrays([pa.array(reach[row, place] | k << 23), pa.array(place == 0), pa.array(bits[row])], names=["anchor", "home", "bits"])
+            for first in range(0, batch.num_rows, 2000):
+                bits = batch.column(0).slice(first, 2000).to_numpy(zero_copy_only=False)
+                for k, (shift, width) in enumerate(BLOCKS[number]):
+                    reach = anchors((bits.view(np.uint64) >> np.uint64(shift)).astype(np.int64) & ((1 << width) - 1), width, THRESHOLD // number)
+                    row, place = np.nonzero(reach >= 0)
+                    yield pa.RecordBatch.from_arrays([pa.array(reach[row, place] | k << 32), pa.array(place == 0), pa.array(bits[row])], names=["anchor", "home", "bits"])
 
     return fingerprints.select("bits").mapInArrow(task, "anchor long, home boolean, bits long")
 
 
-def _links_of_cell(keys, home: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each fingerprint of a cell that has a partner there, the least fingerprint it is connected to within the cell."""
+def _join_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Joins the groups of i and j in place. A label is the least member of its group, before and after."""
+    while True:
+        a, b = label[i], label[j]
+        differ = a != b
+        if not differ.any():
+            return
+        i, j, a, b = i[differ], j[differ], a[differ], b[differ]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label[:] = label[label]
+
+
+def _links_of_cell(home: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each fingerprint of a cell that has a partner there, the least fingerprint it is connected to within the cell. Each pair is compared once."""
     nodes = np.unique(np.concatenate((home, near)))
     label = np.arange(len(nodes))
     h, p = np.searchsorted(nodes, home), np.searchsorted(nodes, near)
     a, b = nodes[h].view(np.uint64), nodes[p].view(np.uint64)
     step = max(1, 1_000_000 // max(1, len(b)))
-    while True:
-        before = label.copy()
-        for at in range(0, len(a), step):
-            i, j = np.nonzero(np.bitwise_count(a[at : at + step, None] ^ b[None, :]) <= THRESHOLD)
-            i, j = h[i + at], p[j]
-            differ = label[i] != label[j]
-            if differ.any():
-                i, j = i[differ], j[differ]
-                least = np.minimum(label[i], label[j])
-                np.minimum.at(label, label[i], least)
-                np.minimum.at(label, label[j], least)
-                np.minimum.at(label, i, least)
-                np.minimum.at(label, j, least)
-                while (label[label] != label).any():
-                    label = label[label]
-        if (label == before).all():
-            break
+    for at in range(0, len(a), step):
+        i, j = np.nonzero(np.bitwise_count(a[at : at + step, None] ^ b[None, :]) <= THRESHOLD)
+        _join_labels(label, h[i + at], p[j])
     linked = label != np.arange(len(nodes))
     return nodes[linked], nodes[label[linked]]
 
 
-def links(fingerprints: DataFrame, scratch: Scratch) -> DataFrame:
+def links(fingerprints: DataFrame, scratch: Scratch, blocks: int | None = None) -> DataFrame:
     """(bits, other): links that connect exactly those distinct fingerprints that links of at most THRESHOLD bits connect.
 
-    An anchor with more than CELL fingerprints of a role is cut into cells: those at home
-    are dealt to rows of cells and copied along them, those in reach to columns.
+    An anchor with more than CELL fingerprints of a role, or 1 in CUT_ANCHORS of all
+    replicas, is cut into cells: those at home are dealt to rows of cells and copied
+    along them, those in reach to columns.
     """
-    replicas = scratch.keep(_replicas(fingerprints), "replicas")
-    sizes = replicas.groupBy("anchor").agg(F.sum(F.col("home").cast("long")).alias("n_home"), F.count("*").alias("n_near"))
-    # at most 3 * 4096 anchors exist, so this table has a fixed bound
-    sizes = F.broadcast(sizes.select("anchor", F.ceil(F.col("n_home") / CELL).cast("int").alias("rows"), F.ceil(F.col("n_near") / CELL).cast("int").alias("columns")))
-    dealt = replicas.join(sizes, "anchor").where("rows > 0")
+    replicas = scratch.keep(_replicas(fingerprints, blocks or (3 if fingerprints.count() <= MANY else 2)), "replicas")
+    size = max(CELL, replicas.count() // CUT_ANCHORS)
+    parts = lambda c: F.ceil(F.greatest(c, F.lit(1)) / size).cast("int")
+    large = replicas.groupBy("anchor").agg(parts(F.sum(F.col("home").cast("long"))).alias("rows"), parts(F.count("*")).alias("columns")).where("columns > 1")
+    # each has more than 1 in CUT_ANCHORS of the replicas, so this table has fewer rows
+    dealt = replicas.join(F.broadcast(large), "anchor", "left").fillna(1, ["rows", "columns"])
     salt = F.xxhash64("bits", F.lit(7))
     column, row = F.pmod(salt, F.col("columns")).cast("int"), F.pmod(salt, F.col("rows")).cast("int")
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
@@ -167,7 +188,7 @@ def links(fingerprints: DataFrame, scratch: Scratch) -> DataFrame:
     def cell(found: pa.Table) -> pa.Table:
         at_home = found.column("home").to_numpy()
         bits = found.column("bits").to_numpy()
-        one, other = _links_of_cell(None, bits[at_home], bits[~at_home])
+        one, other = _links_of_cell(bits[at_home], bits[~at_home])
         return pa.table({"bits": pa.array(one, pa.int64()), "other": pa.array(other, pa.int64())})
 
     found = near.unionByName(home).groupBy("anchor", "row", "column").applyInArrow(cell, "bits long, other long")
@@ -179,39 +200,39 @@ def links(fingerprints: DataFrame, scratch: Scratch) -> DataFrame:
 def roots(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(bits, root): the least member of the connected component of every end of an edge.
 
-    Labels fall to the least label in sight, then to the label of the label, until none
-    changes; each round is written to the shared folder.
+    Labels fall to the least label in sight and to the label of the label, until none
+    changes; each round is written to the shared folder. Members with very many edges, and
+    labels of very many members, are spread over tasks.
     """
     both = scratch.keep(edges.select("bits", "other").unionByName(edges.select(F.col("other").alias("bits"), F.col("bits").alias("other"))).distinct(), "edges")
     labels = scratch.keep(both.groupBy("bits").agg(F.least(F.min("other"), F.first("bits")).alias("root")), "labels0")
-    turn = 0
+    n_edges, n_labels, turn = both.count(), labels.count(), 0
     while True:
         turn += 1
-        old = labels
-        seen = both.join(old.withColumnRenamed("bits", "other"), "other").groupBy("bits").agg(F.min("root").alias("least"))
-        nearer = old.join(seen, "bits").select("bits", F.least("root", "least").alias("next"), F.col("root").alias("before"))
-        hop = old.select(F.col("bits").alias("next"), F.col("root").alias("beyond"))
-        jumped = nearer.join(hop, "next", "left").select("bits", F.least("next", F.coalesce("beyond", "next")).alias("root"), "before")
-        stepped = scratch.keep(jumped, f"labels{turn}")
+        seen = spread_join(both, labels.select(F.col("bits").alias("other"), "root"), "other", ["bits"], n_edges).groupBy("bits").agg(F.min("root").alias("least"))
+        beyond = spread_join(labels, labels.select(F.col("bits").alias("root"), F.col("root").alias("beyond")), "root", ["bits"], n_labels)
+        stepped = scratch.keep(beyond.join(seen, "bits").select("bits", F.least("root", "least", "beyond").alias("root"), F.col("root").alias("before")), f"labels{turn}")
         changed = stepped.where("root <> before").limit(1).count()
         labels = stepped.select("bits", "root")
         scratch.drop(f"labels{turn - 1}")
         if not changed:
+            scratch.drop("edges")
             return labels
 
 
-def components(stored: DataFrame, scratch: Scratch, order: tuple[str, ...]) -> DataFrame:
-    """(bits, *first of order): for each distinct fingerprint the least ``order`` tuple of its component.
+def components(stored: DataFrame, scratch: Scratch) -> DataFrame:
+    """(bits, first): for each distinct fingerprint the least doc_id of its component, null if it has none.
 
-    ``stored`` has the columns ``bits`` and those of ``order``; copies meet in partial
+    ``stored`` has the columns ``bits`` and ``doc_id``; copies meet in partial
     aggregates, so a group of any size is spread over the tasks that read it.
     """
-    least = F.min(F.struct(*[F.col(c).isNull().alias(f"no_{c}") if i % 2 == 0 else F.col(c) for c in order for i in range(2)])).alias("first")
-    distinct = scratch.keep(stored.groupBy("bits").agg(least), "distinct")
+    distinct = scratch.keep(stored.groupBy("bits").agg(F.min("doc_id").alias("first")), "distinct")
     label = roots(links(distinct, scratch), scratch)
-    rooted = distinct.join(label, "bits", "left").withColumn("root", F.coalesce("root", "bits"))
-    of_root = rooted.groupBy("root").agg(F.min("first").alias("first"))
-    return rooted.select("bits", "root").join(of_root, "root").select("bits", *[F.col(f"first.{c}").alias(f"first_{c}") for c in order])
+    # fingerprints without a link are their own component and meet no other row
+    linked = scratch.keep(distinct.join(label, "bits"), "linked")
+    of_root = linked.groupBy("root").agg(F.min("first").alias("least"))
+    least = spread_join(linked.select("bits", "root"), of_root, "root", ["bits"], linked.count()).select("bits", "least")
+    return distinct.join(least.withColumn("linked", F.lit(True)), "bits", "left").select("bits", F.when(F.col("linked"), F.col("least")).otherwise(F.col("first")).alias("first"))
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 4) -> DataFrame:
@@ -223,20 +244,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """
     scratch = Scratch(docs.sparkSession)
     named = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    stored = scratch.keep(with_fingerprint(named, "text", "bits", shingle).select("doc_id", "bits"), "fingerprints")
-    found = components(stored, scratch, ("doc_id",))
-    # a hot fingerprint is split by Spark's adaptive skew join: nothing above the join needs its rows together
-    return stored.join(found, "bits", "left").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), F.col("first_doc_id").alias("component_id"))
-
-
-def keep_first(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 4) -> DataFrame:
-    """One document of each component: the one of least id, the first of several rows with that id."""
-    scratch, names = Scratch(docs.sparkSession), docs.columns
-    stored = scratch.keep(with_fingerprint(docs, text_column, "__bits", shingle).withColumn("__row", F.monotonically_increasing_id()), "documents")
-    rows = stored.select(F.col("__bits").alias("bits"), F.col(id_column).cast("long").alias("id"), F.col("__row").alias("row"))
-    found = components(rows, scratch, ("id", "row"))
-    others = rows.join(found, "bits").where("row <> first_row").select(F.col("row").alias("__row"))
-    return stored.join(others, "__row", "left_anti").select(*names)
+    stored = scratch.keep(with_fingerprint(named, "text", "bits", shingle).select("doc_id", "bits", F.monotonically_increasing_id().alias("row")), "fingerprints")
+    found = components(stored, scratch)
+    return spread_join(stored, found, "bits", ["row"], stored.count(), "left").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), F.col("first").alias("component_id"))
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:

@@ -11,9 +11,10 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from strandline.llm import language, lm, mixing, packing, pii, quality, rules, simhash, toxicity
+from strandline.llm import common, language, lm, mixing, packing, pii, quality, rules, simhash, toxicity
+from strandline.llm.common import Scratch
 from strandline.llm.queries import queries
-from tests.oracle import DATA
+from tests.oracle import DATA, of_spark
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, bits string"
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -93,7 +94,6 @@ def test_simhash_equals_brute_force(spark, docs):
     want = sorted(((i, f"{p:016x}", rows[c][0]) for (i, _), p, c in zip(rows, prints, comps)), key=repr)
     got = sorted((tuple(r) for r in simhash.near_duplicates(docs).collect()), key=repr)
     assert got == want
-    assert simhash.keep_first(docs).count() == len(set(comps))
     assert simhash.near_duplicates(docs.where("false")).count() == 0
 
 
@@ -106,10 +106,36 @@ def test_links_of_random_fingerprints_lose_none(spark):
     base = sorted(set(base))
     signed = [x - (1 << 64) if x >= 1 << 63 else x for x in base]
     stored = spark.createDataFrame([(i, s) for i, s in enumerate(signed)], "doc_id long, bits long")
-    from strandline.llm.common import Scratch
-
-    got = {r["bits"]: r["first_doc_id"] for r in simhash.components(stored, Scratch(spark), ("doc_id",)).collect()}
+    got = {r["bits"]: r["first"] for r in simhash.components(stored, Scratch(spark)).collect()}
     assert [got[s] for s in signed] == plain_components(base)
+    # two blocks, for very many fingerprints, connect the same
+    for blocks in (3, 2):
+        label = {r["bits"]: r["root"] for r in simhash.roots(simhash.links(stored, Scratch(spark), blocks), Scratch(spark)).collect()}
+        groups = {}
+        for s in signed:
+            groups.setdefault(label.get(s, s), []).append(got[s])
+        assert len(groups) == len(set(got.values())) and all(len(set(g)) == 1 for g in groups.values())
+
+
+def test_every_pair_within_reach_meets_at_an_anchor():
+    rng = np.random.default_rng(4)
+    for number, blocks in simhash.BLOCKS.items():
+        slack = simhash.THRESHOLD // number
+        for _, width in blocks:
+            one = rng.integers(0, 1 << width, 500)
+            other = one.copy()
+            for _ in range(slack):
+                other ^= 1 << rng.integers(0, width, 500)
+            home, reach = simhash.anchors(one, width, slack)[:, 0], simhash.anchors(other, width, slack)
+            assert (home[:, None] == reach).any(axis=1).all()
+
+
+def test_hot_keys_lose_and_repeat_no_row(spark, monkeypatch):
+    monkeypatch.setattr(common, "PART", 8)
+    rows = spark.createDataFrame([(0 if i % 3 else i, i) for i in range(600)], "key long, row long")
+    names = spark.createDataFrame([(i, f"n{i}") for i in range(0, 600, 2)], "key long, name string")
+    for how in ("inner", "left", "left_anti"):
+        assert of_spark(common.spread_join(rows, names, "key", ["row"], 600, how)) == of_spark(rows.join(names, "key", how))
 
 
 def plain_base(text):
