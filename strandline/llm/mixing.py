@@ -10,12 +10,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from strandline.llm.common import WORD, Scratch, table
+from strandline.llm.common import WORD, Scratch, free_prefix, table
 
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2
-#: Slices of a source's keys; words are summed by slice, so only the slice on the edge of the budget is sorted.
-SLICES = 4096
+#: Slices of each unit of a key's logarithm; words are summed by slice, so only the slice on the edge of the budget is sorted.
+#: The logarithm of an exponential key has a density of 1 / e at most, whatever its rate: no slice is expected to hold
+#: more than 1 in 2700 of a source's documents, whatever their weights.
+SLICES = 1024
 #: Signs that lower a document's quality weight.
 SIGNS = r"[#*$%&|<>{}\[\]\\=_~^@!0-9]"
 
@@ -31,9 +33,10 @@ def weight_of(text):
     return F.greatest(F.lit(0.1), F.coalesce(1 - 5.0 * F.regexp_count(text, F.lit(SIGNS)) / chars, F.lit(0.1)))
 
 
-def uniform(doc_id, seed: str):
-    """A number in (0, 1) from the md5 of the id and a seed: the same on every run and engine."""
-    digits = F.substring(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(seed)).cast("binary")), 1, 13)
+def uniform(doc_id, text, seed: str):
+    """A number in (0, 1) from the md5 of the id, or where that is null of the text, and a seed: the same on every run and engine."""
+    name = F.when(doc_id.isNotNull(), doc_id.cast("string")).otherwise(F.concat(F.lit("text "), F.md5(F.coalesce(text, F.lit("")).cast("binary"))))
+    digits = F.substring(F.md5(F.concat(name, F.lit(seed)).cast("binary")), 1, 13)
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
@@ -75,47 +78,53 @@ def mix(docs: DataFrame, columns: list[str], id_column: str = "doc_id", text_col
 
     ``taken`` is the size times the whole epochs, once more for a document of the
     fractional epoch: documents in key order whose middle word lies within the rest of
-    the budget. Equal keys are ordered by id, then by row. Sources with a null name are a
-    source of their own, the last. Documents without words, or with null text, take
-    nothing; an empty table gives no rows.
+    the budget. Rows of one id share a draw, and so do rows without id of equal texts; equal
+    keys are ordered by id, then by row. Sources with a null name are a source of their
+    own, the last. Documents without words, or with null text, take nothing; an empty
+    table gives no rows. The documents may have columns of any names.
     """
-    scratch = Scratch(docs.sparkSession)
-    key = -F.ln(uniform(F.col(id_column), seed)) / weight_of(F.col(text_column))
+    scratch, mark = Scratch(docs.sparkSession), free_prefix(docs.columns)
+    key = -F.ln(uniform(F.col(id_column), F.col(text_column), seed)) / weight_of(F.col(text_column))
     keyed = docs.select(
-        *columns, F.col(source_column).alias("__source"), F.col(id_column).alias("__id"), size_of(F.col(text_column)).alias("__size"), key.alias("__key"), F.monotonically_increasing_id().alias("__row")
+        *columns, F.col(source_column).alias(f"{mark}source"), F.col(id_column).alias(f"{mark}id"), size_of(F.col(text_column)).alias(f"{mark}size"), key.alias(f"{mark}key"), F.monotonically_increasing_id().alias(f"{mark}row")
     )
-    keyed = scratch.keep(keyed.withColumn("__slice", F.floor((1 - F.exp(-F.col("__key"))) * SLICES).cast("int")), "keyed")
-    slices = scratch.keep(keyed.groupBy("__source", "__slice").agg(F.sum("__size").alias("words")), "slices")
-    target = scratch.keep(targets(slices.groupBy(F.col("__source").alias("source")).agg(F.sum("words").alias("source_size")), scratch, weights, share, most), "targets")
+    keyed = scratch.keep(keyed.withColumn(f"{mark}slice", F.floor(F.ln(f"{mark}key") * SLICES).cast("int")), "keyed")
+    slices = scratch.keep(keyed.groupBy(f"{mark}source", f"{mark}slice").agg(F.sum(f"{mark}size").alias("words")), "slices")
+    target = scratch.keep(targets(slices.groupBy(F.col(f"{mark}source").alias("source")).agg(F.sum("words").alias("source_size")), scratch, weights, share, most), "targets")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     target = target.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    # at most SLICES rows a source meet in this window
-    order = Window.partitionBy("__source").orderBy("__slice")
+    # keys lie between 2^-54 and 370, so at most 45,000 slices of a source meet in this window
+    order = Window.partitionBy(f"{mark}source").orderBy(f"{mark}slice")
     run = slices.withColumn("upto", F.sum("words").over(order)).withColumn("before", F.col("upto") - F.col("words"))
-    edged = run.join(target, F.col("__source").eqNullSafe(F.col("source"))).where("before < rest and rest < upto")
-    edge = edged.select(F.col("source").alias("e"), F.col("__slice").alias("edge"), F.col("before").alias("edge_before"))
+    edged = run.join(target, F.col(f"{mark}source").eqNullSafe(F.col("source"))).where("before < rest and rest < upto")
+    edge = edged.select(F.col("source").alias("e"), F.col(f"{mark}slice").alias("edge"), F.col("before").alias("edge_before"))
     plan = target.join(edge, F.col("source").eqNullSafe(F.col("e")), "left").drop("e")
-    plan = scratch.keep(plan.select(*[F.col(c).alias(f"__plan_{c}") for c in plan.columns]), "plan")
-    joined = keyed.join(plan, F.col("__source").eqNullSafe(F.col("__plan_source")))
-    base, edge, rest = F.col("__plan_epochs") * F.col("__size"), F.col("__plan_edge"), F.col("__plan_rest")
+    plan = scratch.keep(plan.select(*[F.col(c).alias(f"{mark}plan_{c}") for c in plan.columns]), "plan")
+    joined = keyed.join(plan, F.col(f"{mark}source").eqNullSafe(F.col(f"{mark}plan_source")))
+    base, edge, rest = F.col(f"{mark}plan_epochs") * F.col(f"{mark}size"), F.col(f"{mark}plan_edge"), F.col(f"{mark}plan_rest")
     # below the edge all are taken; a source without edge takes all of the fraction or nothing
-    inside = F.when(edge.isNull(), rest >= F.col("__plan_source_size")).otherwise(F.col("__slice") < edge)
-    clear = joined.where(edge.isNull() | (F.col("__slice") != edge)).withColumn("__taken", base + F.when(inside, F.col("__size")).otherwise(0))
-    on_edge = joined.where(F.col("__slice") == edge)
-    sorted_ = Window.partitionBy("__plan_source", "__slice").orderBy("__key", F.col("__id").asc_nulls_last(), "__row").rowsBetween(Window.unboundedPreceding, 0)
-    middle = F.col("__plan_edge_before") + F.sum("__size").over(sorted_) - F.col("__size") / 2
-    cut = on_edge.withColumn("__taken", base + F.when(middle <= rest, F.col("__size")).otherwise(0))
-    added = {"size": "__size", "source_size": "__plan_source_size", "target": "__plan_target", "taken": "__taken"}
+    inside = F.when(edge.isNull(), rest >= F.col(f"{mark}plan_source_size")).otherwise(F.col(f"{mark}slice") < edge)
+    clear = joined.where(edge.isNull() | (F.col(f"{mark}slice") != edge)).withColumn(f"{mark}taken", base + F.when(inside, F.col(f"{mark}size")).otherwise(0))
+    on_edge = joined.where(F.col(f"{mark}slice") == edge)
+    sorted_ = Window.partitionBy(f"{mark}plan_source", f"{mark}slice").orderBy(f"{mark}key", F.col(f"{mark}id").asc_nulls_last(), f"{mark}row").rowsBetween(Window.unboundedPreceding, 0)
+    middle = F.col(f"{mark}plan_edge_before") + F.sum(f"{mark}size").over(sorted_) - F.col(f"{mark}size") / 2
+    cut = on_edge.withColumn(f"{mark}taken", base + F.when(middle <= rest, F.col(f"{mark}size")).otherwise(0))
+    added = {"size": f"{mark}size", "source_size": f"{mark}plan_source_size", "target": f"{mark}plan_target", "taken": f"{mark}taken"}
     out = [*columns, *[(F.col(c).cast("long") if k == "taken" else F.col(c)).alias(prefix + k) for k, c in added.items()]]
     return clear.select(*out).unionByName(cut.select(*out))
 
 
 def mixed_documents(docs: DataFrame, text_column: str = "text", **settings) -> DataFrame:
-    """The documents of the mix with their own columns, a row for each time that the mix takes them."""
-    names = docs.columns
-    taken = mix(docs, names, text_column=text_column, prefix="__mix_", **settings)
-    times = F.when(F.col("__mix_size") > 0, F.col("__mix_taken") / F.col("__mix_size")).otherwise(0).cast("int")
-    return taken.where(times > 0).withColumn("__times", F.explode(F.array_repeat(F.lit(1), times))).select(*names)
+    """The documents of the mix with their own columns, whatever their names, a row for each time that the mix takes them.
+
+    Documents without words, or with null text, are not taken; repeated rows are drawn
+    alike and taken each; an empty table gives no rows.
+    """
+    names, mark = docs.columns, free_prefix(docs.columns, "mix_")
+    taken = mix(docs, names, text_column=text_column, prefix=mark, **settings)
+    size = F.col(f"{mark}size")
+    times = F.when(size > 0, F.col(f"{mark}taken") / size).otherwise(0).cast("int")
+    return taken.where(times > 0).withColumn(f"{mark}turn", F.explode(F.array_repeat(F.lit(1), times))).select(*names)
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
@@ -127,7 +136,7 @@ WITH sized AS (
   SELECT doc_id, source,
          coalesce(length(regexp_replace(regexp_replace(text, '[^\x20\x09-\x0D]+', 'w', 'g'), '[^w]', '', 'g')), 0) AS size,
          greatest(0.1, coalesce(1 - 5.0 * length(regexp_replace(text, '[^#*$%&|<>{}\[\]\\=_~^@!0-9]', '', 'g')) / greatest(length(text), 1), 0.1)) AS weight,
-         (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':mix'), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 AS u
+         (('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'text ' || md5(coalesce(text, ''))) || ':mix'), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 AS u
   FROM documents),
 sources AS (
   SELECT source, sum(size)::BIGINT AS source_size,
