@@ -9,13 +9,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from strandline.llm.common import Scratch, table
+from strandline.llm.common import Scratch, least_drawn, table
 
 #: Vectors that the tree is fit on at most, children of a node, and the share of the sample that a leaf holds at most.
 #: Leaves are shares of the table, so a query's visits do not grow with it; a large leaf is searched in blocks.
 SAMPLE, BRANCHES, LEAF = 20_000, 8, 1 / 32
 #: Queries that the number of leaf visits is calibrated on at most, and the recall to reach on them.
 CALIBRATE, RECALL = 200, 0.96
+#: What the order of summation may change in a cosine, at most.
+ROUNDING = 1e-9
 #: Vectors and queries of one cell of the search at most.
 ROWS, QUERIES = 4096, 1024
 
@@ -112,23 +114,25 @@ def _usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame
 
 
 def _nearest(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, vector id, score) of the ``k`` nearest of a block for each query; copies of a vector stand together, by id."""
-    order = np.lexsort((ids, *vectors.T[::-1]))
-    ids, vectors = ids[order], vectors[order]
-    new = np.concatenate(([True], (vectors[1:] != vectors[:-1]).any(axis=1)))
-    first = np.nonzero(new)[0]
+    """(query id, vector id, score) of the ``k`` nearest of a block for each query, ties by id. Vectors of one direction stand together."""
+    units = _unit(vectors)
+    order = np.lexsort((ids, *units.T[::-1]))
+    ids, units = ids[order], units[order]
+    first = np.nonzero(np.concatenate(([True], (units[1:] != units[:-1]).any(axis=1))))[0]
     size = np.diff(np.append(first, len(ids)))
-    distinct = _unit(vectors[first])
+    distinct = units[first]
     units = _unit(queries)
     rough = units @ distinct.T
-    take = min(len(first), k + 8)
-    near = np.argpartition(-rough, take - 1, axis=1)[:, :take] if take < len(first) else np.tile(np.arange(len(first)), (len(queries), 1))
+    # one direction may be the query's alone; all that reach the next one but for rounding are looked at, however many tie
+    take = min(len(first), k + 1)
+    least = -np.partition(-rough, take - 1, axis=1)[:, take - 1] - ROUNDING
     out = []
     for q in range(len(queries)):
-        exact = (distinct[near[q]] * units[q]).sum(axis=1)
-        # of a vector's copies the k + 1 of least id are enough: one may be the query itself
-        rows = np.concatenate([first[d] + np.arange(min(size[d], k + 1)) for d in near[q]])
-        score = np.repeat(exact, np.minimum(size[near[q]], k + 1))
+        near = np.nonzero(rough[q] >= least[q])[0]
+        exact = (distinct[near] * units[q]).sum(axis=1)
+        # of a direction's copies the k + 1 of least id are enough: one may be the query itself
+        rows = np.concatenate([first[d] + np.arange(min(size[d], k + 1)) for d in near])
+        score = np.repeat(exact, np.minimum(size[near], k + 1))
         other = ids[rows] != query_ids[q]
         rows, score = rows[other], score[other]
         best = np.lexsort((ids[rows], -score))[:k]
@@ -171,7 +175,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_column: str =
     queries. Vectors that are null, empty, zero or hold a null or non-finite component take no
     part, nor do those whose length is not the commonest. A row is never its own
     neighbour, by id; an id asked more than once is asked with its least vector; repeated
-    rows are candidates each; ties go to the smaller id.
+    rows are candidates each; ties, of any number, go to the smaller id. Other columns are
+    not read, whatever their names; an empty table gives no rows.
     """
     spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession)
     usable = _usable(vectors, id_column, vector_column)
@@ -182,8 +187,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_column: str =
     d = sizes[0]["d"]
     usable = usable.where(F.size("vector") == d)
     asked = _usable(queries, id_column, vector_column).where(F.size("vector") == d).groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    by_hash = (F.xxhash64("vec_id"), "vec_id")
-    sample = np.array([r["vector"] for r in usable.orderBy(*by_hash).limit(SAMPLE).collect()])
+    by_hash = F.xxhash64("vec_id")
+    sample = np.array([r["vector"] for r in least_drawn(usable, by_hash, SAMPLE).collect()])
     tree = Tree.fit(_unit(sample), max(16, int(LEAF * len(sample))))
 
     def leafed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +197,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_column: str =
             yield pa.RecordBatch.from_arrays([pa.array(leaves, pa.int32()), *batch.columns], names=["leaf", "vec_id", "vector"])
 
     index = scratch.keep(usable.mapInArrow(leafed, "leaf int, vec_id long, vector array<double>"), "index")
-    visits = _calibrate(index, tree, asked.orderBy(*by_hash).limit(CALIBRATE).collect(), k, recall)
+    visits = _calibrate(index, tree, least_drawn(asked, by_hash, CALIBRATE).collect(), k, recall)
     # a row for each leaf, of which there are at most SAMPLE / 16
     held = {r["leaf"]: r["count"] for r in index.groupBy("leaf").count().collect()}
 

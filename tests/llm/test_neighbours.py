@@ -37,5 +37,20 @@ def test_odd_vectors_take_no_part_and_ties_go_to_the_smaller_id(spark):
     assert neighbours.search(vectors.where("false"), vectors.where("false")).count() == 0
 
 
+def test_any_number_of_ties_goes_to_the_smaller_ids(spark):
+    """Scaled copies of one direction, mirrored directions of equal cosine, and repeated rows."""
+    rows = [(i, [float(i), 3.0 * i, 0.5 * i]) for i in range(1, 61)]
+    other = [(100 + i, [1.0, 1.0, 1.0 if i % 2 else -1.0]) for i in range(40)]
+    vectors = spark.createDataFrame(rows + other + [(0, [1.0, 3.0, 0.5]), (7, [1.0, 0.0, 0.0]), (500, [0.0, 0.0, 0.0])], "vec_id long, embedding array<double>").repartition(3)
+    got = [r["vec_id"] for r in neighbours.search(vectors, vectors.where("vec_id = 0")).orderBy("rank").collect()]
+    assert got == [1, 2, 3, 4, 5]
+    axis = spark.createDataFrame([(0, [1.0, 0.0])] + [(i, [1.0, 1.0 if i % 2 else -1.0]) for i in range(1, 41)] + [(i, [2.0 + i, -1.0 * (2 + i)]) for i in range(41, 60)], "vec_id long, embedding array<double>").withColumn("rank", neighbours.F.lit("x"))
+    found = neighbours.search(axis, axis.where("vec_id = 0")).orderBy("rank").collect()
+    assert [r["vec_id"] for r in found] == [1, 2, 3, 4, 5]
+    twice = neighbours.search(axis.union(axis), axis.where("vec_id = 0")).orderBy("rank").collect()
+    assert [r["vec_id"] for r in twice] == [1, 1, 2, 2, 3]
+    assert neighbours.search(axis.where("false"), axis).count() == 0
+
+
 def test_mix_equals_sql(spark):
     assert of_spark(op1_mixing(spark, DATA)) == of_duckdb(connect(), OP1_SQL)
