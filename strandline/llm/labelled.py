@@ -5,28 +5,28 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from strandline.llm.common import fold
+from strandline.llm.common import fold, least_drawn
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, per_class: int, most_chars: int | None = None) -> DataFrame:
+def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, per_class: int) -> DataFrame:
     """(label, text, part): at most ``per_class`` labelled rows of each class outside the held-out fold.
 
-    The rows of least hash are taken, so reruns agree and a class within the bound is
+    The ids of least hash are taken, so reruns agree and a class within the bound is
     taken whole. ``part`` is a second hash in [0, 1), for splits. Rows without an id, or
-    with a null label, take no part.
+    with a null label, take no part; of several rows with one id the text of least hash does.
     """
     spark = docs.sparkSession
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (fold(F.col("doc_id"), folds) != held))
-    rank = F.xxhash64("doc_id", F.lit(label))
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (fold(F.col("doc_id"), folds) != held)).distinct()
     few = None
     for value in (0, 1):
-        part = known.where(F.col("label") == value).orderBy(rank, "doc_id").limit(per_class)
+        part = least_drawn(known.where(F.col("label") == value), F.xxhash64("doc_id", F.lit(label)), per_class)
         few = part if few is None else few.unionByName(part)
     # 2 * per_class rows at most: a fixed bound
-    few = spark.createDataFrame([tuple(r) for r in few.distinct().collect()], "doc_id long, label int")
+    few = spark.createDataFrame([tuple(r) for r in few.collect()], "doc_id long, label int")
     part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(1000)) / 1000
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(F.broadcast(few), "doc_id").select("label", "text", part.alias("part"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(few), "doc_id")
+    one = texts.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("by"), "text")).alias("least"))
+    return one.select("label", F.col("least.text").alias("text"), part.alias("part"))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 50) -> np.ndarray:

@@ -50,60 +50,58 @@ def _compressor(words: bytes):
     return _COMPRESSORS[words]
 
 
-def compressed(text: str, good: bytes, bad: bytes) -> tuple[float, float]:
-    """The normalised difference, (size by the bad dictionary - size by the good one) / their sum, and the log of the share
-    of the text that the good one leaves: text that repeats itself is short by both. Zeros for an empty text."""
+def difference(text: str, good: bytes, bad: bytes) -> float:
+    """(size by the bad dictionary - size by the good one) / their sum, zero for an empty text."""
     raw = text.encode()
     if not raw:
-        return 0.0, 0.0
+        return 0.0
     by_good, by_bad = len(_compressor(good).compress(raw)), len(_compressor(bad).compress(raw))
-    return (by_bad - by_good) / (by_bad + by_good), float(np.log(by_good / len(raw)))
+    return (by_bad - by_good) / (by_bad + by_good)
 
 
 def _differences(rows: DataFrame, keep: str, kind: str, good: bytes, bad: bytes) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, texts in steps(batch.column(1)):
-                both = np.array([compressed(t, good, bad) for t in texts], float).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[first : first + len(texts)], pa.array(both[:, 0]), pa.array(both[:, 1])], names=[keep, "difference", "shrink"])
+                found = pa.array([difference(t, good, bad) for t in texts], pa.float64())
+                yield pa.RecordBatch.from_arrays([batch.column(0)[first : first + len(texts)], found], names=[keep, "difference"])
 
-    return rows.select(keep, "text").mapInArrow(task, f"{keep} {kind}, difference double, shrink double")
+    return rows.select(keep, "text").mapInArrow(task, f"{keep} {kind}, difference double")
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[bytes, bytes, np.ndarray]:
-    """(good dictionary, bad dictionary, slopes and intercept): learnt from at most 2 * PER_CLASS labelled rows outside the held-out fold.
+    """(good dictionary, bad dictionary, slope and intercept): learnt from at most 2 * PER_CLASS labelled rows outside the held-out fold.
 
-    The slopes and intercept come from rows that the dictionaries have not seen.
+    Slope and intercept come from rows that the dictionaries have not seen; without such
+    rows they are zero.
     """
     rows = sample(docs, labels, "quality", FOLDS, HELD, PER_CLASS).persist()
     built = rows.where(F.col("part") < BUILD).select("label", "text").collect()
     good, bad = (dictionary(sorted(r["text"] for r in built if r["label"] == k)) for k in (1, 0))
     if not good or not bad:
         rows.unpersist()
-        return good, bad, np.zeros(3)
-    # few labelled rows leave too few to calibrate on: then those of the dictionaries serve
-    rest = rows.where(F.col("part") >= BUILD) if len(built) >= 200 else rows
-    found = _differences(rest, "label", "int", good, bad).collect()
+        return good, bad, np.zeros(2)
+    found = _differences(rows.where(F.col("part") >= BUILD), "label", "int", good, bad).collect()
     rows.unpersist()
     y = np.array([r["label"] for r in found], float)
-    x = np.array([[r["difference"], r["shrink"]] for r in found], float).reshape(-1, 2)
-    return good, bad, logistic(x, y, 1e-4)
+    return good, bad, logistic(np.array([[r["difference"]] for r in found], float).reshape(-1, 1), y, 1e-4)
 
 
 def score(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, held_out, score and predicted of every document.
 
     The whole text is compressed. A null or empty text has no difference and gets the
-    calibration's intercept. Without labelled rows of both classes every score is 0.5.
-    Copies get equal scores; ids may be null or repeat; other columns are not read.
+    calibration's intercept. Without labelled rows of both classes, or with none left to
+    calibrate on, every score is 0.5. Copies get equal scores; ids may be null or repeat;
+    other columns are not read; an empty table gives no rows.
     """
     named = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    good, bad, (slope, shrink, intercept) = train(named, labels)
+    good, bad, (slope, intercept) = train(named, labels)
     if good and bad:
         measured = _differences(named, "doc_id", "long", good, bad)
     else:
-        measured = named.select("doc_id", F.lit(0.0).alias("difference"), F.lit(0.0).alias("shrink"))
-    odds = F.lit(float(slope)) * F.col("difference") + F.lit(float(shrink)) * F.col("shrink") + F.lit(float(intercept))
+        measured = named.select("doc_id", F.lit(0.0).alias("difference"))
+    odds = F.lit(float(slope)) * F.col("difference") + F.lit(float(intercept))
     scored = measured.withColumn("score", 1 / (1 + F.exp(-odds)))
     return scored.select("doc_id", (fold(F.col("doc_id"), FOLDS) == HELD).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"), "difference")
 
