@@ -1,4 +1,4 @@
-"""Hashed byte n-grams of many texts at once."""
+"""Hashed character n-grams of many texts at once."""
 
 from __future__ import annotations
 
@@ -25,10 +25,10 @@ def steps(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
         yield first, held
 
 
-def hashed(raw: list[bytes], lengths: tuple[int, ...], bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each n-gram length (number of the text, hash of ``bits`` bits) of all n-grams within the texts."""
-    flat = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint32)
-    owner = np.repeat(np.arange(len(raw), dtype=np.int32), [len(x) for x in raw])
+def hashed(texts: list[str], lengths: tuple[int, ...], bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each n-gram length (number of the text, hash of ``bits`` bits) of all n-grams of code points within the texts."""
+    flat = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), [len(x) for x in texts])
     value = np.zeros(len(flat), np.uint32)
     for n in range(1, max(lengths) + 1):
         value = value[: len(flat) - n + 1] * np.uint32(0x01000193) + flat[n - 1 :] + np.uint32(1) if n <= len(flat) else value[:0]
@@ -38,10 +38,10 @@ def hashed(raw: list[bytes], lengths: tuple[int, ...], bits: int) -> Iterator[tu
             yield owner[: len(value)][inside], (mixed >> np.uint32(32 - bits))[inside].astype(np.int64)
 
 
-def counted(raw: list[bytes], lengths: tuple[int, ...], bits: int, chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def counted(texts: list[str], lengths: tuple[int, ...], bits: int, chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, hash, count) of the distinct n-grams of each text, by text; only hashes that ``chosen`` marks, if given."""
     keys = []
-    for owner, value in hashed(raw, lengths, bits):
+    for owner, value in hashed(texts, lengths, bits):
         if chosen is not None:
             wanted = chosen[value]
             owner, value = owner[wanted], value[wanted]

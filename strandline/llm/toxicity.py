@@ -12,48 +12,43 @@ from strandline.llm.common import fold, table
 from strandline.llm.labelled import sample
 from strandline.llm.ngrams import counted, steps
 
-LENGTHS, BITS = (3, 4, 5, 6), 20
-#: Labelled rows of a class that the classifier is fit on at most, and the n-grams of largest evidence that it uses.
-PER_CLASS, FEATURES = 4000, 4096
+#: Characters of an n-gram, and bits of its hash. Of the n-grams that take part one in 40 meets another by the hash, at 100,000 of them.
+LENGTHS, BITS = (3, 4, 5, 6), 22
+#: Labelled rows of a class that the classifier is fit on at most. An n-gram takes part if its log-count ratio is that many standard errors from none.
+PER_CLASS, EVIDENCE = 4000, 3.0
 FOLDS, HELD, CUT = 3, 1, 0.7
 
 
-def _raw(text: str) -> bytes:
-    """The bytes whose n-grams count: lower case, white space as one space, a space at both ends."""
-    return f" {' '.join(text.lower().split())} ".encode()
+def plain(text: str) -> str:
+    """What n-grams are taken of: lower case, white space as one space, a space at both ends."""
+    return f" {' '.join(text.lower().split())} "
 
 
 def _document_counts(rows: DataFrame) -> DataFrame:
     """(feature, label, n): labelled documents of each class that have the n-gram; a row for each task, class and n-gram."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, 1 << BITS), np.int64)
+        total = np.zeros((2, 1 << BITS), np.int32)
         for batch in batches:
             label = batch.column(0).to_numpy(zero_copy_only=False)
             for first, texts in steps(batch.column(1)):
-                owner, value, _ = counted([_raw(t) for t in texts], LENGTHS, BITS)
+                owner, value, _ = counted([plain(t) for t in texts], LENGTHS, BITS)
                 for k in (0, 1):
                     total[k] += np.bincount(value[label[first + owner] == k], minlength=1 << BITS)
         k, value = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(value, pa.int32()), pa.array(k, pa.int32()), pa.array(total[k, value])], names=["feature", "label", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(value, pa.int32()), pa.array(k, pa.int32()), pa.array(total[k, value], pa.int64())], names=["feature", "label", "n"])
 
     return rows.select("label", "text").mapInArrow(task, "feature int, label int, n long")
 
 
-def _ratios(counts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The log-count ratio of every n-gram, with one added, and its evidence: the ratio in standard errors."""
-    share = (counts + 1) / (sizes[:, None] + 2)
-    ratio = np.log(share[1]) - np.log(share[0])
-    error = np.sqrt((1 / (counts + 1)).sum(axis=0))
-    return ratio, np.abs(ratio) / error
+def fit(features: np.ndarray, lengths: np.ndarray, places: np.ndarray, values: np.ndarray, y: np.ndarray, penalty: float = 0.02, rounds: int = 300) -> tuple[np.ndarray, float]:
+    """Weights on the scaled features, by accelerated gradient steps; ``places`` are each document's features, of which it has ``lengths``.
 
-
-def _fit(features: np.ndarray, rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, penalty: float = 0.02, rounds: int = 300) -> tuple[np.ndarray, float]:
-    """Weights on the scaled features, by accelerated gradient steps; ``rows`` are the places of each document's features."""
-    places = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    scale = features[places] * np.concatenate([*values, np.zeros(0)])
-    n = max(1, len(rows))
+    They lessen the logistic loss, in which both classes weigh one half, plus penalty / features * half the squared weights.
+    """
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    scale = features[places] * values
+    n = max(1, len(lengths))
     balance = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, n - y.sum()))
     w, b = np.zeros(len(features)), 0.0
     look, look_b, momentum = w, b, 1.0
@@ -73,33 +68,30 @@ def _fit(features: np.ndarray, rows: list[np.ndarray], values: list[np.ndarray],
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
     """(n-grams, weight of each, intercept): fit on at most 2 * PER_CLASS labelled rows outside the held-out fold."""
     rows = sample(docs, labels, "toxic", FOLDS, HELD, PER_CLASS).persist()
-    sizes, counts = np.zeros(2), np.zeros((2, 1 << BITS))
+    sizes = np.zeros(2)
     for r in rows.groupBy("label").count().collect():
         sizes[r["label"]] = r["count"]
-    # n-grams of two documents at least; of these the FEATURES of largest evidence, found by Spark
-    wide = _document_counts(rows).groupBy("feature").agg(*[F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in (0, 1)]).where("n0 + n1 >= 2")
+    # log-count ratios of documents with the n-gram, one added to each count
+    wide = _document_counts(rows).groupBy("feature").agg(*[F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in (0, 1)])
     ratio = F.log((F.col("n1") + 1) / float(sizes[1] + 2)) - F.log((F.col("n0") + 1) / float(sizes[0] + 2))
     evidence = F.abs(ratio) / F.sqrt(1 / (F.col("n0") + 1) + 1 / (F.col("n1") + 1))
-    best = wide.orderBy(evidence.desc(), "feature").limit(FEATURES).collect()
-    grams = np.array(sorted(r["feature"] for r in best), np.int64)
-    for r in best:
-        counts[0, r["feature"]], counts[1, r["feature"]] = r["n0"], r["n1"]
-    scaled = _ratios(counts, sizes)[0][grams]
+    best = wide.where(evidence >= EVIDENCE).select("feature", ratio.alias("ratio")).toPandas().sort_values("feature")
+    grams, scaled = best["feature"].to_numpy(np.int64), best["ratio"].to_numpy(float)
     chosen = np.zeros(1 << BITS, bool)
     chosen[grams] = True
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, texts in steps(batch.column(1)):
-                owner, value, count = counted([_raw(t) for t in texts], LENGTHS, BITS, chosen)
+                owner, value, count = counted([plain(t) for t in texts], LENGTHS, BITS, chosen)
                 ends = pa.array(np.searchsorted(owner, np.arange(len(texts) + 1)), pa.int32())
                 places, values = np.searchsorted(grams, value).astype(np.int32), np.log1p(count).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[first : first + len(texts)], *[pa.ListArray.from_arrays(ends, pa.array(x)) for x in (places, values)]], names=["label", "places", "values"])
 
-    found = rows.select("label", "text").mapInArrow(present, "label int, places array<int>, values array<float>").collect()
+    found = rows.select("label", "text").mapInArrow(present, "label int, places array<int>, values array<float>").toArrow()
     rows.unpersist()
-    y = np.array([r["label"] for r in found], float)
-    weight, intercept = _fit(scaled, [np.array(r["places"], np.int64) for r in found], [np.array(r["values"]) for r in found], y)
+    y, places, values = (found.column(c).combine_chunks() for c in ("label", "places", "values"))
+    weight, intercept = fit(scaled, np.diff(places.offsets.to_numpy()), places.flatten().to_numpy(), values.flatten().to_numpy(), y.to_numpy().astype(float))
     return grams, weight * scaled, float(intercept)
 
 
@@ -108,7 +100,8 @@ def score(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
 
     A text's score depends on the whole text alone, so copies get the same; a null or
     empty text has no n-grams and gets the intercept's score. Ids may be null or repeat.
-    Without labelled rows every score is 0.5. Other columns are not read.
+    Without labelled rows every score is 0.5. Other columns are not read; an empty table
+    gives no rows.
     """
     named = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     grams, weights, intercept = train(named, labels)
@@ -120,7 +113,7 @@ def score(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, texts in steps(batch.column(1)):
-                owner, value, count = counted([_raw(t) for t in texts], LENGTHS, BITS, chosen)
+                owner, value, count = counted([plain(t) for t in texts], LENGTHS, BITS, chosen)
                 odds = intercept + np.bincount(owner, table_[value] * np.log1p(count), minlength=len(texts))
                 p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[first : first + len(texts)], pa.array(p)], names=["doc_id", "score"])
