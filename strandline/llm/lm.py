@@ -17,15 +17,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from strandline.llm.common import Scratch, fold, table
+from strandline.llm.common import Scratch, fold, most_frequent, table
 
 FOLDS, HELD = 7, 2
 #: Words whose counts every task holds, and how many of them are classes of their own. Both bound what is broadcast.
 FREQUENT, OWN = 120_000, 6000
 #: Classes of the other words, by the crc32 of their last TAIL bytes.
 TAILS, TAIL = 1024, 4
-STATES, ROUNDS = 6, 4
-#: Training reads sequences in segments of this length; scoring reads whole texts.
+#: Training ends after ROUNDS, or once a round raises the log likelihood by less than this share.
+STATES, ROUNDS, GAIN = 6, 4, 1e-3
+#: Tokens of a block of training. A block's products of transitions give the state at its borders, so no move is lost there.
 SEGMENT = 256
 #: Tokens that a step of a task holds, and words that a task counts before it passes them on.
 STEP, FLUSH = 200_000, 300_000
@@ -38,25 +39,26 @@ def tail_class(word: bytes) -> int:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, c) of the lower-cased words of ``text``."""
+    """(word, c, n) of the lower-cased words of ``text``: their number in training rows and in all."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
+        found: tuple[Counter, Counter] = Counter(), Counter()
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()).cast(pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
+            for held, words in enumerate(found):
+                n = pa.array(list(words.values()), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()).cast(pa.string()), pa.array([0] * len(words), pa.int64()) if held else n, n], names=["word", "c", "n"])
+                words.clear()
 
         for batch in batches:
-            texts = batch.column(0)
+            texts, held = batch.column(0), batch.column(1).to_pylist()
             for i in range(len(texts)):
-                found.update((texts[i].as_py() or "").encode().lower().split())
-                if len(found) > FLUSH:
-                    yield out()
-                    found.clear()
-        if found:
-            yield out()
+                found[held[i]].update((texts[i].as_py() or "").encode().lower().split())
+                if len(found[0]) + len(found[1]) > FLUSH:
+                    yield from out()
+        yield from out()
 
-    return docs.select("text").mapInArrow(task, "word string, n long").groupBy("word").agg(F.sum("n").alias("c"))
+    return docs.select("text", "held_out").mapInArrow(task, "word string, c long, n long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
 def class_totals(counts: DataFrame, own: set[bytes]) -> np.ndarray:
@@ -72,13 +74,13 @@ def class_totals(counts: DataFrame, own: set[bytes]) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(TAILS, dtype=np.int32)), pa.array(total)], names=["class", "total"])
 
     out = np.ones(TAILS)
-    for r in counts.mapInArrow(task, "class int, total double").groupBy("class").agg(F.sum("total").alias("total")).collect():
+    for r in counts.where("c > 0").select("word", "c").mapInArrow(task, "class int, total double").groupBy("class").agg(F.sum("total").alias("total")).collect():
         out[r["class"]] += r["total"]
     return out
 
 
 def encode(docs: DataFrame, frequent: dict[bytes, int], own: list[bytes], totals: np.ndarray) -> DataFrame:
-    """Each document's classes as 16-bit numbers, its sums over frequent words and its other words.
+    """Each document's classes as 16-bit numbers, its sums over frequent words, and its other words with their number.
 
     ``docs`` has the columns key, doc_id, held_out and text.
     """
@@ -87,37 +89,37 @@ def encode(docs: DataFrame, frequent: dict[bytes, int], own: list[bytes], totals
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, own, log_total = shared.value
         number = {w: i for i, w in enumerate(own)}
-        classes: dict[bytes, tuple[int, float, float]] = {w: (number.get(w, -1), float(np.log10(c + 1)), 0.0) for w, c in frequent.items()}
-        for w, (k, known, _) in classes.items():
-            if k < 0:
-                k = tail_class(w)
-                classes[w] = (k, known, known - log_total[k - OWN])
+        # class, base, within its class, known
+        classes: dict[bytes, tuple[int, float, float, int]] = {}
+        for w, c in frequent.items():
+            k, known = number.get(w, -1), float(np.log10(c + 1))
+            classes[w] = (k, known, 0.0, 1) if k >= 0 else (tail_class(w), known, known - log_total[tail_class(w) - OWN], int(c > 0))
         for batch in batches:
             texts = batch.column(3)
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(7)]
             for i in range(batch.num_rows):
                 words = (texts[i].as_py() or "").encode().lower().split()
-                kinds, base, within, known, rare = np.empty(len(words) + 1, np.uint16), 0.0, 0.0, 0, []
+                kinds, base, within, known, rare = np.empty(len(words) + 1, np.uint16), 0.0, 0.0, 0, Counter()
                 for t, w in enumerate(words):
                     found = classes.get(w)
                     if found is None:
                         k = tail_class(w)
                         kinds[t] = k
                         within -= log_total[k - OWN]
-                        rare.append(w)
+                        rare[w] += 1
                     else:
                         kinds[t] = found[0]
                         base += found[1]
                         within += found[2]
-                        known += 1
+                        known += found[3]
                 kinds[-1] = END
-                for column, x in zip(out, (len(words) + 1, known, base, within, kinds.tobytes(), rare)):
+                for column, x in zip(out, (len(words) + 1, known, base, within, kinds.tobytes(), list(rare), list(rare.values()))):
                     column.append(x)
             types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())
-            words_ = pa.array(out[5], pa.list_(pa.binary())).cast(pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(c, t) for c, t in zip(out, types)], words_], names=["key", "doc_id", "held_out", "n_tokens", "n_frequent", "base", "within", "classes", "rare"])
+            words_, times = pa.array(out[5], pa.list_(pa.binary())).cast(pa.list_(pa.string())), pa.array(out[6], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(c, t) for c, t in zip(out, types)], words_, times], names=["key", "doc_id", "held_out", "n_tokens", "n_frequent", "base", "within", "classes", "rare", "times"])
 
-    return docs.select("key", "doc_id", "held_out", "text").mapInArrow(task, "key long, doc_id long, held_out boolean, n_tokens long, n_frequent long, base double, within double, classes binary, rare array<string>")
+    return docs.select("key", "doc_id", "held_out", "text").mapInArrow(task, "key long, doc_id long, held_out boolean, n_tokens long, n_frequent long, base double, within double, classes binary, rare array<string>, times array<int>")
 
 
 class Model:
@@ -143,7 +145,7 @@ class Model:
         start, move = start + 0.1, move + 0.1
         return cls(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
-    def forward(self, rows: np.ndarray, starts: np.ndarray, lengths: np.ndarray, keep: bool = False):
+    def forward(self, rows: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Log10 likelihood of each sequence; ``lengths`` fall. ``rows`` are the classes of all, one sequence after another.
 
         At step t only the sequences longer than t are left, so none is padded.
@@ -151,7 +153,6 @@ class Model:
         n, longest = len(lengths), int(lengths[0]) if len(lengths) else 0
         live = n - np.searchsorted(lengths[::-1], np.arange(longest), side="right")
         total = np.zeros(n)
-        alphas, scales = [], []
         alpha = None
         for t in range(longest):
             m = live[t]
@@ -160,47 +161,88 @@ class Model:
             scale = alpha.sum(axis=1)
             alpha = alpha / scale[:, None]
             total[:m] += np.log10(scale)
-            if keep:
-                alphas.append(alpha)
-                scales.append(scale)
-        return (total, live, alphas, scales) if keep else total
-
-    def counts(self, rows: np.ndarray, starts: np.ndarray, lengths: np.ndarray):
-        """Expected counts of starts, moves and emissions, and the log10 likelihood of all."""
-        total, live, alphas, scales = self.forward(rows, starts, lengths, True)
+        return total
+
+    def products(self, rows: np.ndarray, starts: np.ndarray, lengths: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """[block, state, state]: the product of move and emission over each block's tokens, up to a factor.
+
+        The ``first`` block of a text has no move into its first token. ``lengths`` fall.
+        """
+        n, longest = len(lengths), int(lengths[0]) if len(lengths) else 0
+        live = np.append(n - np.searchsorted(lengths[::-1], np.arange(longest), side="right"), 0)
+        out, p = np.empty((n, STATES, STATES)), np.where(first[:, None, None], np.eye(STATES), self.move)
+        for t in range(longest):
+            m = live[t]
+            if t:
+                p = (p[:m].reshape(-1, STATES) @ self.move).reshape(-1, STATES, STATES)
+            p = p * self.emit[rows[starts[:m] + t]][:, None, :]
+            p /= p.sum(axis=(1, 2), keepdims=True)
+            out[live[t + 1] : m] = p[live[t + 1] :]
+        return out
+
+    def borders(self, products: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each block the forward state before it and the backward state at its last token.
+
+        ``texts`` are the numbers of blocks of the texts, whose blocks follow each other.
+        """
+        before, after = np.tile(self.start, (len(products), 1)), np.ones((len(products), STATES))
+        at = np.cumsum(texts) - texts
+        for k in range(1, int(texts.max(initial=0))):
+            i = at[texts > k] + k
+            left = np.einsum("ns,nst->nt", before[i - 1], products[i - 1])
+            before[i] = left / left.sum(axis=1, keepdims=True)
+        for k in range(int(texts.max(initial=0)) - 2, -1, -1):
+            i = at[texts > k + 1] + k
+            right = np.einsum("nst,nt->ns", products[i + 1], after[i + 1])
+            after[i] = right / (before[i + 1] * right).sum(axis=1, keepdims=True)
+        return before, after
+
+    def counts(self, rows: np.ndarray, starts: np.ndarray, lengths: np.ndarray, first: np.ndarray | None = None, before: np.ndarray | None = None, after: np.ndarray | None = None):
+        """Expected counts of starts, moves and emissions, and the log10 likelihood of all; ``lengths`` fall.
+
+        Sequences are whole texts, or blocks with the states at their borders.
+        """
+        n, longest = len(lengths), int(lengths[0]) if len(lengths) else 0
+        first = np.ones(n, bool) if first is None else first
+        before = np.tile(self.start, (n, 1)) if before is None else before
+        after = np.ones((n, STATES)) if after is None else after
+        live = n - np.searchsorted(lengths[::-1], np.arange(longest), side="right")
+        total, alphas, scales = 0.0, [], []
+        alpha = np.where(first[:, None], before, before @ self.move)
+        for t in range(longest):
+            m = live[t]
+            alpha = (alpha[:m] @ self.move if t else alpha) * self.emit[rows[starts[:m] + t]]
+            scale = alpha.sum(axis=1)
+            alpha = alpha / scale[:, None]
+            total += np.log10(scale).sum()
+            alphas.append(alpha)
+            scales.append(scale)
         start, move = np.zeros(STATES), np.zeros((STATES, STATES))
         shares, places = [], []
         beta = None
-        for t in range(len(live) - 1, -1, -1):
-            m = live[t]
-            now = np.ones((m, STATES))
-            if t + 1 < len(live):
+        for t in range(longest - 1, -1, -1):
+            now = after[: live[t]].copy()
+            if t + 1 < longest:
                 k = live[t + 1]
                 ahead = self.emit[rows[starts[:k] + t + 1]] * beta / scales[t + 1][:, None]
                 move += alphas[t][:k].T @ ahead
                 now[:k] = ahead @ self.move.T
             beta = now
             shares.append(alphas[t] * beta)
-            places.append(rows[starts[:m] + t])
+            places.append(rows[starts[: live[t]] + t])
         if shares:
-            start += shares[-1].sum(axis=0)
+            start += shares[-1][first].sum(axis=0)
+            inner = ~first
+            move += before[inner].T @ (self.emit[rows[starts[inner]]] * beta[inner] / scales[0][inner][:, None])
         move *= self.move
         share, place = np.concatenate([*shares, np.zeros((0, STATES))]), np.concatenate([*places, np.zeros(0, np.int64)]).astype(np.int64)
         emit = np.stack([np.bincount(place, share[:, s], minlength=CLASSES) for s in range(STATES)], axis=1)
-        return start, move, emit, total.sum()
-
-
-def _grouped(column: pa.Array, segment: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(number of the document, classes of all, starts, falling lengths) in steps of about STEP tokens."""
-    sizes = np.array([column[i].as_buffer().size // 2 for i in range(len(column))], np.int64)
-    if segment is None:
-        doc, start, length = np.arange(len(sizes)), np.zeros(len(sizes), np.int64), sizes
-    else:
-        parts = (sizes + segment - 1) // segment
-        doc = np.repeat(np.arange(len(sizes)), parts)
-        start = (np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)) * segment
-        length = np.minimum(segment, sizes[doc] - start)
-    order = np.argsort(-length, kind="stable")
+        return start, move, emit, total
+
+
+def _stepped(column: pa.Array, doc: np.ndarray, start: np.ndarray, length: np.ndarray, chosen: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(places in ``chosen`` order, classes of all, starts, falling lengths) of the chosen blocks, in steps of about STEP tokens."""
+    order = chosen[np.argsort(-length[chosen], kind="stable")]
     ends = np.cumsum(length[order])
     cut = np.searchsorted(ends // STEP, np.arange(1, (ends[-1] // STEP if len(ends) else -1) + 2))
     at = 0
@@ -208,11 +250,37 @@ def _grouped(column: pa.Array, segment: int | None) -> Iterator[tuple[np.ndarray
         if to > at:
             picked = order[at:to]
             rows = np.concatenate([np.frombuffer(column[int(doc[p])].as_buffer(), "<u2")[start[p] : start[p] + length[p]] for p in picked]).astype(np.int64)
-            lengths = length[picked]
-            yield doc[picked], rows, np.cumsum(lengths) - lengths, lengths
+            yield picked, rows, np.cumsum(length[picked]) - length[picked], length[picked]
             at = to
 
 
+def _sizes(column: pa.Array) -> np.ndarray:
+    return np.array([column[i].as_buffer().size // 2 for i in range(len(column))], np.int64)
+
+
+def expected(column: pa.Array, model: Model):
+    """The sums of ``Model.counts`` over the whole texts of a batch, block by block with the states at the borders."""
+    sizes = _sizes(column)
+    parts = (sizes + SEGMENT - 1) // SEGMENT
+    doc = np.repeat(np.arange(len(sizes)), parts)
+    turn = np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)
+    start, first = turn * SEGMENT, turn == 0
+    length = np.minimum(SEGMENT, sizes[doc] - start)
+    before, after = np.tile(model.start, (len(doc), 1)), np.ones((len(doc), STATES))
+    several = np.nonzero(parts[doc] > 1)[0]
+    if len(several):
+        products, place = np.empty((len(several), STATES, STATES)), np.zeros(len(doc), np.int64)
+        place[several] = np.arange(len(several))
+        for picked, *sequences in _stepped(column, doc, start, length, several):
+            products[place[picked]] = model.products(*sequences, first[picked])
+        before[several], after[several] = model.borders(products, parts[parts > 1])
+    sums = None
+    for picked, *sequences in _stepped(column, doc, start, length, np.arange(len(doc))):
+        found = model.counts(*sequences, first[picked], before[picked], after[picked])
+        sums = found if sums is None else tuple(a + b for a, b in zip(sums, found))
+    return sums
+
+
 def baum_welch(encoded: DataFrame, model: Model, seen: np.ndarray) -> tuple[Model, float]:
     """One round: every task sums its expected counts, Spark adds those of all tasks by class. The driver gets CLASSES rows."""
     shared = encoded.sparkSession.sparkContext.broadcast(model)
@@ -221,9 +289,8 @@ def baum_welch(encoded: DataFrame, model: Model, seen: np.ndarray) -> tuple[Mode
         model = shared.value
         start, move, emit, total = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((CLASSES, STATES)), 0.0
         for batch in batches:
-            for _, rows, starts, lengths in _grouped(batch.column(0), SEGMENT):
-                a, b, c, d = model.counts(rows, starts, lengths)
-                start, move, emit, total = start + a, move + b, emit + c, total + d
+            if found := expected(batch.column(0), model):
+                start, move, emit, total = (x + y for x, y in zip((start, move, emit, total), found))
         # rows beyond the classes hold the moves, the starts and the likelihood
         every = np.vstack([emit, move, start, np.full((1, STATES), total)])
         used = np.nonzero(every.any(axis=1))[0]
@@ -245,8 +312,10 @@ def likelihood(encoded: DataFrame, model: Model) -> DataFrame:
         model = shared.value
         for batch in batches:
             out = np.zeros(batch.num_rows)
-            for doc, rows, starts, lengths in _grouped(batch.column(6), None):
-                out[doc] = model.forward(rows, starts, lengths)
+            sizes = _sizes(batch.column(6))
+            every = np.arange(len(sizes))
+            for picked, *sequences in _stepped(batch.column(6), every, 0 * every, sizes, every):
+                out[picked] = model.forward(*sequences)
             yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(out)], names=["key", "doc_id", "held_out", "n_tokens", "n_frequent", "sums", "forward"])
 
     picked = encoded.select("key", "doc_id", "held_out", "n_tokens", "n_frequent", F.struct("base", "within").alias("sums"), "classes")
@@ -264,26 +333,31 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     named = docs.select(
         F.monotonically_increasing_id().alias("key"), F.col(id_column).cast("long").alias("doc_id"), (fold(F.col(id_column), FOLDS) == HELD).alias("held_out"), F.col(text_column).alias("text")
     )
-    training = named.where("not held_out")
-    counts = scratch.keep(word_counts(training), "counts")
-    known = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    ends = training.count()
+    counts = scratch.keep(word_counts(named), "counts")
+    known = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
+    ends = named.where("not held_out").count()
     n, v = known["n"] + ends, known["v"] + (ends > 0)
-    top = [(r["word"].encode(), r["c"]) for r in counts.orderBy(F.col("c").desc(), "word").limit(FREQUENT).collect()]
-    own, frequent = [w for w, _ in top[:OWN]], dict(top)
+    # by all rows, so that a word of the held-out texts alone is no hot key of the join below
+    top = most_frequent(counts, "n", FREQUENT).toPandas()
+    frequent = dict(zip([w.encode() for w in top["word"]], top["c"].tolist()))
+    own = [w for w, c in sorted(frequent.items(), key=lambda x: (-x[1], x[0]))[:OWN] if c > 0]
     totals = class_totals(counts, set(own))
     encoded = scratch.keep(encode(named, frequent, own, totals), "encoded")
 
     seen = np.zeros(CLASSES)
-    seen[: len(own)] = [c for _, c in top[:OWN]]
+    seen[: len(own)] = [frequent[w] for w in own]
     seen[OWN:END], seen[END] = totals, ends
-    model = Model.first(seen)
+    model, likely = Model.first(seen), None
     for _ in range(rounds if ends else 0):
-        model, _ = baum_welch(encoded, model, seen)
-
-    # words that the tasks do not hold meet their counts in a shuffle; each has less than 1 in FREQUENT of the training words
-    rare = encoded.select("key", F.explode("rare").alias("word")).join(counts, "word", "left")
-    of_key = rare.groupBy("key").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 1.0)).alias("rare_base"), F.count("c").alias("rare_known"))
+        before = likely
+        model, likely = baum_welch(encoded, model, seen)
+        if before is not None and likely - before < GAIN * abs(before):
+            break
+
+    # words that the tasks do not hold meet their counts in a shuffle; each is rarer than those that they hold
+    rare = encoded.select("key", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("key", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
+    rare = rare.join(counts.where("c > 0").select("word", "c"), "word")
+    of_key = rare.groupBy("key").agg(F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("rare_base"), F.sum("times").alias("rare_known"))
     scored = likelihood(encoded, model).join(of_key, "key", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return scored.select(
