@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 #: Words are runs of anything but ASCII white space. ``bytes.split()`` splits at the same six characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: A key with more than one in SPREAD of all rows is dealt to several tasks, so fewer than SPREAD such keys exist; parts of PART rows are small enough.
-SPREAD, PART = 1000, 256
+SPREAD, PART = 1000, 1024
 #: Steps of an octave in which counts are put to find the most frequent.
 STEPS = 64
 
@@ -29,15 +30,19 @@ def free_prefix(columns: list[str], prefix: str = "__") -> str:
     return prefix
 
 
-def spread_join(rows: DataFrame, table: DataFrame, key: str, salt: list[str], total: int, how: str = "inner") -> DataFrame:
+def spread_join(rows: DataFrame, table: DataFrame, key: str, salt: list[str], total: int, how: str = "inner", sizes: DataFrame | None = None) -> DataFrame:
     """``rows`` joined with ``table`` on ``key``, where a key may hold any share of the ``total`` rows.
 
     The rows of a hot key go to as many parts as keep each below 1 in SPREAD of all rows
     (or PART rows), by a hash of the columns ``salt``; the other side's rows of that key are
     copied to each part. The broadcast table of hot keys has fewer than SPREAD rows.
+    ``sizes`` may give the rows of each key as ``n``.
     """
+    if total <= PART:
+        return rows.join(table, key, how)
     part = max(PART, total / SPREAD)
-    hot = F.broadcast(rows.groupBy(key).agg(F.ceil(F.count("*") / F.lit(part)).cast("int").alias("__parts")).where("__parts > 1"))
+    sizes = rows.groupBy(key).agg(F.count("*").alias("n")) if sizes is None else sizes
+    hot = F.broadcast(sizes.select(key, F.ceil(F.col("n") / F.lit(part)).cast("int").alias("__parts")).where("__parts > 1"))
     parts = F.coalesce("__parts", F.lit(1))
     one = rows.join(hot, key, "left").withColumn("__part", F.pmod(F.xxhash64(*salt, F.lit(17)), parts).cast("int")).drop("__parts")
     other = table.join(hot, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
@@ -118,6 +123,9 @@ class Scratch:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
             path.getFileSystem(conf).delete(path, True)
+        # Spark deletes the shuffle files of a plan once the driver has collected it as garbage
+        gc.collect()
+        jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

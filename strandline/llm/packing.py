@@ -94,7 +94,7 @@ class Packer:
         self.tiers, self.top, self.step_tokens = sorted(tiers), max(tiers), step_tokens
         self.next_sequence = self.next_group = prefix
         self.pool: list[tuple[int, int]] = []  # length, number of the open document; ascending
-        self.open: dict[int, list] = {}  # number: id, bytes, tokens, next start
+        self.open: dict[int, list] = {}  # number: id, bytes not in a window yet, tokens, next start, start of the bytes
         self.numbered = self.waiting = 0
         self.rows: list[list] = []
 
@@ -102,7 +102,7 @@ class Packer:
         doc = self.open[number]
         at = doc[3]
         doc[3] += length
-        self.rows.append([doc[0], at, length, zlib.crc32(memoryview(doc[1])[4 * at : 4 * (at + length)]), doc[2], sequence, offset, tier, 0])
+        self.rows.append([doc[0], at, length, zlib.crc32(memoryview(doc[1])[4 * (at - doc[4]) : 4 * (at + length - doc[4])]), doc[2], sequence, offset, tier, 0])
         if doc[3] == doc[2]:
             del self.open[number]
 
@@ -113,10 +113,11 @@ class Packer:
     def add(self, doc_id, ids: bytes) -> None:
         number, n = self.numbered, len(ids) // 4
         self.numbered += 1
-        self.open[number] = [doc_id, ids, n, 0]
+        self.open[number] = doc = [doc_id, ids, n, 0, 0]
         for _ in range(n // self.top):
             self._piece(number, self.top, self._sequence(), 0, self.top)
         if rest := n % self.top:
+            doc[1], doc[4] = ids[4 * doc[3] :], doc[3]
             bisect.insort(self.pool, (rest, number))
             self.waiting += rest
 
@@ -163,7 +164,7 @@ def pack(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column
     """Pieces of documents in sequences of at most ``max(tiers)`` ids.
 
     Each task packs its own documents, so nothing is shuffled and a task holds at most
-    ``POOL`` open remainders. Sequence and group numbers start at the task's partition
+    ``POOL`` open remainders of less than a window each. Sequence and group numbers start at the task's partition
     number times 2**32. All windows are full; the last tokens of a task, fewer than the
     next window, go to sequences whose lengths are powers of two. A null or empty text is
     the end id alone; a null id stays null; repeated rows are packed as often as they

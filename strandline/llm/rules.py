@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from strandline.llm.common import Scratch, table
+from strandline.llm.common import Scratch, free_prefix, table
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
@@ -92,10 +92,10 @@ def base_failed(counts: list[int]) -> bool:
     return counts[0] < 10 or 100 * counts[4] > 20 * counts[0]
 
 
-def with_votes(docs: DataFrame, text_column: str, keep: list[str]) -> DataFrame:
-    """The columns of ``keep``, the five counts and the votes as a text of one digit a rule."""
+def with_votes(docs: DataFrame, text_column: str, keep: list[str], mark: str) -> DataFrame:
+    """The columns of ``keep``, the five counts and the votes as a text of one digit a rule, in columns that begin with ``mark``."""
     docs = docs.select(*keep, *([] if text_column in keep else [text_column]))
-    fields = [docs.schema[c] for c in keep] + [T.StructField(f"__{c}", T.LongType()) for c in COUNTS] + [T.StructField("__votes", T.StringType())]
+    fields = [docs.schema[c] for c in keep] + [T.StructField(mark + c, T.LongType()) for c in COUNTS] + [T.StructField(f"{mark}votes", T.StringType())]
     at = docs.columns.index(text_column)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,17 +141,20 @@ def posterior(share: float, chances: np.ndarray, voted: np.ndarray) -> np.ndarra
     return 1 / (1 + np.exp(-odds))
 
 
-def verdict(measured: DataFrame, cut: float) -> DataFrame:
-    """Adds __posterior and __kept. The vote patterns number at most 3 to the count of rules, whatever the input."""
-    patterns = {r["__votes"]: r["n"] for r in measured.groupBy("__votes").agg(F.count("*").alias("n")).collect()}
+def verdict(measured: DataFrame, cut: float, mark: str) -> DataFrame:
+    """Adds posterior, failed and kept. The vote patterns number at most 3 to the count of rules, whatever the input."""
+    voted = F.col(f"{mark}votes")
+    patterns = {r["v"]: r["n"] for r in measured.groupBy(voted.alias("v")).agg(F.count("*").alias("n")).collect()}
     share, chances = fit(dict(sorted(patterns.items())))
     odds = F.lit(float(np.log(share) - np.log1p(-share)))
     for k in range(len(RULES)):
         gain = [float(np.log(chances[1, k, v]) - np.log(chances[0, k, v])) for v in range(3)]
-        vote = F.substring("__votes", k + 1, 1)
+        vote = F.substring(voted, k + 1, 1)
         odds = odds + F.when(vote == "0", gain[0]).when(vote == "1", gain[1]).otherwise(gain[2])
-    failed = (F.col("__n_words") < 10) | (100 * F.col("__n_repeat_words") > 20 * F.col("__n_words"))
-    return measured.withColumn("__posterior", 1 / (1 + F.exp(-odds))).withColumn("__failed", failed).withColumn("__kept", ~failed & (F.col("__posterior") >= cut))
+    n_words = F.col(f"{mark}n_words")
+    failed = (n_words < 10) | (100 * F.col(f"{mark}n_repeat_words") > 20 * n_words)
+    found = measured.withColumn(f"{mark}posterior", 1 / (1 + F.exp(-odds))).withColumn(f"{mark}failed", failed)
+    return found.withColumn(f"{mark}kept", ~failed & (F.col(f"{mark}posterior") >= cut))
 
 
 def judge(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", cut: float = 0.5) -> DataFrame:
@@ -161,17 +164,21 @@ def judge(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     limits abstain. Equal texts get equal verdicts; ids may be null or repeat; other
     columns are not read; an empty table gives no rows.
     """
-    scratch = Scratch(docs.sparkSession)
+    scratch, mark = Scratch(docs.sparkSession), "__"
     named = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    measured = scratch.keep(with_votes(named, "text", ["doc_id"]), "votes")
-    return verdict(measured, cut).select("doc_id", *[F.col(f"__{c}").alias(c) for c in COUNTS], F.col("__failed").alias("base_failed"), F.col("__kept").alias("kept"), F.col("__posterior").alias("posterior"), F.col("__votes").alias("votes"))
+    measured = scratch.keep(with_votes(named, "text", ["doc_id"], mark), "votes")
+    return verdict(measured, cut, mark).select("doc_id", *[F.col(f"__{c}").alias(c) for c in COUNTS], F.col("__failed").alias("base_failed"), F.col("__kept").alias("kept"), F.col("__posterior").alias("posterior"), F.col("__votes").alias("votes"))
 
 
 def keep_good(docs: DataFrame, text_column: str = "text", cut: float = 0.5) -> DataFrame:
-    """The documents that judge() keeps, with their own columns."""
-    scratch = Scratch(docs.sparkSession)
-    measured = scratch.keep(with_votes(docs, text_column, docs.columns), "votes")
-    return verdict(measured, cut).where("__kept").select(*docs.columns)
+    """The documents that judge() keeps, with their own columns, whatever their names.
+
+    Null and short texts go; repeated rows share their fate; ids are not read; an empty
+    table gives no rows.
+    """
+    scratch, mark = Scratch(docs.sparkSession), free_prefix(docs.columns)
+    measured = scratch.keep(with_votes(docs, text_column, docs.columns, mark), "votes")
+    return verdict(measured, cut, mark).where(F.col(f"{mark}kept")).select(*docs.columns)
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:

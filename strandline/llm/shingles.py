@@ -24,7 +24,7 @@ from strandline.llm.simhash import fingerprint_of, hashed_shingles, links, roots
 #: Words of a shingle; the least similarity is LEAST / OF.
 WIDTH, LEAST, OF = 5, 4, 5
 #: Documents whose shingles are counted and shingles put last at most. They set the order only, never the result.
-COUNTED, LAST = 20_000, 100_000
+COUNTED, LAST = 5000, 100_000
 #: Documents of a shingle that one cell compares, and rounds against heads at most before the rest is compared pair by pair.
 CELL, ROUNDS = 1024, 4
 #: Words of 64 bits in a broadcast bitmap.
@@ -51,16 +51,30 @@ def prefix(own: np.ndarray, often: np.ndarray, counts: np.ndarray) -> np.ndarray
     return own[np.lexsort((own, weight))[: n - (LEAST * n + OF - 1) // OF + 1]]
 
 
-def _perhaps_among(df: DataFrame, column: str, others: DataFrame, other: str) -> DataFrame:
-    """The rows whose value occurs in the others, and some that share a bit with one: spares a shuffle of all rows.
+def _flagged(df: DataFrame, column: str, others: DataFrame, other: str) -> tuple[DataFrame, str]:
+    """``df`` with a further column, and its name: true where the value occurs among the others, and for some that share a bit with one.
 
-    The bitmap has a fixed size; where it fills up, rows pass that the next join drops.
+    The broadcast bitmap has a fixed size; where it fills up, more rows are true.
     """
+    mark = free_prefix(df.columns)
     word = lambda c: F.pmod(F.xxhash64(c, F.lit(1)), F.lit(BITMAP))
     bit = lambda c: F.pmod(F.xxhash64(c, F.lit(2)), F.lit(64)).cast("int")
-    bits = others.groupBy(word(other).alias("__word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit(other))).alias("__bits"))
-    met = df.withColumn("__word", word(column)).join(F.broadcast(bits), "__word")
-    return met.where(F.call_function("getbit", "__bits", bit(column)) == 1).select(*df.columns)
+    bits = others.groupBy(word(other).alias(f"{mark}word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit(other))).alias(f"{mark}held"))
+    met = df.withColumn(f"{mark}word", word(column)).join(F.broadcast(bits), f"{mark}word", "left")
+    return met.select(*df.columns, F.coalesce(F.call_function("getbit", f"{mark}held", bit(column)) == 1, F.lit(False)).alias(f"{mark}met")), f"{mark}met"
+
+
+def _perhaps_among(df: DataFrame, column: str, others: DataFrame, other: str) -> DataFrame:
+    """The rows whose value occurs among the others, and some more, which the next join drops: spares a shuffle of all rows."""
+    flagged, met = _flagged(df, column, others, other)
+    return flagged.where(F.col(met)).select(*df.columns)
+
+
+def _without(df: DataFrame, column: str, others: DataFrame, other: str) -> DataFrame:
+    """The rows whose value does not occur among the others; only those that may occur are shuffled."""
+    flagged, met = _flagged(df, column, others, other)
+    rest = flagged.where(F.col(met)).join(others.select(F.col(other).alias(column)), column, "left_anti")
+    return flagged.where(~F.col(met)).select(*df.columns).unionByName(rest.select(*df.columns))
 
 
 def _often(texts: DataFrame, text_column: str) -> tuple[np.ndarray, np.ndarray]:
@@ -103,28 +117,24 @@ def _described(docs: DataFrame, text_column: str, mark: str, often: np.ndarray,
     return docs.mapInArrow(task, schema)
 
 
-def _sets(texts: DataFrame) -> DataFrame:
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingles(t.as_py()).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["row", "shingles"])
-
-    return texts.mapInArrow(task, "row long, shingles binary")
-
-
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(bits, other): the pairs (a, b) that are similar by their whole sets. A document of very many pairs is spread over tasks."""
+def _confirmed(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+    """(bits, other): the pairs (a, b) whose texts are similar by their whole sets. A document of very many pairs is spread over tasks."""
     total = pairs.count()
-    of = lambda end: _perhaps_among(sets.select(F.col("row").alias(end), F.col("shingles").alias(f"set_{end}")), end, pairs, end)
+    of = lambda end: _perhaps_among(whole.select(F.col("row").alias(end), F.col("text").alias(f"text_{end}")), end, pairs, end)
+    sizes = lambda end: pairs.groupBy(end).agg(F.count("*").alias("n"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = lambda x: np.frombuffer(x.as_py(), np.uint64)
+        last, own = None, None
         for batch in batches:
-            keep = pa.array([similar(read(a), read(b)) for a, b in zip(batch.column(2), batch.column(3))], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["bits", "other"]).filter(keep)
+            keep = []
+            for row, a, b in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
+                if row != last:  # the pairs of one document mostly follow each other
+                    last, own = row, shingles(a.as_py())
+                keep.append(similar(own, shingles(b.as_py())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["bits", "other"]).filter(pa.array(keep, pa.bool_()))
 
-    met = spread_join(spread_join(pairs, of("b"), "b", ["a"], total), of("a"), "a", ["b"], total)
-    return met.select("a", "b", "set_a", "set_b").mapInArrow(task, "bits long, other long")
+    met = spread_join(spread_join(pairs, of("b"), "b", ["a"], total, sizes=sizes("b")), of("a"), "a", ["b"], total, sizes=sizes("a"))
+    return met.select("a", "b", "text_a", "text_b").mapInArrow(task, "bits long, other long")
 
 
 def _fit(one: str, other: str) -> Column:
@@ -132,21 +142,27 @@ def _fit(one: str, other: str) -> Column:
     return (F.col(one) * OF >= F.col(other) * LEAST) & (F.col(other) * OF >= F.col(one) * LEAST)
 
 
-def _mixed(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _mixed(lists: DataFrame, labels: DataFrame | None, scratch: Scratch, name: str) -> DataFrame:
     """The lists whose documents are not all connected yet, with each document's label and the list's length."""
-    named, total = lists.drop("label", "n"), lists.count()
+    named = lists.drop("label", "n")
     if labels is None:
         named = named.withColumn("label", F.col("row"))
     else:
         named = named.join(labels.select(F.col("bits").alias("row"), F.col("root").alias("label")), "row", "left").withColumn("label", F.coalesce("label", "row"))
+        named = scratch.keep(named, f"{name}_named")
     several = named.groupBy("shingle").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("shingle", "n")
-    return spread_join(named, several, "shingle", ["row"], total)
+    several = scratch.keep(several, f"{name}_several")
+    mixed = _perhaps_among(named, "shingle", several, "shingle")
+    found = scratch.keep(spread_join(mixed, several, "shingle", ["row"], lists.count(), sizes=several), name)
+    scratch.drop(f"{name}_several", *([f"{name}_named"] if labels is not None else []))
+    return found
 
 
 def _against_heads(lists: DataFrame, turn: int) -> DataFrame:
     """(a, b): each document b with that head of its lists which it meets most often. The rest is left to later rounds."""
     head = lists.groupBy("shingle").agg(F.min(F.struct(F.xxhash64("row", F.lit(turn)).alias("by"), F.col("row").alias("head"), F.col("size").alias("head_size"), F.col("label").alias("head_label"))).alias("h")).select("shingle", "h.*")
-    met = spread_join(lists, head, "shingle", ["row"], lists.count()).where((F.col("label") != F.col("head_label")) & _fit("size", "head_size"))
+    sizes = lists.groupBy("shingle").agg(F.first("n").alias("n"))
+    met = spread_join(lists, head, "shingle", ["row"], lists.count(), sizes=sizes).where((F.col("label") != F.col("head_label")) & _fit("size", "head_size"))
     often = met.groupBy("row", "head", "by").agg(F.count("*").alias("times"))
     return often.groupBy("row").agg(F.max(F.struct("times", "by", "head")).alias("best")).select(F.col("best.head").alias("a"), F.col("row").alias("b"))
 
@@ -163,35 +179,34 @@ def _all_pairs(lists: DataFrame) -> DataFrame:
 def _by_fingerprint(texts: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b): pairs that the fingerprints propose. Texts of one fingerprint go with its first, linked fingerprints by their first texts."""
     total = texts.count()
-    prints = scratch.keep(texts.groupBy("bits").agg(F.min("row").alias("a")), "prints")
-    same = spread_join(texts.select("bits", F.col("row").alias("b")), prints, "bits", ["b"], total).where("a <> b").select("a", "b")
+    prints = scratch.keep(texts.groupBy("bits").agg(F.min("row").alias("a"), F.count("*").alias("n")), "prints")
+    same = spread_join(texts.select("bits", F.col("row").alias("b")), prints.where("n > 1").drop("n"), "bits", ["b"], total, sizes=prints.select("bits", "n")).where("a <> b").select("a", "b")
     linked = links(prints, scratch)
-    one = linked.join(prints.withColumnRenamed("a", "b"), "bits")
-    return same.unionByName(spread_join(one, prints.select(F.col("bits").alias("other"), "a"), "other", ["b"], linked.count()).select("a", "b"))
+    one = linked.join(prints.select("bits", F.col("a").alias("b")), "bits")
+    return same.unionByName(spread_join(one, prints.select(F.col("bits").alias("other"), "a"), "other", ["b"], linked.count(), sizes=linked.groupBy("other").agg(F.count("*").alias("n"))).select("a", "b"))
 
 
-def _components(texts: DataFrame, whole: DataFrame, scratch: Scratch) -> DataFrame | None:
-    """(bits, root): the least row of the component of each row that is similar to another; none if no two texts meet.
+def _components(texts: DataFrame, whole: DataFrame, scratch: Scratch) -> DataFrame:
+    """(bits, root): the least row of the component of each row that is similar to another.
 
     ``texts`` holds row, size, prefix and bits of the distinct sets, ``whole`` row and text.
     Members of a large group of near copies are first compared with one head for each
     shingle, which connects nearly all of them; only documents that still are not
     connected are then compared pair by pair.
     """
+    pairs = scratch.keep(_by_fingerprint(texts, scratch), "proposed")
+    edges = scratch.keep(_confirmed(pairs, whole), "found")
+    labels = roots(edges, scratch)
+    scratch.drop("prints", "links", "proposed")
     # counted by a shorter hash, which also lets a few shingles of one document pass; _mixed drops them
     postings, short = texts.select(F.explode("prefix").alias("shingle"), "row", "size"), F.hash("shingle")
-    shared = postings.groupBy(short.alias("short")).agg(F.count("*").alias("n")).where("n > 1")
+    shared = scratch.keep(postings.groupBy(short.alias("short")).agg(F.count("*").alias("n")).where("n > 1").select("short"), "shared")
     near = scratch.keep(_perhaps_among(postings.withColumn("short", short), "short", shared, "short").drop("short"), "near")
-    lists = scratch.keep(_mixed(near, None), "lists")
+    scratch.drop("shared")
+    lists = _mixed(near, labels, scratch, "lists0")
     scratch.drop("near")
-    sets = scratch.keep(_sets(_perhaps_among(whole, "row", lists, "row")), "sets")
-    # similar texts meet in a list, so pairs without sets need no look
-    edges = scratch.keep(_confirmed(scratch.keep(_by_fingerprint(texts, scratch), "proposed"), sets), "found")
-    labels = roots(edges, scratch)
     before = None
     for turn in range(ROUNDS + 1):
-        lists = scratch.keep(_mixed(lists, labels), f"lists{turn}")
-        scratch.drop(f"lists{turn - 1}" if turn else "lists")
         left = lists.agg(F.sum("n").alias("pairs"), F.count("*").alias("rows")).first()
         if not left["rows"]:
             break
@@ -199,10 +214,13 @@ def _components(texts: DataFrame, whole: DataFrame, scratch: Scratch) -> DataFra
         last = turn == ROUNDS or left["pairs"] <= 4 * left["rows"] or (before is not None and left["pairs"] > before / 2)
         before = left["pairs"]
         pairs = scratch.keep(_all_pairs(lists) if last else _against_heads(lists, turn), f"pairs{turn}")
-        edges = edges.unionByName(scratch.keep(_confirmed(pairs, sets), f"found{turn}"))
+        edges = edges.unionByName(scratch.keep(_confirmed(pairs, whole), f"found{turn}"))
         labels = roots(edges, scratch)
+        scratch.drop(f"pairs{turn}")
         if last:
             break
+        lists = _mixed(lists, labels, scratch, f"lists{turn + 1}")
+        scratch.drop(f"lists{turn}")
     return labels
 
 
@@ -219,12 +237,14 @@ def keep_first(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     total = stored.count()
     plain = stored.select(*[F.col(mark + c).alias(c) for c in ("row", "set", "size", "prefix", "bits")])
     rows = stored.select(F.col(f"{mark}set").alias("set"), F.col(f"{mark}row").alias("row"), F.struct(F.col(id_column).isNull().alias("no_id"), F.col(id_column).cast("long").alias("id"), F.col(f"{mark}row").alias("row")).alias("at"))
-    first = scratch.keep(rows.groupBy("set").agg(F.min("at").alias("first")), "first")
-    copies = scratch.keep(spread_join(rows, first, "set", ["row"], total).where(F.col("row") != F.col("first.row")).select("row"), "copies")
-    texts = scratch.keep(plain.join(copies, "row", "left_anti").select("row", "size", "prefix", "bits"), "texts")
+    first = scratch.keep(rows.groupBy("set").agg(F.min("at").alias("first"), F.count("*").alias("n")), "first")
+    several = first.where("n > 1")
+    copies = scratch.keep(spread_join(_perhaps_among(rows, "set", several, "set"), several.drop("n"), "set", ["row"], total, sizes=several).where(F.col("row") != F.col("first.row")).select("row"), "copies")
+    texts = scratch.keep(_without(plain, "row", copies, "row").select("row", "size", "prefix", "bits"), "texts")
     labels = _components(texts, stored.select(F.col(f"{mark}row").alias("row"), F.col(text_column).alias("text")), scratch)
     member = scratch.keep(first.select("first", F.col("first.row").alias("bits")).join(labels, "bits"), "member")
     least = member.groupBy("root").agg(F.min("first").alias("least"))
     later = spread_join(member, least, "root", ["bits"], member.count()).where(F.col("first.row") != F.col("least.row")).select(F.col("first.row").alias("row"))
-    others = copies.unionByName(later).withColumnRenamed("row", f"{mark}row")
-    return stored.join(others, f"{mark}row", "left_anti").select(*names)
+    others = scratch.keep(copies.unionByName(later), "others")
+    scratch.drop(*[name for name in scratch.paths if name not in ("documents", "others")])
+    return _without(stored, f"{mark}row", others, "row").select(*names)
