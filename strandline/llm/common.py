@@ -123,9 +123,11 @@ class Scratch:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
             path.getFileSystem(conf).delete(path, True)
-        # Spark deletes the shuffle files of a plan once the driver has collected it as garbage
+
+    def settle(self) -> None:
+        """Lets Spark delete the shuffle files of finished plans, which it does once the driver has collected them as garbage."""
         gc.collect()
-        jvm.System.gc()
+        self.spark._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

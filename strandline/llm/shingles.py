@@ -41,6 +41,22 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return OF * common >= LEAST * (len(a) + len(b) - common)
 
 
+def sketch(own: np.ndarray) -> bytes:
+    """A bitmap of the shingles, of the first power of two bits from twice their number on."""
+    bits = np.zeros(1 << max(6, (2 * len(own)).bit_length()), bool)
+    bits[own & np.uint64(len(bits) - 1)] = True
+    return np.packbits(bits).tobytes()
+
+
+def perhaps_similar(a: bytes, n_a: int, b: bytes, n_b: int) -> bool:
+    """False only for sets that can't be similar: each bit of one that the other lacks stands for a shingle that the other lacks."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    least = min(len(x), len(y))
+    x, y = (np.bitwise_or.reduce(v.reshape(-1, least), axis=0) for v in (x, y))
+    common = min(n_a - int(np.bitwise_count(x & ~y).sum()), n_b - int(np.bitwise_count(y & ~x).sum()))
+    return (OF + LEAST) * common >= LEAST * (n_a + n_b)
+
+
 def prefix(own: np.ndarray, often: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The first n - ceil(0.8 n) + 1 shingles by (count in the sample, hash)."""
     weight = np.zeros(len(own), np.int64)
@@ -96,32 +112,46 @@ def _often(texts: DataFrame, text_column: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _described(docs: DataFrame, text_column: str, mark: str, often: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """The documents with a digest of their shingle set, its size, its prefix and their fingerprint, in columns that begin with ``mark``."""
-    schema = T.StructType([*docs.schema.fields, *[T.StructField(mark + n, t) for n, t in (("set", T.BinaryType()), ("size", T.IntegerType()), ("prefix", T.ArrayType(T.LongType())), ("bits", T.LongType()))]])
+    """The documents with a digest of their shingle set, its size, prefix and sketch, and their fingerprint, in columns that begin with ``mark``."""
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(mark + n, t) for n, t in (("set", T.BinaryType()), ("size", T.IntegerType()), ("prefix", T.ArrayType(T.LongType())), ("sketch", T.BinaryType()), ("bits", T.LongType()))]])
     at = docs.columns.index(text_column)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, sizes, heads, bits = [], [], [], []
+            digests, sizes, heads, sketches, bits = [], [], [], [], []
             for t in batch.column(at):
                 hashed = hashed_shingles(t.as_py(), WIDTH)
                 own = np.unique(hashed)
                 digests.append(xxhash.xxh3_128_digest(own.tobytes()))
                 sizes.append(len(own))
                 heads.append(prefix(own, often, counts).view(np.int64) if len(own) else own.view(np.int64))
+                sketches.append(sketch(own))
                 bits.append(fingerprint_of(hashed))
             ends = np.cumsum([0, *map(len, heads)]).astype(np.int32)
             prefixes = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*heads, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), prefixes, pa.array(bits, pa.int64())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), prefixes, pa.array(sketches, pa.binary()), pa.array(bits, pa.int64())], names=schema.names)
 
     return docs.mapInArrow(task, schema)
 
 
-def _confirmed(pairs: DataFrame, whole: DataFrame) -> DataFrame:
-    """(bits, other): the pairs (a, b) whose texts are similar by their whole sets. A document of very many pairs is spread over tasks."""
+def _met(pairs: DataFrame, of: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the columns of both rows. A document of very many pairs is spread over tasks."""
     total = pairs.count()
-    of = lambda end: _perhaps_among(whole.select(F.col("row").alias(end), F.col("text").alias(f"text_{end}")), end, pairs, end)
-    sizes = lambda end: pairs.groupBy(end).agg(F.count("*").alias("n"))
+    end = lambda e: _perhaps_among(of.select(F.col("row").alias(e), *[F.col(c).alias(f"{c}_{e}") for c in of.columns if c != "row"]), e, pairs, e)
+    sizes = lambda e: pairs.groupBy(e).agg(F.count("*").alias("n"))
+    return spread_join(spread_join(pairs, end("b"), "b", ["a"], total, sizes=sizes("b")), end("a"), "a", ["b"], total, sizes=sizes("a"))
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, whole: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(bits, other): the pairs (a, b) whose texts are similar by their whole sets, those alone whose sketches allow it being read."""
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = pa.array([perhaps_similar(*x) for x in zip(*[c.to_pylist() for c in batch.columns[2:]])], pa.bool_())
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(keep)
+
+    sketched = _met(pairs, texts.select("row", "sketch", "size")).select("a", "b", "sketch_a", "size_a", "sketch_b", "size_b")
+    left = scratch.keep(sketched.mapInArrow(possible, "a long, b long"), f"{name}_left")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, None
@@ -133,8 +163,10 @@ def _confirmed(pairs: DataFrame, whole: DataFrame) -> DataFrame:
                 keep.append(similar(own, shingles(b.as_py())))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["bits", "other"]).filter(pa.array(keep, pa.bool_()))
 
-    met = spread_join(spread_join(pairs, of("b"), "b", ["a"], total, sizes=sizes("b")), of("a"), "a", ["b"], total, sizes=sizes("a"))
-    return met.select("a", "b", "text_a", "text_b").mapInArrow(task, "bits long, other long")
+    found = scratch.keep(_met(left, whole).select("a", "b", "text_a", "text_b").mapInArrow(task, "bits long, other long"), name)
+    scratch.drop(f"{name}_left")
+    scratch.settle()
+    return found
 
 
 def _fit(one: str, other: str) -> Column:
@@ -155,6 +187,7 @@ def _mixed(lists: DataFrame, labels: DataFrame | None, scratch: Scratch, name: s
     mixed = _perhaps_among(named, "shingle", several, "shingle")
     found = scratch.keep(spread_join(mixed, several, "shingle", ["row"], lists.count(), sizes=several), name)
     scratch.drop(f"{name}_several", *([f"{name}_named"] if labels is not None else []))
+    scratch.settle()
     return found
 
 
@@ -189,13 +222,13 @@ def _by_fingerprint(texts: DataFrame, scratch: Scratch) -> DataFrame:
 def _components(texts: DataFrame, whole: DataFrame, scratch: Scratch) -> DataFrame:
     """(bits, root): the least row of the component of each row that is similar to another.
 
-    ``texts`` holds row, size, prefix and bits of the distinct sets, ``whole`` row and text.
+    ``texts`` holds row, size, prefix, sketch and bits of the distinct sets, ``whole`` row and text.
     Members of a large group of near copies are first compared with one head for each
     shingle, which connects nearly all of them; only documents that still are not
     connected are then compared pair by pair.
     """
     pairs = scratch.keep(_by_fingerprint(texts, scratch), "proposed")
-    edges = scratch.keep(_confirmed(pairs, whole), "found")
+    edges = _confirmed(pairs, texts, whole, scratch, "found")
     labels = roots(edges, scratch)
     scratch.drop("prints", "links", "proposed")
     # counted by a shorter hash, which also lets a few shingles of one document pass; _mixed drops them
@@ -203,6 +236,7 @@ def _components(texts: DataFrame, whole: DataFrame, scratch: Scratch) -> DataFra
     shared = scratch.keep(postings.groupBy(short.alias("short")).agg(F.count("*").alias("n")).where("n > 1").select("short"), "shared")
     near = scratch.keep(_perhaps_among(postings.withColumn("short", short), "short", shared, "short").drop("short"), "near")
     scratch.drop("shared")
+    scratch.settle()
     lists = _mixed(near, labels, scratch, "lists0")
     scratch.drop("near")
     before = None
@@ -214,7 +248,7 @@ def _components(texts: DataFrame, whole: DataFrame, scratch: Scratch) -> DataFra
         last = turn == ROUNDS or left["pairs"] <= 4 * left["rows"] or (before is not None and left["pairs"] > before / 2)
         before = left["pairs"]
         pairs = scratch.keep(_all_pairs(lists) if last else _against_heads(lists, turn), f"pairs{turn}")
-        edges = edges.unionByName(scratch.keep(_confirmed(pairs, whole), f"found{turn}"))
+        edges = edges.unionByName(_confirmed(pairs, texts, whole, scratch, f"found{turn}"))
         labels = roots(edges, scratch)
         scratch.drop(f"pairs{turn}")
         if last:
@@ -235,12 +269,12 @@ def keep_first(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     described = _described(docs, text_column, mark, *_often(docs, text_column)).withColumn(f"{mark}row", F.monotonically_increasing_id())
     stored = scratch.keep(described, "documents")
     total = stored.count()
-    plain = stored.select(*[F.col(mark + c).alias(c) for c in ("row", "set", "size", "prefix", "bits")])
+    plain = stored.select(*[F.col(mark + c).alias(c) for c in ("row", "set", "size", "prefix", "sketch", "bits")])
     rows = stored.select(F.col(f"{mark}set").alias("set"), F.col(f"{mark}row").alias("row"), F.struct(F.col(id_column).isNull().alias("no_id"), F.col(id_column).cast("long").alias("id"), F.col(f"{mark}row").alias("row")).alias("at"))
     first = scratch.keep(rows.groupBy("set").agg(F.min("at").alias("first"), F.count("*").alias("n")), "first")
     several = first.where("n > 1")
     copies = scratch.keep(spread_join(_perhaps_among(rows, "set", several, "set"), several.drop("n"), "set", ["row"], total, sizes=several).where(F.col("row") != F.col("first.row")).select("row"), "copies")
-    texts = scratch.keep(_without(plain, "row", copies, "row").select("row", "size", "prefix", "bits"), "texts")
+    texts = scratch.keep(_without(plain, "row", copies, "row").select("row", "size", "prefix", "sketch", "bits"), "texts")
     labels = _components(texts, stored.select(F.col(f"{mark}row").alias("row"), F.col(text_column).alias("text")), scratch)
     member = scratch.keep(first.select("first", F.col("first.row").alias("bits")).join(labels, "bits"), "member")
     least = member.groupBy("root").agg(F.min("first").alias("least"))

@@ -70,6 +70,13 @@ def test_near_dedup_equals_brute_force(spark):
     assert corpus_pipeline.near_duplicates(spark, frame(spark, rows).where("false"), None).count() == 0
 
 
+def test_sketches_rule_out_no_similar_pair():
+    sets = [shingles.shingles(t) for t in texts(4)]
+    kept = [(shingles.perhaps_similar(shingles.sketch(a), len(a), shingles.sketch(b), len(b)), shingles.similar(a, b)) for i, a in enumerate(sets) for b in sets[:i]]
+    assert all(perhaps or not similar for perhaps, similar in kept)
+    assert sum(perhaps for perhaps, _ in kept) < 2 * sum(similar for _, similar in kept)
+
+
 def test_near_dedup_of_a_large_group(spark, monkeypatch):
     """A chain of copies, of which neighbours are similar and the ends are not, in cells of a few documents."""
     monkeypatch.setattr(shingles, "CELL", 8)
