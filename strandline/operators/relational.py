@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from strandline.sources.shared import new_folder
+
 
 def portable_hash(key: str, seed: int) -> Column:
     """A draw from 0 to 2**31 - 1 that other engines can repeat."""
@@ -58,9 +60,24 @@ def rank_within(df: DataFrame, keys: list[str], order: list[Column], n: int) ->
 
 def sample_per_group(df: DataFrame, keys: list[str], key: str, n: int, seed: int) -> DataFrame:
     """``n`` rows of each group without replacement; a smaller group raises."""
-    w = Window.partitionBy(*keys)
-    checked = df.withColumn("__n", F.count("*").over(w)).withColumn("__ok", F.when(F.col("__n") >= n, True).otherwise(F.raise_error("a group is smaller than its sample").cast("boolean")))
-    return rank_within(checked.where("__ok"), keys, [portable_hash(key, seed), F.col(key)], n).drop("__n", "__ok")
+    taken = rank_within(df, keys, [portable_hash(key, seed), F.col(key)], n)
+    # only the n rows of each group that are left are counted
+    checked = taken.withColumn("__n", F.count("*").over(Window.partitionBy(*keys))).withColumn("__ok", F.when(F.col("__n") >= n, True).otherwise(F.raise_error("a group is smaller than its sample").cast("boolean")))
+    return checked.where("__ok").drop("__n", "__ok")
+
+
+def numbered(df: DataFrame, column: str, to: str) -> DataFrame:
+    """The distinct values of a column and their places in ascending order, from 0.
+
+    A sort by ranges is written to the shared folder; a value's place is its place in its
+    partition after the rows of the partitions before, so no task holds all values.
+    """
+    spark, path = df.sparkSession, new_folder(df.sparkSession, "sorted")
+    df.select(column).distinct().orderBy(column).withColumn("__at", F.monotonically_increasing_id()).write.parquet(path)
+    ordered = spark.read.parquet(path).withColumn("__part", F.shiftright("__at", 33))
+    parts = ordered.groupBy("__part").agg(F.count("*").alias("__n"))  # a row for each partition
+    before = parts.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    return ordered.join(F.broadcast(before), "__part").select(column, (F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1)).alias(to))
 
 
 def split_by_trial(df: DataFrame, trial: str, ratio: float, seed: int) -> DataFrame:

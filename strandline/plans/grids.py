@@ -178,23 +178,23 @@ def energy_split(spark, d):
     return c.select("id", "cx", "cy", F.round(share, 6).alias("share"))
 
 
-@query("k24_saft_backproject", f"""WITH {T}, a AS (SELECT vec_id, vec_id % 40 AS sx, z, v FROM tr WHERE vec_id < 40), g AS (SELECT gx, gz FROM (SELECT unnest(range(0, 40, 4)) AS gx), (SELECT unnest(range(1, 20, 2)) AS gz)),
+@query("k24_saft_backproject", f"""WITH {T}, a AS (SELECT vec_id, vec_id % 40 AS sx, z, v FROM tr), g AS (SELECT gx, gz FROM (SELECT unnest(range(0, 40, 4)) AS gx), (SELECT unnest(range(1, 20, 2)) AS gz)),
  t AS (SELECT gx, gz, vec_id, floor(2 * sqrt((gx - sx) * (gx - sx) * 0.25 + gz * gz) + 0.5) AS tau FROM g, (SELECT DISTINCT vec_id, sx FROM a)) SELECT gx, gz, round(sum(v), 6) AS v FROM t JOIN a ON a.vec_id = t.vec_id AND a.z = t.tau GROUP BY gx, gz""")
 def saft(spark, d):
     """Delay and sum: the travel time from a scan to a pixel picks one sample of the scan's trace, by equal keys."""
-    a = traces(spark, d).where("vec_id < 40").select((F.col("vec_id") % 40).alias("sx"), "vec_id", "z", "v")
+    a = traces(spark, d).select((F.col("vec_id") % 40).alias("sx"), "vec_id", "z", "v")
     pixels = F.array(*[F.struct(F.lit(x).cast("long").alias("gx"), F.lit(z).cast("long").alias("gz")) for x in range(0, 40, 4) for z in range(1, 20, 2)])
     t = a.select("vec_id", "sx").distinct().withColumn("p", F.explode(pixels)).select("vec_id", "sx", "p.*")
     tau = F.floor(2 * F.sqrt(F.pow(F.col("gx") - F.col("sx"), 2) * 0.25 + F.col("gz") * F.col("gz")) + 0.5).cast("int")
     return t.withColumn("z", tau).join(a.select("vec_id", "z", "v"), ["vec_id", "z"]).groupBy("gx", "gz").agg(F.round(F.sum("v"), 6).alias("v"))
 
 
-@query("j04_pair_lag_variogram", f"""WITH e AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS v FROM embeddings WHERE vec_id < 400),
+@query("j04_pair_lag_variogram", f"""WITH e AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS v FROM embeddings),
  p AS (SELECT a.label, floor(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) / 0.05)::BIGINT AS bin, pow(a.v - b.v, 2) AS q, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d FROM e a JOIN e b ON a.label = b.label AND a.vec_id > b.vec_id)
  SELECT label, bin, count(*) AS n, round(avg(q) / 2, 6) AS gamma FROM p WHERE d <= 0.3 GROUP BY label, bin""")
 def pair_variogram(spark, d):
     """Pairs of one batch within a lag limit, found by cells of the limit and not by all pairs."""
-    e = table(spark, d, "embeddings").where("vec_id < 400").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate("xyv")])
+    e = table(spark, d, "embeddings").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate("xyv")])
     a = e.select("vec_id", "label", F.col("x").alias("tx"), F.col("y").alias("ty"), "v")
     b = e.select(F.col("vec_id").alias("other"), "label", F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("v").alias("w"))
     p = rel.radius_join(a, b, ["label"], 0.3).where("vec_id > other")

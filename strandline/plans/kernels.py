@@ -1,4 +1,7 @@
-"""Queries whose groups go through NumPy kernels: one series, trace or batch a group, each of bounded size.
+"""Queries whose groups go through NumPy kernels: one series, trace or batch a group.
+
+A trace or batch has a bounded size. The filters of ``SERIES`` take the whole series of a
+user, which must fit the memory of a task.
 
 Results are rows without an SQL twin; tests hold the kernels against closed forms.
 """
@@ -144,9 +147,10 @@ def position_correction(spark, d):
 @query("k31_water_level")
 def water_level(spark, d):
     """The level at which the power of each nation's channels is spent, by thirty halvings as column expressions."""
-    gains = F.sort_array(F.collect_list(F.col("s_suppkey") % 9 + 1.0))
-    g = table(spark, d, "supplier").where("s_suppkey <= 100000").groupBy("s_nationkey").agg(gains.alias("gain")).withColumn("low", F.lit(0.0)).withColumn("high", F.lit(20.0))
-    used = lambda level: F.aggregate("gain", F.lit(0.0), lambda a, x: a + F.greatest(level - 1 / x, F.lit(0.0)))
+    # equal channels are counted, so a nation's array has a place for each of the nine gains
+    equal = table(spark, d, "supplier").groupBy("s_nationkey", (F.col("s_suppkey") % 9 + 1.0).alias("x")).agg(F.count("*").alias("n"))
+    g = equal.groupBy("s_nationkey").agg(F.sort_array(F.collect_list(F.struct("x", "n"))).alias("gain")).withColumn("low", F.lit(0.0)).withColumn("high", F.lit(20.0))
+    used = lambda level: F.aggregate("gain", F.lit(0.0), lambda a, c: a + c["n"] * F.greatest(level - 1 / c["x"], F.lit(0.0)))
     halve = lambda acc, _: F.when(used((acc["low"] + acc["high"]) / 2) > 10, F.struct(acc["low"].alias("low"), ((acc["low"] + acc["high"]) / 2).alias("high"))).otherwise(F.struct(((acc["low"] + acc["high"]) / 2).alias("low"), acc["high"].alias("high")))
     found = F.aggregate(F.sequence(F.lit(1), F.lit(30)), F.struct("low", "high"), halve)
     return g.select("s_nationkey", F.round(found["low"], 6).alias("level"))

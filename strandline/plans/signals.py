@@ -106,11 +106,13 @@ def quantiles(spark, d):
     return ser.quantile_unbiased(series(spark, d).select("user_id", "v", "event_id"), ["user_id"], "v", [0.1, 0.5, 0.9]).select("user_id", "p", R("q"))
 
 
-@query("k11_xcorr_delay", f"""WITH {S}, c AS (SELECT b.user_id, a.i - b.i AS lag, sum(a.v * b.w) AS c FROM s a JOIN (SELECT user_id, i, v - 50 AS w FROM s) b ON a.user_id = b.user_id AND a.i - b.i BETWEEN -5 AND 5 GROUP BY ALL)
+@query("k11_xcorr_delay", f"""WITH {S}, c AS (SELECT b.user_id, a.i - b.i AS lag, sum(a.v * b.w) AS c FROM s a JOIN (SELECT user_id, i, v - 50 AS w, count(*) OVER (PARTITION BY user_id) AS n FROM s) b ON a.user_id = b.user_id AND a.i - b.i BETWEEN least(1 - n // 2, n // 2) AND n // 2 GROUP BY ALL)
  SELECT user_id, arg_min(lag, (-round(c, 4), lag))::INT AS lag, round(max(c), 4) AS peak FROM c GROUP BY user_id""")
 def xcorr(spark, d):
+    """The lag of largest correlation among all from 1 - n / 2 to n / 2, n being the length of the series."""
     s = series(spark, d).withColumn("w", F.col("v") - 50)
-    c = ser.xcorr(s, "user_id", "v", "w", 5)
+    half = F.floor(F.col("n") / 2).cast("int")
+    c = ser.xcorr(s.join(s.groupBy("user_id").agg(F.count("*").alias("n")), "user_id"), "user_id", "v", "w", F.least(1 - half, half), half)
     return c.groupBy("user_id").agg(F.min_by("lag", F.struct(-F.round("c", 4), F.col("lag"))).alias("lag"), F.round(F.max("c"), 4).alias("peak"))
 
 

@@ -9,9 +9,12 @@ from pyspark.sql import SparkSession
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, or under the session's checkpoint folder; tests without either get a temporary one."""
+    """A new folder under spark.checkpoint.dir, or under the session's checkpoint folder. Without either only a local master gets a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="strandline-"))
         root = spark.sparkContext.getCheckpointDir()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
