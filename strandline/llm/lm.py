@@ -27,7 +27,7 @@ TAILS, TAIL = 1024, 4
 #: Training ends after ROUNDS, or once a round raises the log likelihood by less than this share.
 STATES, ROUNDS, GAIN = 6, 4, 1e-3
 #: Tokens of a block of training. A block's products of transitions give the state at its borders, so no move is lost there.
-SEGMENT = 256
+SEGMENT = 1024
 #: Tokens that a step of a task holds, and words that a task counts before it passes them on.
 STEP, FLUSH = 200_000, 300_000
 END = OWN + TAILS
@@ -99,20 +99,20 @@ def encode(docs: DataFrame, frequent: dict[bytes, int], own: list[bytes], totals
             out: list[list] = [[] for _ in range(7)]
             for i in range(batch.num_rows):
                 words = (texts[i].as_py() or "").encode().lower().split()
-                kinds, base, within, known, rare = np.empty(len(words) + 1, np.uint16), 0.0, 0.0, 0, Counter()
+                kinds, base, within, known, rare = np.empty(len(words) + 1, np.uint16), 0.0, 0.0, 0, []
                 for t, w in enumerate(words):
                     found = classes.get(w)
                     if found is None:
                         k = tail_class(w)
                         kinds[t] = k
                         within -= log_total[k - OWN]
-                        rare[w] += 1
+                        rare.append(w)
                     else:
                         kinds[t] = found[0]
                         base += found[1]
                         within += found[2]
                         known += found[3]
-                kinds[-1] = END
+                kinds[-1], rare = END, Counter(rare)
                 for column, x in zip(out, (len(words) + 1, known, base, within, kinds.tobytes(), list(rare), list(rare.values()))):
                     column.append(x)
             types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())
