@@ -93,7 +93,7 @@ def _without(df: DataFrame, column: str, others: DataFrame, other: str) -> DataF
     return flagged.where(~F.col(met)).select(*df.columns).unionByName(rest.select(*df.columns))
 
 
-def _often(texts: DataFrame, text_column: str) -> tuple[np.ndarray, np.ndarray]:
+def _often(texts: DataFrame, text_column: str, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
     """(shingles, counts) that occur most in a sample of the rows, by ascending shingle."""
     share = COUNTED / max(1, texts.count())
     sampled = texts.where(F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(5)), F.lit(1_000_000)) < share * 1_000_000).select(text_column)
@@ -103,9 +103,9 @@ def _often(texts: DataFrame, text_column: str) -> tuple[np.ndarray, np.ndarray]:
             for t in batch.column(0):
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py()).view(np.int64))], names=["shingle"])
 
-    counted = sampled.mapInArrow(task, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 2").persist()
+    counted = scratch.keep(sampled.mapInArrow(task, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 2"), "counted")
     found = most_frequent(counted, "n", LAST).toPandas().to_numpy(np.int64).reshape(-1, 2)
-    counted.unpersist()
+    scratch.drop("counted")
     names = found[:, 0].copy().view(np.uint64)
     order = np.argsort(names)
     return names[order], found[order, 1]
@@ -237,7 +237,8 @@ def _components(texts: DataFrame, whole: DataFrame, scratch: Scratch) -> DataFra
     near = scratch.keep(_perhaps_among(postings.withColumn("short", short), "short", shared, "short").drop("short"), "near")
     scratch.drop("shared")
     scratch.settle()
-    lists = _mixed(near, labels, scratch, "lists0")
+    name = "lists0"
+    lists = _mixed(near, labels, scratch, name)
     scratch.drop("near")
     before = None
     for turn in range(ROUNDS + 1):
@@ -248,13 +249,18 @@ def _components(texts: DataFrame, whole: DataFrame, scratch: Scratch) -> DataFra
         last = turn == ROUNDS or left["pairs"] <= 4 * left["rows"] or (before is not None and left["pairs"] > before / 2)
         before = left["pairs"]
         pairs = scratch.keep(_all_pairs(lists) if last else _against_heads(lists, turn), f"pairs{turn}")
-        edges = edges.unionByName(_confirmed(pairs, texts, whole, scratch, f"found{turn}"))
-        labels = roots(edges, scratch)
+        found = _confirmed(pairs, texts, whole, scratch, f"found{turn}")
         scratch.drop(f"pairs{turn}")
+        joined = found.limit(1).count()
+        if joined:
+            edges = edges.unionByName(found)
+            labels = roots(edges, scratch)
         if last:
             break
-        lists = _mixed(lists, labels, scratch, f"lists{turn + 1}")
-        scratch.drop(f"lists{turn}")
+        if joined:  # otherwise the lists stay, and the next round compares what they hold pair by pair
+            unmixed, name = name, f"lists{turn + 1}"
+            lists = _mixed(lists, labels, scratch, name)
+            scratch.drop(unmixed)
     return labels
 
 
@@ -266,7 +272,7 @@ def keep_first(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     whatever their names; an empty table gives no rows.
     """
     scratch, names, mark = Scratch(docs.sparkSession), docs.columns, free_prefix(docs.columns)
-    described = _described(docs, text_column, mark, *_often(docs, text_column)).withColumn(f"{mark}row", F.monotonically_increasing_id())
+    described = _described(docs, text_column, mark, *_often(docs, text_column, scratch)).withColumn(f"{mark}row", F.monotonically_increasing_id())
     stored = scratch.keep(described, "documents")
     total = stored.count()
     plain = stored.select(*[F.col(mark + c).alias(c) for c in ("row", "set", "size", "prefix", "sketch", "bits")])
