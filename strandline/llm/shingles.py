@@ -1,8 +1,8 @@
 """Near-duplicates by their five-word shingles: all pairs of Jaccard similarity 0.8 or more, none lost by a sketch.
 
-Fingerprints that the anchors of ``simhash`` link propose pairs first, which the whole
-shingle sets confirm. Four bits link most copies with few edits but not all pairs of
-similarity 0.8, so a prefix filter then finds the rest: put the shingles of all documents
+Fingerprints that the anchors of ``simhash`` link propose pairs, which the whole shingle
+sets confirm. Four bits link most copies with few edits but not all pairs of similarity
+0.8, so a prefix filter finds the rest: put the shingles of all documents
 in one order. Two sets of sizes m and n and similarity t or more have t * max(m, n)
 shingles in common, so the first n - ceil(t * n) + 1 of each set meet. Only documents that
 meet there and are not connected yet are compared. Any order is right; here shingles that
@@ -64,7 +64,7 @@ def prefix(own: np.ndarray, often: np.ndarray, counts: np.ndarray) -> np.ndarray
         at = np.minimum(np.searchsorted(often, own), len(often) - 1)
         weight = np.where(often[at] == own, counts[at], 0)
     n = len(own)
-    return own[np.lexsort((own, weight))[: n - (LEAST * n + OF - 1) // OF + 1]]
+    return own[np.argsort(weight, kind="stable")[: n - (LEAST * n + OF - 1) // OF + 1]]
 
 
 def _flagged(df: DataFrame, column: str, others: DataFrame, other: str) -> tuple[DataFrame, str]:
@@ -100,8 +100,9 @@ def _often(texts: DataFrame, text_column: str, scratch: Scratch) -> tuple[np.nda
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py()).view(np.int64))], names=["shingle"])
+            for at in range(0, batch.num_rows, 100):
+                found = np.concatenate([shingles(t.as_py()) for t in batch.column(0).slice(at, 100)])
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["shingle"])
 
     counted = scratch.keep(sampled.mapInArrow(task, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 2"), "counted")
     found = most_frequent(counted, "n", LAST).toPandas().to_numpy(np.int64).reshape(-1, 2)
@@ -223,44 +224,42 @@ def _components(texts: DataFrame, whole: DataFrame, scratch: Scratch) -> DataFra
     """(bits, root): the least row of the component of each row that is similar to another.
 
     ``texts`` holds row, size, prefix, sketch and bits of the distinct sets, ``whole`` row and text.
-    Members of a large group of near copies are first compared with one head for each
-    shingle, which connects nearly all of them; only documents that still are not
-    connected are then compared pair by pair.
+    What the fingerprints propose and one head for each shingle are compared first, which
+    connects nearly all members of a large group of near copies; only documents that
+    still are not connected are then compared pair by pair.
     """
-    pairs = scratch.keep(_by_fingerprint(texts, scratch), "proposed")
-    edges = _confirmed(pairs, texts, whole, scratch, "found")
-    labels = roots(edges, scratch)
-    scratch.drop("prints", "links", "proposed")
     # counted by a shorter hash, which also lets a few shingles of one document pass; _mixed drops them
     postings, short = texts.select(F.explode("prefix").alias("shingle"), "row", "size"), F.hash("shingle")
     shared = scratch.keep(postings.groupBy(short.alias("short")).agg(F.count("*").alias("n")).where("n > 1").select("short"), "shared")
     near = scratch.keep(_perhaps_among(postings.withColumn("short", short), "short", shared, "short").drop("short"), "near")
     scratch.drop("shared")
-    scratch.settle()
     name = "lists0"
-    lists = _mixed(near, labels, scratch, name)
-    scratch.drop("near")
-    before = None
-    for turn in range(ROUNDS + 1):
+    lists = _mixed(near, None, scratch, name)
+    # sum of n over the rows is the sum of squared lengths
+    before = lists.agg(F.sum("n")).first()[0] or 0
+    proposed = scratch.keep(_by_fingerprint(texts, scratch).unionByName(_against_heads(lists, 0)).distinct(), "proposed")
+    edges = _confirmed(proposed, texts, whole, scratch, "found")
+    labels, joined = roots(edges, scratch), True
+    scratch.drop("near", "prints", "links", "proposed")
+    for turn in range(1, ROUNDS + 1):
+        if joined:  # otherwise the lists stay, and what they hold is compared pair by pair
+            unmixed, name = name, f"lists{turn}"
+            lists = _mixed(lists, labels, scratch, name)
+            scratch.drop(unmixed)
         left = lists.agg(F.sum("n").alias("pairs"), F.count("*").alias("rows")).first()
         if not left["rows"]:
             break
-        # sum of n over the rows is the sum of squared lengths
-        last = turn == ROUNDS or left["pairs"] <= 4 * left["rows"] or (before is not None and left["pairs"] > before / 2)
+        last = turn == ROUNDS or left["pairs"] <= 4 * left["rows"] or left["pairs"] > before / 2
         before = left["pairs"]
         pairs = scratch.keep(_all_pairs(lists) if last else _against_heads(lists, turn), f"pairs{turn}")
         found = _confirmed(pairs, texts, whole, scratch, f"found{turn}")
         scratch.drop(f"pairs{turn}")
-        joined = found.limit(1).count()
+        joined = found.limit(1).count() > 0
         if joined:
             edges = edges.unionByName(found)
             labels = roots(edges, scratch)
         if last:
             break
-        if joined:  # otherwise the lists stay, and the next round compares what they hold pair by pair
-            unmixed, name = name, f"lists{turn + 1}"
-            lists = _mixed(lists, labels, scratch, name)
-            scratch.drop(unmixed)
     return labels
 
 
