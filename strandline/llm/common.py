@@ -113,8 +113,13 @@ class Scratch:
         for made in _swept:
             made.append(self)
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def folder(self, name: str) -> str:
+        """A new folder's path, for files that tasks write themselves."""
         path = self.paths[name] = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
+        return path
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        path = self.folder(name)
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

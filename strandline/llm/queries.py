@@ -10,12 +10,13 @@ from strandline.llm.packing import op7_packing
 from strandline.llm.pii import op6_pii
 from strandline.llm.quality import op8_quality
 from strandline.llm.rules import op9_quality_rules
+from strandline.llm.sequences import op11_sequences
 from strandline.llm.simhash import op4_simhash
 from strandline.llm.toxicity import op3_toxicity
 
 
 def queries() -> dict:
-    return {"op1_mixing": op1_mixing, "op10_neighbours": op10_neighbours, "op2_lm": op2_lm, "op3_toxicity": op3_toxicity, "op4_simhash": op4_simhash, "op5_language": op5_language, "op6_pii": op6_pii, "op7_packing": op7_packing, "op8_quality": op8_quality, "op9_quality_rules": op9_quality_rules}
+    return {"op1_mixing": op1_mixing, "op10_neighbours": op10_neighbours, "op11_sequences": op11_sequences, "op2_lm": op2_lm, "op3_toxicity": op3_toxicity, "op4_simhash": op4_simhash, "op5_language": op5_language, "op6_pii": op6_pii, "op7_packing": op7_packing, "op8_quality": op8_quality, "op9_quality_rules": op9_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
