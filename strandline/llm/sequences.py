@@ -3,13 +3,14 @@
 A folder holds pairs of Arrow IPC files and a Parquet manifest that names them. Cut into
 sequences of one length, the ids of a file's documents follow each other; each row of its
 fixed-size-list columns ``ids`` and ``mask`` is a sequence, and only the last one is
-padded, where the mask is 0. The other file of a pair says where each document begins.
+padded, where the mask is false. The other file of a pair says where each document begins.
 Batches are not compressed, so sequence i is a slice of the mapped file.
 """
 
 from __future__ import annotations
 
 import bisect
+import re
 import uuid
 import zlib
 from array import array
@@ -24,38 +25,54 @@ from strandline.llm.common import Scratch, table
 
 #: Ids of a sequence and sequences of a batch.
 LENGTH, BATCH = 2048, 256
-#: Words that a task remembers at most, and characters of the longest of them.
+#: Runs that a task remembers at most, and characters of the longest of them.
 REMEMBERED, LONGEST = 400_000, 40
 MANIFEST = "part int, file string, index string, ids long, documents long, sequences long"
 
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
 
-class WordEncoder:
-    """Ids of whole texts, as bytes of one type, for a vocabulary that drops white space and cuts there.
+class WordEncoder(dict):
+    """Ids of whole texts, as bytes of one type, for a vocabulary that folds case, drops white space and cuts there.
 
-    ASCII white space never lies within a token and nothing reaches across it, so the ids
-    of a text are those of its words. Words seen before come from a dictionary of bounded
-    size; the others of many texts go to the tokenizer together.
+    A text of Latin letters, digits, signs and ASCII white space is cut into the runs that
+    the vocabulary's own cutter makes of it, and this dictionary of bounded size remembers the ids
+    of runs seen before. Any other text is cut at ASCII white space, which never lies
+    within a token and which nothing reaches across; its words are treated alike, or go to
+    the tokenizer whole.
     """
 
+    PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ‐-‧‰-⁞]*\Z")
+    RUN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zßà-öø-ÿ]+|[0-9]|[^\t-\r a-z0-9ßà-öø-ÿ]+")
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.type = "H" if max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0) < 1 << 16 else "I"
-        self.known: dict[bytes, bytes] = {}
-
-    def texts(self, texts: list[str]) -> list[bytes]:
-        cut = [t.encode().split() for t in texts]
-        known = self.known
-        new = list({w for words in cut for w in words if w not in known})
-        found = self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False) if new else []
-        fresh = {w: array(self.type, e.ids).tobytes() for w, e in zip(new, found)}
-        out = [b"".join([known[w] if w in known else fresh[w] for w in words]) for words in cut]
-        if len(known) + len(fresh) <= REMEMBERED:
-            known.update((w, ids) for w, ids in fresh.items() if len(w) <= LONGEST)
-        return out
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
+        # the byte-level alphabet: printable bytes stand for themselves, the others for the letters from 256 on
+        printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        others = [b for b in range(256) if b not in printable]
+        self.letters = {b: b for b in printable} | {b: 256 + i for i, b in enumerate(others)}
+
+    def text(self, text: str) -> bytes:
+        if self.PLAIN.match(text) and not self.added.search(text):
+            return b"".join(map(self.__getitem__, self.RUN.findall(text.lower())))
+        return b"".join([self.word(w.decode()) for w in text.encode().split()])
+
+    def word(self, word: str) -> bytes:
+        if self.PLAIN.match(word) and not self.added.search(word):
+            return b"".join(map(self.__getitem__, self.RUN.findall(word.lower())))
+        return array(self.type, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, run: str) -> bytes:
+        ids = array(self.type, [t.id for t in self.model.tokenize(run.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        if len(self) < REMEMBERED and len(run) <= LONGEST:
+            self[run] = ids
+        return ids
 
 
 def encoder(path: str) -> WordEncoder:
@@ -66,7 +83,7 @@ def encoder(path: str) -> WordEncoder:
 
 def schema_of(kind: str, length: int) -> pa.Schema:
     ids = pa.uint16() if kind == "H" else pa.uint32()
-    return pa.schema([pa.field("ids", pa.list_(ids, length)), pa.field("mask", pa.list_(pa.uint8(), length))])
+    return pa.schema([pa.field("ids", pa.list_(ids, length)), pa.field("mask", pa.list_(pa.bool_(), length))])
 
 
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -102,9 +119,9 @@ class SequenceWriter:
         for at in range(0, sequences, BATCH):
             n = min(BATCH, sequences - at)
             values = everything[at * self.length : (at + n) * self.length]
-            mask = np.ones(n * self.length, np.uint8)
+            mask = np.ones(n * self.length, bool)
             if len(values) < len(mask):
-                mask[len(values) :] = 0
+                mask[len(values) :] = False
                 values = np.concatenate([values, np.zeros(len(mask) - len(values), self.type)])
             columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (values, mask)]
             self.out.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
@@ -143,23 +160,23 @@ class SequenceFile:
         self.batches = [self._view(k) for k in range(self.reader.num_record_batches)]
         self.firsts = np.cumsum([0, *(len(ids) for ids, _ in self.batches)]).tolist()
 
-    def _view(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        batch = self.reader.get_batch(k)
-        return tuple(c.flatten().to_numpy(zero_copy_only=True).reshape(-1, self.length) for c in batch.columns)
+    def _view(self, k: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        ids, mask = (c.flatten() for c in self.reader.get_batch(k).columns)
+        return ids.to_numpy(zero_copy_only=True).reshape(-1, self.length), mask
 
     def __len__(self) -> int:
         return self.firsts[-1]
 
-    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, mask) of sequence ``i``."""
+    def __getitem__(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """(ids, mask) of sequence ``i``; the mask has a bit for each id."""
         if not 0 <= i < len(self):
             raise IndexError(i)
         k = bisect.bisect_right(self.firsts, i) - 1
         ids, mask = self.batches[k]
-        return ids[i - self.firsts[k]], mask[i - self.firsts[k]]
+        return ids[i - self.firsts[k]], mask.slice((i - self.firsts[k]) * self.length, self.length)
 
     def slices(self, start: int, n: int) -> Iterator[np.ndarray]:
-        """The ids from place ``start`` on, as views that follow each other; only ids whose mask is 1 lie there."""
+        """The ids from place ``start`` on, as views that follow each other; only ids whose mask is true lie there."""
         while n > 0:
             k = bisect.bisect_right(self.firsts, start // self.length) - 1
             at = start - self.firsts[k] * self.length
@@ -188,11 +205,9 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer: str, end_id: int, i
         end = array(encode.type, [end_id]).tobytes()
         part = TaskContext.get().partitionId()
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                own = batch.slice(at, 500)
+            for i in range(batch.num_rows):
                 out = out or SequenceWriter(folder, f"{part:06d}-{uuid.uuid4().hex}", encode.type, length)
-                for doc_id, ids in zip(own.column(0).to_pylist(), encode.texts(own.column(1).to_pylist())):
-                    out.add(doc_id, ids + end)
+                out.add(batch.column(0)[i].as_py(), encode.text(batch.column(1)[i].as_py()) + end)
         if out:
             yield pa.RecordBatch.from_pylist([dict(zip(("part", "file", "index", "ids", "documents", "sequences"), (part, *out.close())))], schema=pa.schema([("part", pa.int32()), ("file", pa.string()), ("index", pa.string()), ("ids", pa.int64()), ("documents", pa.int64()), ("sequences", pa.int64())]))
 
@@ -249,11 +264,11 @@ def read_sequences(spark: SparkSession, folder: str) -> DataFrame:
                 reader, at = _opened(r["folder"], r["file"]), r["before"]
                 for k in range(reader.num_record_batches):
                     own = reader.get_batch(k)
-                    columns = [pa.array(np.arange(at, at + own.num_rows)), own.column(0).cast(pa.list_(pa.int32())), own.column(1).cast(pa.list_(pa.int8()))]
+                    columns = [pa.array(np.arange(at, at + own.num_rows)), own.column(0).cast(pa.list_(pa.int32())), own.column(1).cast(pa.list_(pa.bool_()))]
                     yield pa.RecordBatch.from_arrays(columns, names=["sequence", "ids", "mask"])
                     at += own.num_rows
 
-    return _files(spark, folder, "sequences").mapInArrow(task, "sequence long, ids array<int>, mask array<byte>")
+    return _files(spark, folder, "sequences").mapInArrow(task, "sequence long, ids array<int>, mask array<boolean>")
 
 
 def op11_sequences(spark, sf_dir: str) -> DataFrame:
