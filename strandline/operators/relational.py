@@ -54,6 +54,21 @@ def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str) -> D
     return filled.where("__side = 1").drop("__side")
 
 
+def latest_start(rows: DataFrame, starts: DataFrame, at: str, start: str, width: int) -> DataFrame:
+    """``rows`` with the largest ``start`` that is not beyond ``at``; both are whole numbers, and rows before the first start drop out.
+
+    Starts are ranked by ranges, so each knows the next; the spans between them are cut at
+    every multiple of ``width`` and meet the rows on equal cells. No task sees all rows.
+    """
+    ranked = numbered(starts, start, "__k")
+    after = ranked.select((F.col("__k") - 1).alias("__k"), F.col(start).alias("__next"))
+    end = rows.agg(F.max(at).alias("__end"))
+    spans = ranked.join(after, "__k", "left").crossJoin(F.broadcast(end)).withColumn("__to", F.coalesce(F.col("__next") - 1, F.col("__end"))).where(F.col("__to") >= F.col(start))
+    cell = lambda c: F.floor(F.col(c) / width).cast("long")
+    spread = spans.withColumn("__cell", F.explode(F.sequence(cell(start), cell("__to")))).select("__cell", start, "__to")
+    return rows.withColumn("__cell", cell(at)).join(spread, "__cell").where((F.col(start) <= F.col(at)) & (F.col(at) <= F.col("__to"))).drop("__cell", "__to")
+
+
 def rank_within(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
     return df.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__r") <= n).drop("__r")
 
