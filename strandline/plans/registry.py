@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
-MODULES = ("annotate", "signals", "grids", "tables", "formulas", "projections", "kernels", "studies", "streams", "files", "extensions", "labels")
+MODULES = ("annotate", "signals", "grids", "tables", "formulas", "projections", "kernels", "studies", "streams", "files", "extensions", "labels", "inverse")
 
 
 def query(name: str, sql: str | None = None):

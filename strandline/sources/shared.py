@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -18,3 +18,21 @@ def new_folder(spark: SparkSession, name: str) -> str:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="strandline-"))
         root = spark.sparkContext.getCheckpointDir()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+class Steps:
+    """Tables of an iteration, written to the shared folder so that plans stay short and lost executors cost one step; old steps are deleted."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.paths = spark, new_folder(spark, name), {}
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        path = self.paths[name] = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        jvm = self.spark._jvm
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
