@@ -152,6 +152,22 @@ def matching_pursuit(h: np.ndarray, y: np.ndarray, atoms: int) -> np.ndarray:
     return x
 
 
+def block_weights(at: np.ndarray, samples: np.ndarray, reach: float, nugget: float) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (at, samples) that add up to one, and standard deviations, for all of ``at`` at once.
+
+    The covariance falls as a Gaussian of ``reach``; ``nugget`` on its diagonal keeps the system well posed.
+    """
+    near = lambda a, b: np.exp(-((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2) / reach**2)
+    n = len(samples)
+    system = np.ones((n + 1, n + 1))
+    system[:n, :n] = near(samples, samples) + nugget * np.eye(n)
+    system[n, n] = 0
+    right = np.vstack([near(samples, at), np.ones(len(at))])
+    solved = np.linalg.solve(system, right)
+    variance = 1 + nugget - (solved * right).sum(axis=0)
+    return solved[:n].T, np.sqrt(np.maximum(0.0, variance))
+
+
 def total_least_squares_parabola(x: np.ndarray, z: np.ndarray) -> np.ndarray:
     """(c0, c1, c2) of z = c0 + c1 x + c2 x^2 from the least right singular vector of [1 x x^2 z]."""
     v = np.linalg.svd(np.column_stack((np.ones(len(x)), x, x**2, z)), full_matrices=False)[2][-1]

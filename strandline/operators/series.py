@@ -106,12 +106,6 @@ def quantile_unbiased(df: DataFrame, keys: list[str], v: str, shares: list[float
     return wanted.withColumn("__share", share).where(F.col("__share").isNotNull()).groupBy(*keys, "p").agg(F.sum(F.col("__share") * F.col(v)).alias("q"))
 
 
-def xcorr(df: DataFrame, key: str, a: str, b: str, low: Column, high: Column) -> DataFrame:
-    """Sum of a[i + lag] * b[i] for each lag from ``low`` to ``high``; the lags are exploded, so the join is on equal keys."""
-    shifted = df.select(key, F.col(b).alias("__b"), "i", F.explode(F.sequence(low, high)).alias("lag")).withColumn("i", F.col("i") + F.col("lag"))
-    return df.select(key, "i", F.col(a).alias("__a")).join(shifted, [key, "i"]).groupBy(key, "lag").agg(F.sum(F.col("__a") * F.col("__b")).alias("c"))
-
-
 def resample_linear(df: DataFrame, key: str, t: str, v: str, step: float) -> DataFrame:
     """Values at every whole multiple of ``step`` within the series, between neighbours linearly."""
     w = Window.partitionBy(key).orderBy(t)

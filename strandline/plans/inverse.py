@@ -1,10 +1,10 @@
-"""Queries on the pulse dictionary: its products, blind correction of positions and the pulse search."""
+"""Queries on the pulse dictionary (its products, blind correction of positions, the pulse search) and on block kriging."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandline.operators import pulses as pl
+from strandline.operators import kriging as kr, pulses as pl
 from strandline.plans.registry import query, table
 
 PULSE, DEEPEST = pl.Pulse(), 20.0
@@ -69,3 +69,43 @@ def pulse_search(spark, d):
     found = pl.fitted_pulses(traces, "s_suppkey", {"phase": (-1.0, 1.0), "bandwidth": (0.005, 0.105), "chirp": (-0.05, 0.05)}, 0.2, rounds=9)
     # no zero with a sign
     return found.select("s_suppkey", *[(F.round(c, 2) + 0.0).alias(c) for c in ("phase", "bandwidth", "chirp")])
+
+
+GRID, LENGTH = 10, 64
+
+
+def reach(k: int) -> float:
+    """Higher bins vary over shorter distances."""
+    return 4.0 / (1 + k / 16)
+
+
+def _cells(spark, d):
+    """Vectors as traces at the cells of a batch for each label, the first of several in a cell; two thirds of the cells at least are left out."""
+    e = table(spark, d, "embeddings").where("vec_id % 3 = 0 and label is not null and embedding is not null")
+    return e.groupBy("label", (F.col("vec_id") % 10).alias("x"), (F.floor(F.col("vec_id") / 10) % 10).alias("y")).agg(F.min_by(F.transform("embedding", lambda x: x.cast("double")), "vec_id").alias("v"))
+
+
+@query("k16_block_traces")
+def block_traces(spark, d):
+    """Traces of every unsampled cell, by weights of each frequency bin; tests hold them against plain systems."""
+    traces, _ = kr.block_kriging(_cells(spark, d), "label", GRID, LENGTH, reach)
+    return traces.select("label", "x", "y", F.transform("v", lambda x: F.round(x, 5) + 0.0).alias("v"))
+
+
+@query("k16_block_error_map")
+def block_error_map(spark, d):
+    """Error of every unsampled cell and bin."""
+    _, error = kr.block_kriging(_cells(spark, d), "label", GRID, LENGTH, reach)
+    return error.select("label", "x", "y", "k", F.round("sigma", 6).alias("sigma"))
+
+
+@query("k16_constant_blocks", """WITH c AS (SELECT label, vec_id % 10 AS x, vec_id // 10 % 10 AS y, arg_min(embedding, vec_id) AS v FROM embeddings WHERE vec_id % 3 = 0 GROUP BY ALL),
+ f AS (SELECT label, arg_min(v, (x, y)) AS v FROM c GROUP BY label), g AS (SELECT unnest(range(10)) AS x, NULL::BIGINT AS y), h AS (SELECT a.x, b.x AS y FROM g a, g b)
+ SELECT f.label, h.x, h.y, n, round(v[n + 1]::DOUBLE, 5) + 0.0 AS v FROM f, h, (SELECT unnest(range(64)) AS n) WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.label = f.label AND c.x = h.x AND c.y = h.y)""")
+def constant_blocks(spark, d):
+    """Where all sampled cells of a batch have one trace, all others get it: through spectra, weights and back."""
+    cells = _cells(spark, d)
+    one = cells.groupBy("label").agg(F.min_by("v", F.struct("x", "y")).alias("v"))
+    traces, _ = kr.block_kriging(cells.drop("v").join(one, "label"), "label", GRID, LENGTH, reach)
+    rows = traces.select("label", "x", "y", F.posexplode("v").alias("n", "v"))
+    return rows.select("label", "x", "y", F.col("n").cast("long").alias("n"), (F.round("v", 5) + 0.0).alias("v"))

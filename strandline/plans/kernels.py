@@ -1,6 +1,6 @@
-"""Queries whose groups go through NumPy kernels: one series, trace or batch a group.
+"""Queries whose groups go through NumPy kernels: one block, trace or batch a group.
 
-A trace or batch has a bounded size. The filters of ``SERIES`` take the whole series of a
+A block, trace or batch has a bounded size. The envelopes of ``SERIES`` take the whole series of a
 user, which must fit the memory of a task.
 
 Results are rows without an SQL twin; tests hold the kernels against closed forms.
@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from strandline.functions import kernels as k
-from strandline.plans.registry import query, series, table
+from strandline.operators import blocks
+from strandline.plans.registry import S, query, series, table
 
 #: Distances of the batch grids in cells, and the variogram that kriging uses.
 GRID, REACH = 10, 4.0
@@ -40,10 +41,8 @@ def per_trace(spark, d, f, result: str) -> DataFrame:
 
 
 SERIES = {
-    "k01_zero_phase_lowpass": (lambda v: k.zero_phase(v, 0.1), "smooth"),
     "k02_envelope": (lambda v: np.abs(k.analytic(v)), "envelope"),
     "k48_band_envelope_mean": (lambda v: np.convolve(np.abs(k.analytic(k.zero_phase(v - v.mean(), 0.2))), np.ones(5) / 5, "same"), "smooth"),
-    "w10_gaussian_smooth": (lambda v: k.gaussian_smooth(v, 5.0), "smooth"),
 }
 TRACES = {
     "k05_wavelet_packet": (lambda v: k.haar_packet(v, 3), "energy"),
@@ -57,6 +56,20 @@ for name, (f, column) in TRACES.items():
     query(name)(lambda spark, d, f=f, column=column: per_trace(spark, d, f, column))
 
 
+@query("k01_zero_phase_lowpass")
+def zero_phase(spark, d):
+    """Every user's series forward and backward through a low-pass, block by block."""
+    return blocks.zero_phase(series(spark, d), "user_id", "v", 0.1).select("user_id", "i", F.round("v", 6).alias("smooth"))
+
+
+@query("w10_gaussian_smooth", f"""WITH {S}, g AS (SELECT unnest(range(-15, 16)) AS m)
+ SELECT a.user_id, a.i, round(sum(exp(-0.5 * (m / 5.0) * (m / 5.0)) * b.v) / sum(exp(-0.5 * (m / 5.0) * (m / 5.0))), 6) AS smooth FROM s a, g JOIN s b ON b.user_id = a.user_id AND b.i = a.i + m GROUP BY a.user_id, a.i""")
+def gaussian_smooth(spark, d):
+    """The mean of the 31 samples around each by a Gaussian, over what lies within the series."""
+    weight = np.exp(-0.5 * (np.arange(-15, 16) / 5.0) ** 2)
+    return blocks.smoothed(series(spark, d), "user_id", "v", weight).select("user_id", "i", F.round("v", 6).alias("smooth"))
+
+
 def batches(spark, d) -> DataFrame:
     """Parts as samples of 10 by 10 cells, one mean value for each cell sampled; a batch is a brand and has 100 cells at most."""
     p = table(spark, d, "part").where("p_partkey % 3 = 0")

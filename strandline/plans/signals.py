@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from strandline.operators import series as ser
+from strandline.operators import blocks, series as ser
 from strandline.plans.registry import S, T, query, series, traces
 
 R = lambda c, n=6: F.round(c, n).alias(c if isinstance(c, str) else "x")
@@ -109,11 +109,10 @@ def quantiles(spark, d):
 @query("k11_xcorr_delay", f"""WITH {S}, c AS (SELECT b.user_id, a.i - b.i AS lag, sum(a.v * b.w) AS c FROM s a JOIN (SELECT user_id, i, v - 50 AS w, count(*) OVER (PARTITION BY user_id) AS n FROM s) b ON a.user_id = b.user_id AND a.i - b.i BETWEEN least(1 - n // 2, n // 2) AND n // 2 GROUP BY ALL)
  SELECT user_id, arg_min(lag, (-round(c, 4), lag))::INT AS lag, round(max(c), 4) AS peak FROM c GROUP BY user_id""")
 def xcorr(spark, d):
-    """The lag of largest correlation among all from 1 - n / 2 to n / 2, n being the length of the series."""
-    s = series(spark, d).withColumn("w", F.col("v") - 50)
-    half = F.floor(F.col("n") / 2).cast("int")
-    c = ser.xcorr(s.join(s.groupBy("user_id").agg(F.count("*").alias("n")), "user_id"), "user_id", "v", "w", F.least(1 - half, half), half)
-    return c.groupBy("user_id").agg(F.min_by("lag", F.struct(-F.round("c", 4), F.col("lag"))).alias("lag"), F.round(F.max("c"), 4).alias("peak"))
+    """The lag of largest correlation among all from 1 - n / 2 to n / 2, n being the length of the series: spectra by blocks, then the near best anew."""
+    half = F.floor(F.col("n") / 2).cast("long")
+    c = blocks.best_lag(series(spark, d).withColumn("w", F.col("v") - 50), "user_id", "v", "w", F.least(1 - half, half), half)
+    return c.select("user_id", F.col("lag").cast("int").alias("lag"), F.col("c").alias("peak"))
 
 
 @query("k09_linear_resample", f"""WITH {S}, p AS (SELECT user_id, t, v, lead(t) OVER w AS t1, lead(v) OVER w AS v1 FROM s WINDOW w AS (PARTITION BY user_id ORDER BY t)),

@@ -107,3 +107,29 @@ def test_pulse_search_keeps_within_its_ranges(spark):
     got = {r["k"]: r for r in pl.fitted_pulses(spark.createDataFrame(rows, "k long, v array<double>"), "k", {"phase": (-1.0, 1.0), "bandwidth": (0.01, 0.1), "chirp": (-0.05, 0.05)}, 0.2, rounds=9).collect()}
     assert (got[1]["phase"], got[1]["bandwidth"], got[1]["chirp"]) == pytest.approx((0.3, 0.05, 0.01), abs=5e-3) and got[1]["error"] < 1e-3
     assert -1 <= got[2]["phase"] <= 1 and got[2]["error"] > 0.1
+
+
+def test_block_kriging_equals_plain_systems(spark):
+    from strandline.operators import kriging as kr
+
+    rng = np.random.default_rng(8)
+    cells = [(b, int(c) // 5, int(c) % 5, rng.normal(size=16).tolist()) for b in (3, 4) for c in rng.permutation(25)[: 6 + b]]
+    reach = lambda k: 3.0 / (1 + k / 4)
+    traces, errors = kr.block_kriging(spark.createDataFrame(cells, "b int, x long, y long, v array<double>"), "b", 5, 16, reach)
+    got = {(r["b"], r["x"], r["y"]): r["v"] for r in traces.collect()}
+    error = {(r["b"], r["x"], r["y"], r["k"]): r["sigma"] for r in errors.collect()}
+    for b in (3, 4):
+        at = np.array([(x, y) for c, x, y, _ in cells if c == b], float)
+        spectra = np.fft.rfft([v for c, _, _, v in cells if c == b], axis=1)
+        for x, y in {(x, y) for x in range(5) for y in range(5)} - {(int(p), int(q)) for p, q in at}:
+            found = np.zeros(9, complex)
+            for k in range(9):
+                c = lambda p, q: np.exp(-(np.hypot(*(p - q)) / reach(k)) ** 2)  # noqa: B023, E731
+                n = len(at)
+                m = np.block([[np.array([[c(p, q) for q in at] for p in at]) + 1e-3 * np.eye(n), np.ones((n, 1))], [np.ones((1, n)), np.zeros((1, 1))]])
+                right = np.append([c(p, np.array([x, y], float)) for p in at], 1.0)
+                w = np.linalg.lstsq(m, right, rcond=None)[0]
+                found[k] = w[:n] @ spectra[:, k]
+                assert error[b, x, y, k] == pytest.approx(math.sqrt(max(0.0, 1.001 - w @ right)), abs=1e-6)
+            assert np.allclose(got[b, x, y], np.fft.irfft(found, 16), atol=1e-8)
+    assert len(got) == 50 - len(cells)
