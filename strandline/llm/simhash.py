@@ -210,8 +210,9 @@ def roots(edges: DataFrame, scratch: Scratch) -> DataFrame:
     while True:
         turn += 1
         seen = spread_join(both, labels.select(F.col("bits").alias("other"), "root"), "other", ["bits"], n_edges).groupBy("bits").agg(F.min("root").alias("least"))
-        beyond = spread_join(labels, labels.select(F.col("bits").alias("root"), F.col("root").alias("beyond")), "root", ["bits"], n_labels)
-        stepped = scratch.keep(beyond.join(seen, "bits").select("bits", F.least("root", "least", "beyond").alias("root"), F.col("root").alias("before")), f"labels{turn}")
+        # the spread rows are written as they lie: a further join, if broadcast, would inherit the shares of hot labels
+        beyond = spread_join(labels.join(seen, "bits"), labels.select(F.col("bits").alias("root"), F.col("root").alias("beyond")), "root", ["bits"], n_labels, sizes=labels.groupBy("root").agg(F.count("*").alias("n")))
+        stepped = scratch.keep(beyond.select("bits", F.least("root", "least", "beyond").alias("root"), F.col("root").alias("before")), f"labels{turn}")
         changed = stepped.where("root <> before").limit(1).count()
         labels = stepped.select("bits", "root")
         scratch.drop(f"labels{turn - 1}")
