@@ -14,8 +14,8 @@ from strandline.llm.ngrams import counted, steps
 
 #: Characters of an n-gram, and bits of its hash. Of the n-grams that take part one in 40 meets another by the hash, at 100,000 of them.
 LENGTHS, BITS = (3, 4, 5, 6), 22
-#: Labelled rows of a class that the classifier is fit on at most. An n-gram takes part if its log-count ratio is that many standard errors from none.
-PER_CLASS, EVIDENCE = 4000, 3.0
+#: Labelled rows of a class that the classifier is fit on at most, and n-grams that take part: those whose log-count ratios are most standard errors from none, however few that is.
+PER_CLASS, FEATURES = 4000, 20_000
 FOLDS, HELD, CUT = 3, 1, 0.7
 
 
@@ -75,7 +75,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, f
     wide = _document_counts(rows).groupBy("feature").agg(*[F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in (0, 1)])
     ratio = F.log((F.col("n1") + 1) / float(sizes[1] + 2)) - F.log((F.col("n0") + 1) / float(sizes[0] + 2))
     evidence = F.abs(ratio) / F.sqrt(1 / (F.col("n0") + 1) + 1 / (F.col("n1") + 1))
-    best = wide.where(evidence >= EVIDENCE).select("feature", ratio.alias("ratio")).toPandas().sort_values("feature")
+    best = wide.select("feature", ratio.alias("ratio"), evidence.alias("by")).orderBy(F.col("by").desc(), F.xxhash64("feature")).limit(FEATURES).toPandas().sort_values("feature")
     grams, scaled = best["feature"].to_numpy(np.int64), best["ratio"].to_numpy(float)
     chosen = np.zeros(1 << BITS, bool)
     chosen[grams] = True
