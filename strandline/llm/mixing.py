@@ -79,14 +79,14 @@ def mix(docs: DataFrame, columns: list[str], id_column: str = "doc_id", text_col
     ``taken`` is the size times the whole epochs, once more for a document of the
     fractional epoch: documents in key order whose middle word lies within the rest of
     the budget. Rows of one id share a draw, and so do rows without id of equal texts; equal
-    keys are ordered by id, then by row. Sources with a null name are a source of their
+    keys are ordered by id, then by a hash of the text, so that no row's share depends on how the table is split. Sources with a null name are a source of their
     own, the last. Documents without words, or with null text, take nothing; an empty
     table gives no rows. The documents may have columns of any names.
     """
     scratch, mark = Scratch(docs.sparkSession), free_prefix(docs.columns)
     key = -F.ln(uniform(F.col(id_column), F.col(text_column), seed)) / weight_of(F.col(text_column))
     keyed = docs.select(
-        *columns, F.col(source_column).alias(f"{mark}source"), F.col(id_column).alias(f"{mark}id"), size_of(F.col(text_column)).alias(f"{mark}size"), key.alias(f"{mark}key"), F.monotonically_increasing_id().alias(f"{mark}row")
+        *columns, F.col(source_column).alias(f"{mark}source"), F.col(id_column).alias(f"{mark}id"), size_of(F.col(text_column)).alias(f"{mark}size"), key.alias(f"{mark}key"), F.xxhash64(text_column).alias(f"{mark}text"), F.monotonically_increasing_id().alias(f"{mark}row")
     )
     keyed = scratch.keep(keyed.withColumn(f"{mark}slice", F.floor(F.ln(f"{mark}key") * SLICES).cast("int")), "keyed")
     slices = scratch.keep(keyed.groupBy(f"{mark}source", f"{mark}slice").agg(F.sum(f"{mark}size").alias("words")), "slices")
@@ -106,7 +106,7 @@ def mix(docs: DataFrame, columns: list[str], id_column: str = "doc_id", text_col
     inside = F.when(edge.isNull(), rest >= F.col(f"{mark}plan_source_size")).otherwise(F.col(f"{mark}slice") < edge)
     clear = joined.where(edge.isNull() | (F.col(f"{mark}slice") != edge)).withColumn(f"{mark}taken", base + F.when(inside, F.col(f"{mark}size")).otherwise(0))
     on_edge = joined.where(F.col(f"{mark}slice") == edge)
-    sorted_ = Window.partitionBy(f"{mark}plan_source", f"{mark}slice").orderBy(f"{mark}key", F.col(f"{mark}id").asc_nulls_last(), f"{mark}row").rowsBetween(Window.unboundedPreceding, 0)
+    sorted_ = Window.partitionBy(f"{mark}plan_source", f"{mark}slice").orderBy(f"{mark}key", F.col(f"{mark}id").asc_nulls_last(), f"{mark}text", f"{mark}row").rowsBetween(Window.unboundedPreceding, 0)
     middle = F.col(f"{mark}plan_edge_before") + F.sum(f"{mark}size").over(sorted_) - F.col(f"{mark}size") / 2
     cut = on_edge.withColumn(f"{mark}taken", base + F.when(middle <= rest, F.col(f"{mark}size")).otherwise(0))
     added = {"size": f"{mark}size", "source_size": f"{mark}plan_source_size", "target": f"{mark}plan_target", "taken": f"{mark}taken"}
