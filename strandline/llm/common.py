@@ -50,18 +50,20 @@ def spread_join(rows: DataFrame, table: DataFrame, key: str, salt: list[str], to
 
 
 def most_frequent(counts: DataFrame, count: str, most: int) -> DataFrame:
-    """The rows of largest ``count``, at most ``most`` of them: all from a count upwards, so ties are taken or left together.
+    """The rows of largest ``count``, ``most`` of them or all; those that tie at the end are drawn by a hash of their other columns.
 
     Counts below STEPS are told apart exactly, larger ones to one part in STEPS. The driver gets a row for each step.
     """
     step = F.floor(F.log2(F.col(count).cast("double")) * STEPS).cast("int")
     held, least = 0, None
-    for r in sorted(counts.where(F.col(count) > 0).groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["step"]):
+    there = counts.where(F.col(count) > 0)
+    for r in sorted(there.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["step"]):
+        if held + r["n"] > most:
+            drawn = least_drawn(there.where(step == r["step"]), F.xxhash64(*[c for c in counts.columns if c != count], F.lit(11)), most - held)
+            return drawn if least is None else there.where(step >= least).unionByName(drawn)
         held += r["n"]
-        if held > most:
-            break
         least = r["step"]
-    return counts.where(F.lit(False)) if least is None else counts.where((F.col(count) > 0) & (step >= least))
+    return there
 
 
 def least_drawn(df: DataFrame, draw: Column, most: int) -> DataFrame:
