@@ -279,7 +279,8 @@ def keep_first(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     first = scratch.keep(rows.groupBy("set").agg(F.min("at").alias("first"), F.count("*").alias("n")), "first")
     several = first.where("n > 1")
     copies = scratch.keep(spread_join(_perhaps_among(rows, "set", several, "set"), several.drop("n"), "set", ["row"], total, sizes=several).where(F.col("row") != F.col("first.row")).select("row"), "copies")
-    texts = scratch.keep(_without(plain, "row", copies, "row").select("row", "size", "prefix", "sketch", "bits"), "texts")
+    # read again where it is used: a table of its own would hold the prefixes and sketches twice
+    texts = _without(plain.drop("set"), "row", copies, "row")
     labels = _components(texts, stored.select(F.col(f"{mark}row").alias("row"), F.col(text_column).alias("text")), scratch)
     member = scratch.keep(first.select("first", F.col("first.row").alias("bits")).join(labels, "bits"), "member")
     least = member.groupBy("root").agg(F.min("first").alias("least"))
