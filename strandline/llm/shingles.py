@@ -201,13 +201,48 @@ def _against_heads(lists: DataFrame, turn: int) -> DataFrame:
     return often.groupBy("row").agg(F.max(F.struct("times", "by", "head")).alias("best")).select(F.col("best.head").alias("a"), F.col("row").alias("b"))
 
 
+def _by_frequency(lists: DataFrame, whole: DataFrame, scratch: Scratch) -> DataFrame:
+    """(shingle, row, size, place): prefixes of the documents of ``lists`` anew, their shingles ordered by the number of those documents that hold them.
+
+    Similar documents that are not connected yet share a list, so no others matter, and any
+    order is right. Shingles of one document come first and meet nobody: a document that has
+    as many of them as its prefix is long drops out, whatever passages it shares with others. Numbers are those of
+    a shorter hash, which orders alike wherever the shingle occurs. ``place`` counts from 1.
+    """
+    few = whole.join(lists.select("row").distinct(), "row", "left_semi").select("row", "text")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = shingles(text.as_py()).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), row)), pa.array(np.full(len(own), len(own), np.int32))], names=["shingle", "row", "size"])
+
+    every = few.mapInArrow(task, "shingle long, row long, size int").withColumn("short", F.hash("shingle"))
+    common = scratch.keep(every.groupBy("short").agg(F.count("*").alias("n")).where("n > 1"), "common")
+    total = common.agg(F.sum("n")).first()[0] or 0
+    met = spread_join(_perhaps_among(every, "short", common, "short"), common, "short", ["row"], total, sizes=common)
+    held = met.groupBy("row", "size").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("own"))
+    alone = F.col("size") - F.size("own")
+    length = F.col("size") - F.ceil(F.col("size") * LEAST / OF).cast("int") + 1
+    cut = held.where(length > alone).select("row", "size", alone.alias("alone"), F.posexplode(F.slice("own", F.lit(1), length - alone)).alias("at", "s"))
+    found = scratch.keep(cut.select(F.col("s.shingle").alias("shingle"), "row", "size", (F.col("alone") + F.col("at") + 1).alias("place")), "ordered")
+    scratch.drop("common")
+    scratch.settle()
+    return found
+
+
 def _all_pairs(lists: DataFrame) -> DataFrame:
-    """(a, b): all pairs of a list that are not connected yet. Lists of more than CELL documents are cut into cells."""
+    """(a, b): all pairs of a list that are not connected yet and may be similar. Lists of more than CELL documents are cut into cells.
+
+    At the first shingle that two sets have in common, what is left of each must hold the rest of what they need.
+    """
     dealt = lists.withColumn("cells", F.ceil(F.col("n") / CELL).cast("int")).withColumn("cell", F.pmod(F.xxhash64("row", F.lit(7)), F.col("cells")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
-    a = dealt.select("shingle", F.col("cell").alias("x"), every.alias("y"), F.col("row").alias("a"), F.col("size").alias("size_a"), F.col("label").alias("label_a"))
-    b = dealt.select("shingle", every.alias("x"), F.col("cell").alias("y"), F.col("row").alias("b"), F.col("size").alias("size_b"), F.col("label").alias("label_b"))
-    return a.join(b, ["shingle", "x", "y"]).where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & _fit("size_a", "size_b")).select("a", "b").distinct()
+    own = lambda e: [F.col("row").alias(e), F.col("size").alias(f"size_{e}"), F.col("label").alias(f"label_{e}"), (F.col("size") - F.col("place") + 1).alias(f"left_{e}")]
+    a = dealt.select("shingle", F.col("cell").alias("x"), every.alias("y"), *own("a"))
+    b = dealt.select("shingle", every.alias("x"), F.col("cell").alias("y"), *own("b"))
+    enough = (OF + LEAST) * F.least("left_a", "left_b") >= LEAST * (F.col("size_a") + F.col("size_b"))
+    return a.join(b, ["shingle", "x", "y"]).where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & _fit("size_a", "size_b") & enough).select("a", "b").distinct()
 
 
 def _by_fingerprint(texts: DataFrame, scratch: Scratch) -> DataFrame:
@@ -226,10 +261,10 @@ def _components(texts: DataFrame, whole: DataFrame, scratch: Scratch) -> DataFra
     ``texts`` holds row, size, prefix, sketch and bits of the distinct sets, ``whole`` row and text.
     What the fingerprints propose and one head for each shingle are compared first, which
     connects nearly all members of a large group of near copies; only documents that
-    still are not connected are then compared pair by pair.
+    still are not connected are then put in order by the shingles' frequencies and compared pair by pair.
     """
     # counted by a shorter hash, which also lets a few shingles of one document pass; _mixed drops them
-    postings, short = texts.select(F.explode("prefix").alias("shingle"), "row", "size"), F.hash("shingle")
+    postings, short = texts.select(F.posexplode("prefix").alias("at", "shingle"), "row", "size").select("shingle", "row", "size", (F.col("at") + 1).alias("place")), F.hash("shingle")
     shared = scratch.keep(postings.groupBy(short.alias("short")).agg(F.count("*").alias("n")).where("n > 1").select("short"), "shared")
     near = scratch.keep(_perhaps_among(postings.withColumn("short", short), "short", shared, "short").drop("short"), "near")
     scratch.drop("shared")
@@ -251,6 +286,8 @@ def _components(texts: DataFrame, whole: DataFrame, scratch: Scratch) -> DataFra
             break
         last = turn == ROUNDS or left["pairs"] <= 4 * left["rows"] or left["pairs"] > before / 2
         before = left["pairs"]
+        if last and left["pairs"] > 4 * left["rows"]:
+            lists, name = _mixed(_by_frequency(lists, whole, scratch), labels, scratch, "lists_last"), "lists_last"
         pairs = scratch.keep(_all_pairs(lists) if last else _against_heads(lists, turn), f"pairs{turn}")
         found = _confirmed(pairs, texts, whole, scratch, f"found{turn}")
         scratch.drop(f"pairs{turn}")
