@@ -209,7 +209,8 @@ def _by_frequency(lists: DataFrame, whole: DataFrame, scratch: Scratch) -> DataF
     as many of them as its prefix is long drops out, whatever passages it shares with others. Numbers are those of
     a shorter hash, which orders alike wherever the shingle occurs. ``place`` counts from 1.
     """
-    few = whole.join(lists.select("row").distinct(), "row", "left_semi").select("row", "text")
+    # by a bitmap alone, which spares a shuffle of the texts: some documents more do no harm
+    few = _perhaps_among(whole, "row", lists.select("row").distinct(), "row").select("row", "text")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
