@@ -95,6 +95,34 @@ def numbered(df: DataFrame, column: str, to: str) -> DataFrame:
     return ordered.join(F.broadcast(before), "__part").select(column, (F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1)).alias(to))
 
 
+def parameter_grid(df: DataFrame, column: str, **values: list) -> DataFrame:
+    """Each distinct value of a column with every choice of the listed parameters, and the place of each set in that order.
+
+    Values are numbered by a sort by ranges and the short lists are exploded beside them, so no task holds the grid.
+    """
+    sets = numbered(df, column, "set_no")
+    for name, choices in values.items():
+        sets = sets.select("*", F.posexplode(F.array(*[F.lit(c) for c in choices])).alias("__place", name))
+        sets = sets.withColumn("set_no", F.col("set_no") * len(choices) + F.col("__place")).drop("__place")
+    return sets
+
+
+def overlap_weights(df: DataFrame, x: str, y: str, width: int, height: int, size: int, step: int) -> DataFrame:
+    """Each row beside every batch of ``size`` x ``size`` cells that covers its cell: origins ``bx`` and ``by_`` and ``weight``, one over their number.
+
+    The batches follow from the cell itself, so weights need no count over the grid.
+    """
+    if (width - size) % step or (height - size) % step:
+        raise ValueError("batches do not end at the border of the grid")
+
+    def origins(c: str, cells: int) -> Column:
+        first, last = F.greatest(F.lit(0), F.ceil((F.col(c) - size + 1) / step)), F.least(F.lit((cells - size) // step), F.floor(F.col(c) / step))
+        return F.transform(F.sequence(first.cast("long"), last.cast("long")), lambda k: k * step)
+
+    found = df.withColumn("__bx", origins(x, width)).withColumn("__by", origins(y, height)).withColumn("weight", 1.0 / (F.size("__bx") * F.size("__by")))
+    return found.withColumn("bx", F.explode("__bx")).withColumn("by_", F.explode("__by")).drop("__bx", "__by")
+
+
 def split_by_trial(df: DataFrame, trial: str, ratio: float, seed: int) -> DataFrame:
     """Adds ``part``: test for the int(ratio * n) trials of least hash, else train. Ranks come from counts per hash slice, so no task holds all trials."""
     trials = df.select(trial).distinct().withColumn("__h", portable_hash(trial, seed)).withColumn("__s", F.shiftright("__h", 19))

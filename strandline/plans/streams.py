@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandline.plans.registry import query
+from strandline.plans.registry import micros, query
+from strandline.sources.shared import new_folder
 from strandline.streaming import windows as st
 
 #: Windows end before the watermark: the latest event less ten minutes.
@@ -17,9 +18,11 @@ def _events(spark, d):
 
 
 def _micros(c: str):
-    from strandline.plans.registry import micros
+    return _micros_of(c).alias(c)
 
-    return micros(F.col(c).cast("timestamp_ntz")).alias(c)
+
+def _micros_of(c: str):
+    return micros(F.col(c).cast("timestamp_ntz"))
 
 
 @query("t05_tumbling_blocks", f"""SELECT b * 3600000000 AS start, (b + 1) * 3600000000 AS "end", event_type, n, total FROM (
@@ -67,3 +70,16 @@ def stream_join(spark, d):
     b = _events(spark, d).where("event_type = 'purchase'").select(F.col("user_id").alias("buyer"), F.col("ts").alias("bought"), F.col("event_id").alias("buy_id")).withWatermark("bought", "10 minutes")
     joined = a.join(b, F.expr("user_id = buyer AND bought > seen AND bought <= seen + INTERVAL 1 HOUR"))
     return st.drain(joined.select("view_id", "buy_id"), "joined")
+
+
+@query("t03_interval_publisher", f"""WITH w AS (SELECT epoch_us(ts) // 3600000000 - k AS b, event_type FROM events, (SELECT unnest([0, 1]) AS k)),
+ c AS (SELECT b, count(*) AS n, count(*) FILTER (event_type = 'click') AS clicks, count(*) FILTER (event_type = 'purchase') AS buys FROM w GROUP BY b)
+ SELECT b * 3600000000 AS start, n, round(100.0 * clicks / n, 4)::DOUBLE AS click, round(100.0 * buys / n, 4)::DOUBLE AS purchase FROM c WHERE (b + 2) * 3600000000 <= {PASSED}""")
+def interval_publisher(spark, d):
+    """Per cent of two classes in sliding windows, published as they close; rows are what the receiver has got."""
+    share = lambda kind: F.round(100 * F.sum((F.col("event_type") == kind).cast("long")) / F.count("*"), 4).alias(kind)
+    w = _events(spark, d).withWatermark("ts", "10 minutes").groupBy(F.window("ts", "2 hours", "1 hour").alias("w")).agg(F.count("*").alias("n"), share("click"), share("purchase"))
+    inbox = new_folder(spark, "inbox")
+    closed = w.select(_micros_of("w.start").alias("start"), "n", "click", "purchase")
+    st.publish(closed, st.Inbox(inbox), new_folder(spark, "published"), every=None).awaitTermination()
+    return spark.read.schema(closed.schema).json(inbox)

@@ -98,12 +98,21 @@ def text_dump(spark: SparkSession, path: str) -> DataFrame:
 
 def thermal(spark: SparkSession, path: str, width: int, height: int, kind: str = "<u2", suffix: str = "*") -> DataFrame:
     """(series, frame, x, y, v) of flat files with the width fastest, then the height, then frames; one frame at a time."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", suffix).load(path).select(_stem().alias("series"), "content")
+    return frames(contents(spark, path, suffix), width, height, kind)
+
+
+def contents(spark: SparkSession, path: str, suffix: str = "*") -> DataFrame:
+    """(series, content) of whole files."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", suffix).load(path).select(_stem().alias("series"), "content")
+
+
+def frames(files: DataFrame, width: int, height: int, kind: str = "<u2") -> DataFrame:
+    """(series, frame, x, y, v) of files that are there as (series, content)."""
     y, x = (g.ravel() for g in np.mgrid[:height, :width])
 
-    def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for name, content in zip(frame["series"], frame["content"]):
+    def decode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for name, content in zip(part["series"], part["content"]):
                 v = np.frombuffer(content, kind).reshape(-1, width * height)
                 for i, one in enumerate(v):
                     yield pd.DataFrame({"series": name, "frame": i, "x": x, "y": y, "v": one.astype(float)})

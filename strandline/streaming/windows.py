@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strandline.sources.shared import new_folder
+from strandline.sources.shared import exists, mark, new_folder, store
 
 
 def source(spark: SparkSession, folder: str, name: str, files_per_batch: int = 1) -> DataFrame:
@@ -46,10 +47,42 @@ def one_pole(stream: DataFrame, key: str, order: str, v: str, share: float) -> D
     return picked.groupBy(key).applyInPandasWithState(step, f"{key} long, {order} long, y double", "y double", "append", "NoTimeout")
 
 
-def publish(stream: DataFrame, send, every: str = "3 seconds"):
-    """Calls ``send`` with each batch's rows as JSON texts; ``send`` runs on executors, once a partition."""
+def publish(stream: DataFrame, send: Callable[[list[tuple[str, str]]], None], log: str, every: str | None = "3 seconds", mode: str = "append", rows: int = 500):
+    """Starts a query that sends each batch's rows as (key, JSON text) in lists of at most ``rows``, from the executors, and gives it.
 
-    def batch(rows: DataFrame, number: int) -> None:
-        rows.select(F.to_json(F.struct("*")).alias("payload")).foreachPartition(lambda part: send([r["payload"] for r in part]))
+    A batch is first written to ``log`` under its number, with a key for each row, and sent
+    from there; a note says that it has been sent. A query started again with the same ``log``
+    skips batches with a note and sends one without from what was written, under the same
+    keys, so a receiver that knows its keys gets each row once. ``every`` None takes what is
+    there and ends.
+    """
+
+    def batch(found: DataFrame, number: int) -> None:
+        spark, kept, note = found.sparkSession, f"{log}/batch-{number}", f"{log}/sent/{number}"
+        if exists(spark, note):
+            return
+        if not exists(spark, f"{kept}/_SUCCESS"):
+            key = F.concat_ws("-", F.lit(number), F.monotonically_increasing_id())
+            found.select(key.alias("key"), F.to_json(F.struct("*")).alias("payload")).write.mode("overwrite").parquet(kept)
+
+        def part(messages) -> None:
+            texts = ((r["key"], r["payload"]) for r in messages)
+            while some := list(islice(texts, rows)):
+                send(some)
+
+        spark.read.schema("key string, payload string").parquet(kept).foreachPartition(part)
+        mark(spark, note)
+
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return stream.writeStream.outputMode(mode).option("checkpointLocation", f"{log}/checkpoint").foreachBatch(batch).trigger(**trigger).start()
+
+
+class Inbox:
+    """A receiver that keeps each row's text in a folder, as a file named by its key: what comes twice lies there once."""
+
+    def __init__(self, folder: str):
+        self.folder = folder
 
-    return stream.writeStream.foreachBatch(batch).trigger(processingTime=every)
+    def __call__(self, messages: list[tuple[str, str]]) -> None:
+        for key, text in messages:
+            store(self.folder, f"{key}.json", text.encode())
