@@ -100,13 +100,11 @@ def scan_defect(spark, d):
     return table(spark, d, "supplier").select(F.col("s_suppkey").alias("scan")).crossJoin(n).withColumn("distance", F.round(F.sqrt(F.pow(F.col("scan") - F.col("defect"), 2) + 25), 6))
 
 
-@query("s23_defect_source", """SELECT x, y, z, round(0.5 + (h % 1000) / 2000.0, 6)::DOUBLE AS amplitude FROM (
- SELECT *, row_number() OVER (PARTITION BY z ORDER BY h, x, y) AS r FROM (SELECT x, y, z, ((x * 1009 + y * 31 + z) * 1103515245 + 7) % 2147483648 AS h
- FROM (SELECT unnest(range(20)) AS x), (SELECT unnest(range(10)) AS y), (SELECT unnest(range(5)) AS z))) WHERE r <= 6""")
+@query("s23_defect_source", f"""WITH {V}, h AS (SELECT x, y, z, ((x * 1009 + y * 31 + z) * 1103515245 + 7) % 2147483648 AS h FROM vol)
+ SELECT x, y, z, round(0.5 + (h % 1000) / 2000.0, 6)::DOUBLE AS amplitude FROM (SELECT *, row_number() OVER (PARTITION BY z ORDER BY h, x, y) AS r FROM h) WHERE r <= 6""")
 def defects(spark, d):
-    """Six positions of each depth without replacement, with amplitudes from 0.5 to 1."""
-    grid = spark.range(1000).select((F.col("id") % 20).alias("x"), (F.floor(F.col("id") / 20) % 10).alias("y"), F.floor(F.col("id") / 200).alias("z"))
-    h = grid.withColumn("key", F.col("x") * 1009 + F.col("y") * 31 + F.col("z")).withColumn("h", rel.portable_hash("key", 7))
+    """Six positions of each depth of the measured volume without replacement, with amplitudes from 0.5 to 1."""
+    h = cells(spark, d).withColumn("key", F.col("x") * 1009 + F.col("y") * 31 + F.col("z")).withColumn("h", rel.portable_hash("key", 7))
     picked = rel.rank_within(h, ["z"], [F.col("h"), F.col("x"), F.col("y")], 6)
     return picked.select("x", "y", "z", F.round(0.5 + (F.col("h") % 1000) / 2000.0, 6).cast("double").alias("amplitude"))
 

@@ -99,10 +99,12 @@ def shift(spark, d):
     return table(spark, d, "part").select(k.alias("id"), F.pmod(k % 50 - 60, F.lit(50)).alias("x"), F.pmod(F.floor(k / 50) + 7, F.lit(40)).alias("y"))
 
 
-@query("f33_water_filling", "WITH g AS (SELECT unnest([1, 2, 3, 4]) AS gain), m AS (SELECT unnest([0.5, 1.0, 2.0]) AS mu) SELECT gain, mu::DOUBLE AS mu, round(greatest(1 / mu - 1.0 / gain, 0), 6)::DOUBLE AS power FROM g, m")
+@query("f33_water_filling", """WITH g AS (SELECT c_custkey AS id, 0.1 + abs(c_acctbal) / 1000 AS gain FROM customer), m AS (SELECT unnest([0.5, 1.0, 2.0])::DOUBLE AS mu)
+ SELECT id, mu, round(CASE WHEN gain > mu THEN (gain - mu) / (gain * mu) ELSE 0 END, 6)::DOUBLE AS power FROM g, m""")
 def water(spark, d):
-    g = spark.range(1, 5).select(F.col("id").cast("int").alias("gain"), F.explode(F.array(F.lit(0.5), F.lit(1.0), F.lit(2.0))).alias("mu"))
-    return g.select("gain", "mu", F.round(F.greatest(1 / F.col("mu") - 1.0 / F.col("gain"), F.lit(0.0)), 6).alias("power"))
+    """Power of each channel under three water levels, 1 / mu: the level less the channel's noise, never below zero."""
+    g = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), (0.1 + F.abs("c_acctbal") / 1000).alias("gain"), F.explode(F.array(F.lit(0.5), F.lit(1.0), F.lit(2.0))).alias("mu"))
+    return g.select("id", "mu", F.round(F.greatest(1 / F.col("mu") - 1.0 / F.col("gain"), F.lit(0.0)), 6).alias("power"))
 
 
 @query("f38_padded_ids", "SELECT c_custkey, printf('%03d', c_custkey) AS padded, lpad((c_custkey % 1000)::VARCHAR, 3, '0') AS short FROM customer")

@@ -133,13 +133,11 @@ def unsampled(spark, d):
     return grid.join(taken, ["x", "y"], "left_anti")
 
 
-@query("w14_overlap_weights", "WITH b AS (SELECT unnest(range(0, 16, 5)) AS bx), g AS (SELECT unnest(range(25)) AS x), c AS (SELECT b1.bx, b2.bx AS byy, g1.x, g2.x AS y FROM b b1, b b2, g g1, g g2 WHERE g1.x >= b1.bx AND g1.x < b1.bx + 10 AND g2.x >= b2.bx AND g2.x < b2.bx + 10) SELECT bx, byy AS by_, x, y, 1.0 / count(*) OVER (PARTITION BY x, y) AS weight FROM c")
+@query("w14_overlap_weights", f"""WITH {POS}, b AS (SELECT b1.k AS bx, b2.k AS by_ FROM (SELECT unnest(range(0, 41, 5)) AS k) b1, (SELECT unnest(range(0, 31, 5)) AS k) b2)
+ SELECT id, bx, by_, 1.0 / count(*) OVER (PARTITION BY id) AS weight FROM pos JOIN b ON px >= bx AND px < bx + 10 AND py >= by_ AND py < by_ + 10""")
 def overlap_weights(spark, d):
-    """Batches of 10 x 10 cells every 5 cells on a 25 x 25 grid; the weights of a cell add up to one."""
-    b = spark.range(4).select((F.col("id") * 5).alias("bx")).withColumn("by_", F.explode(F.array(*[F.lit(5 * i).cast("long") for i in range(4)])))
-    ten = F.sequence(F.lit(0), F.lit(9))
-    c = b.withColumn("x", F.explode(ten)).withColumn("y", F.explode(ten)).withColumns({"x": F.col("x") + F.col("bx"), "y": F.col("y") + F.col("by_")})
-    return c.withColumn("weight", 1.0 / F.count("*").over(Window.partitionBy("x", "y")))
+    """Positions beside the batches of 10 x 10 cells, 5 apart, that cover them; the weights of a position add up to one."""
+    return rel.overlap_weights(positions(spark, d), "px", "py", 50, 40, 10, 5).select("id", "bx", "by_", "weight")
 
 
 @query("a26_mosaic_sum", "WITH t AS (SELECT l_suppkey % 4 * 5 + l_partkey % 8 AS gx, l_linenumber * 3 + l_orderkey % 6 AS gy, l_quantity AS v FROM lineitem) SELECT gx, gy, sum(v) AS v, count(*) AS n FROM t GROUP BY gx, gy")
@@ -189,13 +187,13 @@ def saft(spark, d):
     return t.withColumn("z", tau).join(a.select("vec_id", "z", "v"), ["vec_id", "z"]).groupBy("gx", "gz").agg(F.round(F.sum("v"), 6).alias("v"))
 
 
-@query("j04_pair_lag_variogram", f"""WITH e AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS v FROM embeddings),
- p AS (SELECT a.label, floor(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) / 0.05)::BIGINT AS bin, pow(a.v - b.v, 2) AS q, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d FROM e a JOIN e b ON a.label = b.label AND a.vec_id > b.vec_id)
- SELECT label, bin, count(*) AS n, round(avg(q) / 2, 6) AS gamma FROM p WHERE d <= 0.3 GROUP BY label, bin""")
+@query("j04_pair_lag_variogram", f"""WITH e AS (SELECT vec_id, vec_id // 1000 AS batch, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS v FROM embeddings),
+ p AS (SELECT a.batch, a.label, floor(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) / 0.05)::BIGINT AS bin, pow(a.v - b.v, 2) AS q, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d FROM e a JOIN e b ON a.batch = b.batch AND a.label = b.label AND a.vec_id > b.vec_id)
+ SELECT batch, label, bin, count(*) AS n, round(avg(q) / 2, 6) AS gamma FROM p WHERE d <= 0.3 GROUP BY batch, label, bin""")
 def pair_variogram(spark, d):
-    """Pairs of one batch within a lag limit, found by cells of the limit and not by all pairs."""
-    e = table(spark, d, "embeddings").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate("xyv")])
-    a = e.select("vec_id", "label", F.col("x").alias("tx"), F.col("y").alias("ty"), "v")
-    b = e.select(F.col("vec_id").alias("other"), "label", F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("v").alias("w"))
-    p = rel.radius_join(a, b, ["label"], 0.3).where("vec_id > other")
-    return p.groupBy("label", F.floor(F.col("d") / 0.05).alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg(F.pow(F.col("v") - F.col("w"), 2)) / 2, 6).alias("gamma"))
+    """Pairs within a lag limit, of one class of one batch of a thousand positions: a batch bounds the pairs of a position."""
+    e = table(spark, d, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 1000).alias("batch"), "label", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate("xyv")])
+    a = e.select("vec_id", "batch", "label", F.col("x").alias("tx"), F.col("y").alias("ty"), "v")
+    b = e.select(F.col("vec_id").alias("other"), "batch", "label", F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("v").alias("w"))
+    p = rel.radius_join(a, b, ["batch", "label"], 0.3).where("vec_id > other")
+    return p.groupBy("batch", "label", F.floor(F.col("d") / 0.05).alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg(F.pow(F.col("v") - F.col("w"), 2)) / 2, 6).alias("gamma"))

@@ -82,11 +82,12 @@ def distances(spark, d):
     return one.select(F.col("a.k").alias("a"), F.col("b.k").alias("b"), F.round(F.abs(F.col("a.m") - F.col("b.m")), 4).alias("d"))
 
 
-@query("j08_parameter_grid", "SELECT s AS n_ss, f AS bin, b AS batch, row_number() OVER (ORDER BY s, f, b) - 1 AS set_no FROM (SELECT unnest(range(4)) AS s), (SELECT unnest(range(5)) AS f), (SELECT unnest(range(6)) AS b)")
+@query("j08_parameter_grid", """SELECT batch, n_ss, bin, row_number() OVER (ORDER BY batch, n_ss, bin) - 1 AS set_no
+ FROM (SELECT DISTINCT p_partkey // 200 AS batch FROM part), (SELECT unnest([1, 2, 4, 8]) AS n_ss), (SELECT unnest([3, 5, 7, 9, 11]) AS bin)""")
 def grid(spark, d):
-    g = spark.range(120).withColumnRenamed("id", "set_no")
-    k = F.col("set_no")
-    return g.select(F.floor(k / 30).alias("n_ss"), (F.floor(k / 6) % 5).alias("bin"), (k % 6).alias("batch"), "set_no")
+    """Every batch of positions with each subsampling and frequency bin, numbered in order."""
+    batches = table(spark, d, "part").select(F.floor(F.col("p_partkey") / 200).alias("batch"))
+    return rel.parameter_grid(batches, "batch", n_ss=[1, 2, 4, 8], bin=[3, 5, 7, 9, 11])
 
 
 @query("j13_lookup_with_default", "WITH t AS (SELECT l_linenumber AS lag, max(l_tax) AS v FROM lineitem WHERE l_linenumber <= 4 GROUP BY 1) SELECT l_orderkey, l_linenumber, coalesce(v, (SELECT max(v) FROM t)) AS v FROM lineitem LEFT JOIN t ON lag = l_linenumber")
@@ -233,10 +234,13 @@ def top1(spark, d):
     return table(spark, d, "customer").groupBy("c_nationkey").agg(F.min_by("c_custkey", F.struct(F.abs(F.col("c_acctbal") - 1000), F.col("c_custkey"))).alias("c_custkey"))
 
 
-@query("o07_uniform_cells", "SELECT x, y FROM (SELECT x, y FROM (SELECT unnest(range(50)) AS x), (SELECT unnest(range(40)) AS y) ORDER BY ((x * 40 + y) * 1103515245 + 11) % 2147483648 LIMIT 100)")
+@query("o07_uniform_cells", """SELECT batch, x, y FROM (SELECT p_partkey // 2000 AS batch, p_partkey % 50 AS x, p_partkey // 50 % 40 AS y,
+ row_number() OVER (PARTITION BY p_partkey // 2000 ORDER BY (p_partkey * 1103515245 + 11) % 2147483648, p_partkey) AS r FROM part) WHERE r <= 100""")
 def uniform_cells(spark, d):
-    g = spark.range(2000).withColumns({"x": F.floor(F.col("id") / 40), "y": F.col("id") % 40})
-    return g.orderBy(rel.portable_hash("id", 11)).limit(100).select("x", "y")
+    """A hundred cells of each batch without replacement; a smaller batch gives all it has."""
+    k = F.col("p_partkey")
+    cells = table(spark, d, "part").select(k, F.floor(k / 2000).alias("batch"), (k % 50).alias("x"), (F.floor(k / 50) % 40).alias("y"))
+    return rel.rank_within(cells, ["batch"], [rel.portable_hash("p_partkey", 11), k], 100).select("batch", "x", "y")
 
 
 @query("u01_concat", "SELECT 'c' AS kind, c_custkey AS k, c_acctbal AS v FROM customer UNION ALL SELECT 's', s_suppkey, s_acctbal FROM supplier")
