@@ -12,6 +12,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -89,31 +90,27 @@ def encode(docs: DataFrame, frequent: dict[bytes, int], own: list[bytes], totals
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, own, log_total = shared.value
         number = {w: i for i, w in enumerate(own)}
-        # class, base, within its class, known
-        classes: dict[bytes, tuple[int, float, float, int]] = {}
-        for w, c in frequent.items():
-            k, known = number.get(w, -1), float(np.log10(c + 1))
-            classes[w] = (k, known, 0.0, 1) if k >= 0 else (tail_class(w), known, known - log_total[tail_class(w) - OWN], int(c > 0))
+        place = {w: i for i, w in enumerate(frequent)}
+        # class, base, within its class, known; the last entry stands for words that are not frequent
+        kind_of, base_of = np.zeros(len(place) + 1, np.uint16), np.zeros(len(place) + 1)
+        within_of, known_of = np.zeros(len(place) + 1), np.zeros(len(place) + 1, np.int64)
+        for i, (w, c) in enumerate(frequent.items()):
+            k, base_of[i], known_of[i] = number.get(w, -1), np.log10(c + 1), c > 0
+            kind_of[i] = k if k >= 0 else tail_class(w)
+            if k < 0:
+                within_of[i] = base_of[i] - log_total[kind_of[i] - OWN]
         for batch in batches:
             texts = batch.column(3)
             out: list[list] = [[] for _ in range(7)]
             for i in range(batch.num_rows):
                 words = (texts[i].as_py() or "").encode().lower().split()
-                kinds, base, within, known, rare = np.empty(len(words) + 1, np.uint16), 0.0, 0.0, 0, []
-                for t, w in enumerate(words):
-                    found = classes.get(w)
-                    if found is None:
-                        k = tail_class(w)
-                        kinds[t] = k
-                        within -= log_total[k - OWN]
-                        rare.append(w)
-                    else:
-                        kinds[t] = found[0]
-                        base += found[1]
-                        within += found[2]
-                        known += found[3]
-                kinds[-1], rare = END, Counter(rare)
-                for column, x in zip(out, (len(words) + 1, known, base, within, kinds.tobytes(), list(rare), list(rare.values()))):
+                at = np.fromiter(map(place.get, words, repeat(-1)), np.int32, len(words))
+                kinds, within, rare = np.append(kind_of[at], np.uint16(END)), float(within_of[at].sum()), Counter()
+                for t in np.nonzero(at < 0)[0].tolist():
+                    k = kinds[t] = tail_class(words[t])
+                    within -= log_total[k - OWN]
+                    rare[words[t]] += 1
+                for column, x in zip(out, (len(words) + 1, int(known_of[at].sum()), float(base_of[at].sum()), within, kinds.tobytes(), list(rare), list(rare.values()))):
                     column.append(x)
             types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())
             words_, times = pa.array(out[5], pa.list_(pa.binary())).cast(pa.list_(pa.string())), pa.array(out[6], pa.list_(pa.int32()))
