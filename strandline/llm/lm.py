@@ -30,7 +30,9 @@ STATES, ROUNDS, GAIN = 6, 4, 1e-3
 #: Tokens of a block of training. A block's products of transitions give the state at its borders, so no move is lost there.
 SEGMENT = 1024
 #: Tokens that a step of a task holds, and words that a task counts before it passes them on.
-STEP, FLUSH = 200_000, 300_000
+STEP, FLUSH = 400_000, 300_000
+#: Steps of the forward recursion whose emissions are looked up together.
+WINDOW = 256
 END = OWN + TAILS
 CLASSES = END + 1
 
@@ -147,34 +149,41 @@ class Model:
 
         At step t only the sequences longer than t are left, so none is padded.
         """
-        n, longest = len(lengths), int(lengths[0]) if len(lengths) else 0
-        live = n - np.searchsorted(lengths[::-1], np.arange(longest), side="right")
-        total = np.zeros(n)
+        live, at, place = _by_step(lengths)
+        if not len(live):
+            return np.zeros(len(lengths))
+        kinds, emit, move = _moved(rows, place), np.ascontiguousarray(self.emit.T), self.move.T
+        scales = np.empty(len(rows))
         alpha = None
-        for t in range(longest):
-            m = live[t]
-            seen = self.emit[rows[starts[:m] + t]]
-            alpha = (alpha[:m] @ self.move if t else self.start) * seen
-            scale = alpha.sum(axis=1)
-            alpha = alpha / scale[:, None]
-            total[:m] += np.log10(scale)
-        return total
+        for begin in range(0, len(live), WINDOW):
+            end = min(begin + WINDOW, len(live))
+            seen = emit.take(kinds[at[begin] : at[end]], axis=1)
+            for t in range(begin, end):
+                m, i = live[t], at[t] - at[begin]
+                alpha = (move @ alpha[:, :m] if t else self.start[:, None]) * seen[:, i : i + m]
+                scale = scales[at[t] : at[t + 1]]
+                np.add.reduce(alpha, axis=0, out=scale)
+                alpha /= scale
+        return np.add.reduceat(np.log10(scales)[place], starts)
 
     def products(self, rows: np.ndarray, starts: np.ndarray, lengths: np.ndarray, first: np.ndarray) -> np.ndarray:
         """[block, state, state]: the product of move and emission over each block's tokens, up to a factor.
 
         The ``first`` block of a text has no move into its first token. ``lengths`` fall.
         """
-        n, longest = len(lengths), int(lengths[0]) if len(lengths) else 0
-        live = np.append(n - np.searchsorted(lengths[::-1], np.arange(longest), side="right"), 0)
-        out, p = np.empty((n, STATES, STATES)), np.where(first[:, None, None], np.eye(STATES), self.move)
-        for t in range(longest):
+        live, at, place = _by_step(lengths)
+        seen = np.ascontiguousarray(self.emit.T).take(_moved(rows, place), axis=1)
+        live, out = np.append(live, 0), np.empty((len(lengths), STATES, STATES))
+        # [to, from, block], so that every operation runs along the blocks
+        p = np.where(first, np.eye(STATES)[:, :, None], self.move.T[:, :, None])
+        for t in range(len(live) - 1):
             m = live[t]
             if t:
-                p = (p[:m].reshape(-1, STATES) @ self.move).reshape(-1, STATES, STATES)
-            p = p * self.emit[rows[starts[:m] + t]][:, None, :]
-            p /= p.sum(axis=(1, 2), keepdims=True)
-            out[live[t + 1] : m] = p[live[t + 1] :]
+                p = (self.move.T @ p[:, :, :m].reshape(STATES, -1)).reshape(STATES, STATES, m)
+            p = p * seen[:, None, at[t] : at[t + 1]]
+            p /= np.add.reduce(p, axis=(0, 1))
+            if live[t + 1] < m:
+                out[live[t + 1] : m] = p[:, :, live[t + 1] :].transpose(2, 1, 0)
         return out
 
     def borders(self, products: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -199,42 +208,53 @@ class Model:
 
         Sequences are whole texts, or blocks with the states at their borders.
         """
-        n, longest = len(lengths), int(lengths[0]) if len(lengths) else 0
+        n = len(lengths)
         first = np.ones(n, bool) if first is None else first
         before = np.tile(self.start, (n, 1)) if before is None else before
         after = np.ones((n, STATES)) if after is None else after
-        live = n - np.searchsorted(lengths[::-1], np.arange(longest), side="right")
-        total, alphas, scales = 0.0, [], []
-        alpha = np.where(first[:, None], before, before @ self.move)
-        for t in range(longest):
-            m = live[t]
-            alpha = (alpha[:m] @ self.move if t else alpha) * self.emit[rows[starts[:m] + t]]
-            scale = alpha.sum(axis=1)
-            alpha = alpha / scale[:, None]
-            total += np.log10(scale).sum()
-            alphas.append(alpha)
-            scales.append(scale)
-        start, move = np.zeros(STATES), np.zeros((STATES, STATES))
-        shares, places = [], []
-        beta = None
-        for t in range(longest - 1, -1, -1):
-            now = after[: live[t]].copy()
-            if t + 1 < longest:
-                k = live[t + 1]
-                ahead = self.emit[rows[starts[:k] + t + 1]] * beta / scales[t + 1][:, None]
-                move += alphas[t][:k].T @ ahead
-                now[:k] = ahead @ self.move.T
-            beta = now
-            shares.append(alphas[t] * beta)
-            places.append(rows[starts[: live[t]] + t])
-        if shares:
-            start += shares[-1][first].sum(axis=0)
-            inner = ~first
-            move += before[inner].T @ (self.emit[rows[starts[inner]]] * beta[inner] / scales[0][inner][:, None])
-        move *= self.move
-        share, place = np.concatenate([*shares, np.zeros((0, STATES))]), np.concatenate([*places, np.zeros(0, np.int64)]).astype(np.int64)
-        emit = np.stack([np.bincount(place, share[:, s], minlength=CLASSES) for s in range(STATES)], axis=1)
-        return start, move, emit, total
+        if not n:
+            return np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((CLASSES, STATES)), 0.0
+        live, at, place = _by_step(lengths)
+        kinds = _moved(rows, place)
+        seen = np.ascontiguousarray(self.emit.T).take(kinds, axis=1)
+        alphas, scales = np.empty_like(seen), np.empty(len(rows))
+        alpha = np.where(first[:, None], before, before @ self.move).T
+        for t, m in enumerate(live):
+            here = slice(at[t], at[t + 1])
+            alpha = (self.move.T @ alpha[:, :m] if t else alpha) * seen[:, here]
+            np.add.reduce(alpha, axis=0, out=scales[here])
+            alpha /= scales[here]
+            alphas[:, here] = alpha
+        seen /= scales
+        betas = np.empty_like(seen)
+        betas[:, at[lengths - 1] + np.arange(n)] = after.T
+        for t in range(len(live) - 1, 0, -1):
+            here = slice(at[t], at[t + 1])
+            betas[:, at[t - 1] : at[t - 1] + live[t]] = self.move @ (seen[:, here] * betas[:, here])
+        seen *= betas
+        past = np.arange(n, len(rows)) - np.repeat(live[:-1], live[1:])
+        inner = ~first
+        move = self.move * (alphas[:, past] @ seen[:, n:].T + before[inner].T @ seen[:, :n][:, inner].T)
+        betas *= alphas
+        start = betas[:, :n][:, first].sum(axis=1)
+        emit = np.stack([np.bincount(kinds, share, minlength=CLASSES) for share in betas], axis=1)
+        return start, move, emit, float(np.log10(scales).sum())
+
+
+def _by_step(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sequences of falling ``lengths``, token by token: how many are left at each step, where each step begins, and each token's place."""
+    longest = int(lengths[0]) if len(lengths) else 0
+    live = len(lengths) - np.searchsorted(lengths[::-1], np.arange(longest), side="right")
+    at = np.concatenate([[0], np.cumsum(live)])
+    ends = np.cumsum(lengths)
+    step = np.arange(at[-1]) - np.repeat(ends - lengths, lengths)
+    return live, at, at[step] + np.repeat(np.arange(len(lengths)), lengths)
+
+
+def _moved(rows: np.ndarray, place: np.ndarray) -> np.ndarray:
+    out = np.empty_like(rows)
+    out[place] = rows
+    return out
 
 
 def _stepped(column: pa.Array, doc: np.ndarray, start: np.ndarray, length: np.ndarray, chosen: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
