@@ -204,6 +204,42 @@ def fourier(df: DataFrame, key: str, pairs: list[str], inverse: bool = False) ->
     return second.select(key, "size", (F.col("k1") + F.col("size") * F.col("nth")).alias("i"), *pairs)
 
 
+def analytic(df: DataFrame, key: str, v: str) -> DataFrame:
+    """(key, i, re, im): the samples and their Hilbert transform over the whole series.
+
+    A circular convolution with the transform's closed kernel: row i carries its sample and the
+    kernel at i and at i - n, so rows stay linear in n and no group holds more than ``fourier``'s.
+    """
+    n = df.groupBy(key).agg(F.count("*").alias("n"))
+    size = F.pow(F.lit(2), F.ceil(F.log2(2.0 * F.col("n")) / 2)).cast("long")
+    met = df.select(key, "i", F.col(v).cast("double").alias("v")).join(n.select(key, "n", size.alias("size")), key)
+    odd, turn = F.col("i") % 2 == 1, F.lit(np.pi) * F.col("i") / F.col("n")
+    even_series = F.when(odd, 2 * F.cot(turn)).otherwise(0.0)
+    odd_series = F.when(odd, F.cot(turn / 2)).otherwise(-F.tan(turn / 2))
+    h = F.when(F.col("i") == 0, 0.0).otherwise(F.when(F.col("n") % 2 == 0, even_series).otherwise(odd_series) / F.col("n"))
+    zero = F.lit(0.0)
+    own = F.struct(F.col("i").cast("long").alias("i"), F.col("v").alias("ar"), zero.alias("ai"), (F.col("i") == 0).cast("double").alias("br"), h.alias("bi"))
+    around = F.struct((F.col("size") * F.col("size") + F.col("i") - F.col("n")).cast("long").alias("i"), zero.alias("ar"), zero.alias("ai"), zero.alias("br"), h.alias("bi"))
+    wide = met.select(key, "size", F.explode(F.when(F.col("i") == 0, F.array(own)).otherwise(F.array(own, around))).alias("r")).select(key, "size", "r.*")
+    s = fourier(wide, key, ["ar", "ai", "br", "bi"])
+    product = s.select(key, "size", "i", (F.col("ar") * F.col("br") - F.col("ai") * F.col("bi")).alias("re"), (F.col("ar") * F.col("bi") + F.col("ai") * F.col("br")).alias("im"))
+    return fourier(product, key, ["re", "im"], inverse=True).join(n, key).where("i < n").select(key, "i", "re", "im")
+
+
+def envelope(df: DataFrame, key: str, v: str) -> DataFrame:
+    """(key, i, v): the modulus of the analytic signal."""
+    return analytic(df, key, v).select(key, "i", F.hypot("re", "im").alias("v"))
+
+
+def band_envelope(df: DataFrame, key: str, v: str, cutoff: float, width: int) -> DataFrame:
+    """(key, i, v): less its mean, through a zero-phase low-pass, its envelope, the mean of ``width`` (odd) places around each, places outside being zero."""
+    ends = df.groupBy(key).agg(F.count("*").alias("n"), F.avg(v).alias("mean"))
+    low = zero_phase(df.join(ends, key).select(key, "i", (F.col(v) - F.col("mean")).alias("v")), key, "v", cutoff)
+    half = F.lit(width // 2)
+    there = F.least(F.col("i"), half) + F.least(F.col("n") - 1 - F.col("i"), half) + 1
+    return smoothed(envelope(low, key, "v"), key, "v", np.ones(width)).join(ends.select(key, "n"), key).select(key, "i", (F.col("v") * there / width).alias("v"))
+
+
 def correlation(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
     """(key, lag, c): the sum of a[i + lag] * b[i] at every lag, by spectra of the padded series; n log n work and rows linear in n."""
     n = df.groupBy(key).agg(F.count("*").alias("n"))

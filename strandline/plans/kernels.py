@@ -1,7 +1,6 @@
 """Queries whose groups go through NumPy kernels: one block, trace or batch a group.
 
-A block, trace or batch has a bounded size. The envelopes of ``SERIES`` take the whole series of a
-user, which must fit the memory of a task.
+A block, trace or batch has a bounded size.
 
 Results are rows without an SQL twin; tests hold the kernels against closed forms.
 """
@@ -24,34 +23,18 @@ def gaussian(h):
     return 1 - np.exp(-((h / REACH) ** 2))
 
 
-def per_series(spark, d, f, column: str) -> DataFrame:
-    """(user_id, i, column): ``f`` of the samples of every series in order."""
-
-    def group(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("i")
-        return pd.DataFrame({"user_id": rows["user_id"], "i": rows["i"], column: np.round(f(rows["v"].to_numpy(float)), 6)})
-
-    return series(spark, d).select("user_id", "i", "v").groupBy("user_id").applyInPandas(group, f"user_id long, i long, {column} double")
-
-
 def per_trace(spark, d, f, result: str) -> DataFrame:
     """``f`` of each embedding as a trace, in Arrow batches and without a shuffle; f gives an array of doubles."""
     make = F.pandas_udf(lambda column: column.map(lambda v: np.round(f(np.asarray(v, float)), 6)), "array<double>")
     return table(spark, d, "embeddings").select("vec_id", make("embedding").alias(result))
 
 
-SERIES = {
-    "k02_envelope": (lambda v: np.abs(k.analytic(v)), "envelope"),
-    "k48_band_envelope_mean": (lambda v: np.convolve(np.abs(k.analytic(k.zero_phase(v - v.mean(), 0.2))), np.ones(5) / 5, "same"), "smooth"),
-}
 TRACES = {
     "k05_wavelet_packet": (lambda v: k.haar_packet(v, 3), "energy"),
     "k10_fourier_resample": (lambda v: k.fourier_resample(v, 32), "samples"),
     "k21_spectral_lowpass": (lambda v: k.spectral_lowpass(v, 9), "samples"),
     "k22_phase_rotation": (lambda v: k.rotate_phase(v, np.pi / 4), "samples"),
 }
-for name, (f, column) in SERIES.items():
-    query(name)(lambda spark, d, f=f, column=column: per_series(spark, d, f, column))
 for name, (f, column) in TRACES.items():
     query(name)(lambda spark, d, f=f, column=column: per_trace(spark, d, f, column))
 
@@ -62,6 +45,18 @@ def zero_phase(spark, d):
     return blocks.zero_phase(series(spark, d), "user_id", "v", 0.1).select("user_id", "i", F.round("v", 6).alias("smooth"))
 
 
+@query("k02_envelope")
+def envelope(spark, d):
+    """The modulus of every user's analytic signal, by transforms in blocks."""
+    return blocks.envelope(series(spark, d), "user_id", "v").select("user_id", "i", F.round("v", 6).alias("envelope"))
+
+
+@query("k48_band_envelope_mean")
+def band_envelope_mean(spark, d):
+    """One channel's chain: mean taken away, low-pass, envelope, mean of five samples."""
+    return blocks.band_envelope(series(spark, d), "user_id", "v", 0.2, 5).select("user_id", "i", F.round("v", 6).alias("smooth"))
+
+
 @query("w10_gaussian_smooth", f"""WITH {S}, g AS (SELECT unnest(range(-15, 16)) AS m)
  SELECT a.user_id, a.i, round(sum(exp(-0.5 * (m / 5.0) * (m / 5.0)) * b.v) / sum(exp(-0.5 * (m / 5.0) * (m / 5.0))), 6) AS smooth FROM s a, g JOIN s b ON b.user_id = a.user_id AND b.i = a.i + m GROUP BY a.user_id, a.i""")
 def gaussian_smooth(spark, d):

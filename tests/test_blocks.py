@@ -70,3 +70,25 @@ def test_best_lag_takes_the_first_of_equal_peaks(spark):
     got = bl.best_lag(df, "k", "v", "w", F.lit(-20), F.lit(20)).first()
     c = {lag: sum(1 for i in range(64) if i % 4 == 1 and 0 <= i + lag < 64 and (i + lag) % 4 == 0) for lag in range(-20, 21)}
     assert (got["lag"], got["c"]) == (min(x for x in c if c[x] == max(c.values())), max(c.values()))
+
+
+def test_analytic_signal_equals_one_run(spark, series):
+    """Even and odd lengths, one sample included; rows through the transform stay linear in the series."""
+    found = bl.analytic(frame(spark, series), "k", "v").collect()
+    assert len(found) == sum(map(len, series.values()))
+    got = {(r["k"], r["i"]): complex(r["re"], r["im"]) for r in found}
+    for n, v in series.items():
+        assert np.allclose([got[n, i] for i in range(n)], k.analytic(v), atol=1e-8), n
+
+
+def test_band_envelope_equals_one_run(spark, series):
+    got = collected(bl.band_envelope(frame(spark, series), "k", "v", 0.2, 5), series)
+    for n, v in series.items():
+        whole = np.abs(k.analytic(k.zero_phase(v - v.mean(), 0.2)))
+        want = np.convolve(np.pad(whole, 2), np.ones(5) / 5, "valid")
+        assert np.allclose(got[n], want, atol=1e-8), n
+
+
+def test_envelope_of_no_rows(spark):
+    none = spark.createDataFrame([], "k long, i long, v double")
+    assert bl.envelope(none, "k", "v").count() == 0
