@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from strandline.operators import relational as rel
+from strandline.operators import relational as rel, variogram
 from strandline.plans.registry import T, V, cells, query, table, traces
 
 
@@ -187,13 +187,11 @@ def saft(spark, d):
     return t.withColumn("z", tau).join(a.select("vec_id", "z", "v"), ["vec_id", "z"]).groupBy("gx", "gz").agg(F.round(F.sum("v"), 6).alias("v"))
 
 
-@query("j04_pair_lag_variogram", f"""WITH e AS (SELECT vec_id, vec_id // 1000 AS batch, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS v FROM embeddings),
- p AS (SELECT a.batch, a.label, floor(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) / 0.05)::BIGINT AS bin, pow(a.v - b.v, 2) AS q, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d FROM e a JOIN e b ON a.batch = b.batch AND a.label = b.label AND a.vec_id > b.vec_id)
- SELECT batch, label, bin, count(*) AS n, round(avg(q) / 2, 6) AS gamma FROM p WHERE d <= 0.3 GROUP BY batch, label, bin""")
+@query("j04_pair_lag_variogram", f"""WITH e AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS v FROM embeddings),
+ p AS (SELECT a.label, floor(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) / 0.05)::BIGINT AS bin, pow(a.v - b.v, 2) AS q, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d FROM e a JOIN e b ON a.label = b.label AND a.vec_id > b.vec_id)
+ SELECT label, bin, count(*) AS n, round(avg(q) / 2, 6) AS gamma FROM p WHERE d <= 0.3 GROUP BY label, bin""")
 def pair_variogram(spark, d):
-    """Pairs within a lag limit, of one class of one batch of a thousand positions: a batch bounds the pairs of a position."""
-    e = table(spark, d, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 1000).alias("batch"), "label", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate("xyv")])
-    a = e.select("vec_id", "batch", "label", F.col("x").alias("tx"), F.col("y").alias("ty"), "v")
-    b = e.select(F.col("vec_id").alias("other"), "batch", "label", F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("v").alias("w"))
-    p = rel.radius_join(a, b, ["batch", "label"], 0.3).where("vec_id > other")
-    return p.groupBy("batch", "label", F.floor(F.col("d") / 0.05).alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg(F.pow(F.col("v") - F.col("w"), 2)) / 2, 6).alias("gamma"))
+    """All pairs of one class within a lag limit, compared block by block and never as rows."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", *[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate("xyv")])
+    p = variogram.pair_lags(e, "label", 0.3, 0.05)
+    return p.select("label", "bin", "n", F.round(F.col("total") / F.col("held") / 2, 6).alias("gamma"))

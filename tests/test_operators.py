@@ -1,3 +1,4 @@
+import math
 import wave
 
 import numpy as np
@@ -125,3 +126,32 @@ def test_intervals_that_begin_on_a_sample_equal_the_statement(spark, tmp_path):
     con.execute(f"COPY e TO '{tmp_path}/events.parquet' (FORMAT parquet)")
     for name in ("j11_interval_extract", "w05_hopping_starts", "j02_point_in_patch", "f08_completeness_gap"):
         assert of_spark(registry.queries()[name](spark, str(tmp_path))) == of_duckdb(connect(str(tmp_path)), registry.oracle_sql()[name]), name
+
+
+def test_pair_lags_equal_a_plain_loop(spark, monkeypatch):
+    """All pairs of a key, across blocks, cells and far ids; a missing value counts as a pair, one that is no number stays so."""
+    from strandline.operators import variogram
+
+    monkeypatch.setattr(variogram, "BLOCK", 7)
+    rng = np.random.default_rng(9)
+    rows = [(k, 999 * i, float(x), float(y), None if i % 11 == 0 else float(v)) for k in (1, 2) for i, (x, y, v) in enumerate(rng.normal(size=(60, 3)) * 0.4)]
+    rows += [(3, 1, 0.0, 0.0, float("nan")), (3, 2, 0.01, 0.0, 1.0), (3, 2, 0.3, 0.0, 2.0), (None, 3, 0.0, 0.0, 1.0), (3, 4, None, 0.0, 1.0), (3, 5, float("nan"), 0.0, 1.0)]
+    got = {(r["k"], r["bin"]): (r["n"], r["held"], r["total"]) for r in variogram.pair_lags(spark.createDataFrame(rows, "k int, id long, x double, y double, v double"), "k", 0.3, 0.05).collect()}
+    want = {}
+    for i, a in enumerate(rows):
+        for b in rows[:i]:
+            if a[0] is not None and a[0] == b[0] and a[1] != b[1] and None not in (a[2], b[2]) and (d := math.hypot(a[2] - b[2], a[3] - b[3])) <= 0.3:
+                n, held, total = want.get((a[0], int(d / 0.05)), (0, 0, 0.0))
+                both = None not in (a[4], b[4])
+                want[a[0], int(d / 0.05)] = n + 1, held + both, total + ((a[4] - b[4]) ** 2 if both else 0)
+    assert got.keys() == want.keys()
+    for k, (n, held, total) in want.items():
+        assert got[k][:2] == (n, held or None) and got[k][2] == pytest.approx(total, nan_ok=True)
+
+
+def test_pairs_of_far_ids_count(spark, tmp_path):
+    """Ids a thousand and more apart pair, too."""
+    from strandline.plans import registry
+
+    spark.createDataFrame([(0, [0.0, 0.0, 1.0], 1), (5000, [0.01, 0.0, 3.0], 1)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert [(r["n"], r["gamma"]) for r in registry.queries()["j04_pair_lag_variogram"](spark, str(tmp_path)).collect()] == [(1, 2.0)]
