@@ -179,12 +179,12 @@ def energy_split(spark, d):
 @query("k24_saft_backproject", f"""WITH {T}, a AS (SELECT vec_id, vec_id % 40 AS sx, z, v FROM tr), g AS (SELECT gx, gz FROM (SELECT unnest(range(0, 40, 4)) AS gx), (SELECT unnest(range(1, 20, 2)) AS gz)),
  t AS (SELECT gx, gz, vec_id, floor(2 * sqrt((gx - sx) * (gx - sx) * 0.25 + gz * gz) + 0.5) AS tau FROM g, (SELECT DISTINCT vec_id, sx FROM a)) SELECT gx, gz, round(sum(v), 6) AS v FROM t JOIN a ON a.vec_id = t.vec_id AND a.z = t.tau GROUP BY gx, gz""")
 def saft(spark, d):
-    """Delay and sum: the travel time from a scan to a pixel picks one sample of the scan's trace, by equal keys."""
-    a = traces(spark, d).select((F.col("vec_id") % 40).alias("sx"), "vec_id", "z", "v")
+    """Delay and sum: the travel time from a place to a pixel picks one sample. Traces of one of the 40 places add up first, so few rows meet."""
+    a = traces(spark, d).groupBy((F.col("vec_id") % 40).alias("sx"), "z").agg(F.sum("v").alias("v"))
     pixels = F.array(*[F.struct(F.lit(x).cast("long").alias("gx"), F.lit(z).cast("long").alias("gz")) for x in range(0, 40, 4) for z in range(1, 20, 2)])
-    t = a.select("vec_id", "sx").distinct().withColumn("p", F.explode(pixels)).select("vec_id", "sx", "p.*")
+    t = a.select("sx").distinct().withColumn("p", F.explode(pixels)).select("sx", "p.*")
     tau = F.floor(2 * F.sqrt(F.pow(F.col("gx") - F.col("sx"), 2) * 0.25 + F.col("gz") * F.col("gz")) + 0.5).cast("int")
-    return t.withColumn("z", tau).join(a.select("vec_id", "z", "v"), ["vec_id", "z"]).groupBy("gx", "gz").agg(F.round(F.sum("v"), 6).alias("v"))
+    return t.withColumn("z", tau).join(a, ["sx", "z"]).groupBy("gx", "gz").agg(F.round(F.sum("v"), 6).alias("v"))
 
 
 @query("j04_pair_lag_variogram", f"""WITH e AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS v FROM embeddings),

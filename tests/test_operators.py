@@ -155,3 +155,13 @@ def test_pairs_of_far_ids_count(spark, tmp_path):
 
     spark.createDataFrame([(0, [0.0, 0.0, 1.0], 1), (5000, [0.01, 0.0, 3.0], 1)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert [(r["n"], r["gamma"]) for r in registry.queries()["j04_pair_lag_variogram"](spark, str(tmp_path)).collect()] == [(1, 2.0)]
+
+
+def test_delay_and_sum_has_no_rows_for_each_scan(spark):
+    """Traces of one place add up before they meet the pixels: what is joined doesn't grow with the scans."""
+    from strandline.plans import registry
+    from tests.oracle import DATA
+
+    plan = registry.queries()["k24_saft_backproject"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Join") :]
+    assert "vec_id" not in below.split("Aggregate")[0] and below.count("Aggregate") >= 2
