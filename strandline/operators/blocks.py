@@ -125,15 +125,19 @@ def zero_phase(df: DataFrame, key: str, v: str, cutoff: float, order: int = 5, b
     steps, cascade, pad = Steps(df.sparkSession, "filter"), Cascade(lowpass_coefficients(cutoff, order)), 3 * (order + 1)
     ends = df.groupBy(key).agg(F.count("*").alias("n"), F.min_by(v, "i").alias("head"), F.max_by(v, "i").alias("tail")).withColumn("pad", F.least(F.lit(pad), F.col("n") - 1))
     met = df.select(key, "i", F.col(v).cast("double").alias("v")).join(ends, key)
-    before = met.where("i >= 1 and i <= pad").select(key, (F.col("pad") - F.col("i")).alias("i"), (2 * F.col("head") - F.col("v")).alias("v"))
-    behind = met.where("i < n - 1 and i >= n - 1 - pad").select(key, (F.col("pad") + 2 * (F.col("n") - 1) - F.col("i")).alias("i"), (2 * F.col("tail") - F.col("v")).alias("v"))
-    wide = met.select(key, (F.col("pad") + F.col("i")).alias("i"), "v").unionByName(before).unionByName(behind)
+    # each row deals out its own mirror images: a union of three reads may meet a join with partitions of its own number
+    place = lambda i, value: F.struct(i.cast("long").alias("i"), value.cast("double").alias("v"))
+    own = place(F.col("pad") + F.col("i"), F.col("v"))
+    before = F.when((F.col("i") >= 1) & (F.col("i") <= F.col("pad")), place(F.col("pad") - F.col("i"), 2 * F.col("head") - F.col("v")))
+    behind = F.when((F.col("i") < F.col("n") - 1) & (F.col("i") >= F.col("n") - 1 - F.col("pad")), place(F.col("pad") + 2 * (F.col("n") - 1) - F.col("i"), 2 * F.col("tail") - F.col("v")))
+    wide = met.select(key, F.inline(F.array_compact(F.array(own, before, behind))))
     forth = _filtered(in_blocks(wide, key, "v", block).withColumnRenamed("block", "place"), key, cascade, block, steps, "forth")
     last = F.floor((F.col("n") + 2 * F.col("pad") - 1) / block)
     turned = forth.join(ends.select(key, "n", "pad"), key).select(key, (last - F.col("place")).alias("place"), F.reverse("x").alias("x"))
     back = _filtered(turned, key, cascade, block, steps, "back")
-    rows = back.join(ends.select(key, "n", "pad"), key).select(key, "n", "pad", (last - F.col("place")).alias("place"), F.posexplode(F.reverse("x")).alias("nth", "v"))
-    return rows.withColumn("i", F.col("place") * block + F.col("nth") - F.col("pad")).where("n > 1 and i >= 0 and i < n").select(key, "i", "v").unionByName(met.where("n = 1").select(key, "i", "v"))
+    rows = back.join(ends.select(key, "n", "pad", "head"), key).select(key, "n", "pad", "head", (last - F.col("place")).alias("place"), F.posexplode(F.reverse("x")).alias("nth", "v"))
+    found = rows.withColumn("i", F.col("place") * block + F.col("nth") - F.col("pad")).where("i >= 0 and i < n")
+    return found.select(key, "i", F.when(F.col("n") == 1, F.col("head").cast("double")).otherwise(F.col("v")).alias("v"))
 
 
 def smoothed(df: DataFrame, key: str, v: str, kernel: np.ndarray, block: int = BLOCK) -> DataFrame:
@@ -234,7 +238,8 @@ def envelope(df: DataFrame, key: str, v: str) -> DataFrame:
 def band_envelope(df: DataFrame, key: str, v: str, cutoff: float, width: int) -> DataFrame:
     """(key, i, v): less its mean, through a zero-phase low-pass, its envelope, the mean of ``width`` (odd) places around each, places outside being zero."""
     ends = df.groupBy(key).agg(F.count("*").alias("n"), F.avg(v).alias("mean"))
-    low = zero_phase(df.join(ends, key).select(key, "i", (F.col(v) - F.col("mean")).alias("v")), key, "v", cutoff)
+    centred = zero_phase(df.join(ends, key).select(key, "i", (F.col(v) - F.col("mean")).alias("v")), key, "v", cutoff)
+    low = Steps(df.sparkSession, "low").keep(centred, "low")  # read twice
     half = F.lit(width // 2)
     there = F.least(F.col("i"), half) + F.least(F.col("n") - 1 - F.col("i"), half) + 1
     return smoothed(envelope(low, key, "v"), key, "v", np.ones(width)).join(ends.select(key, "n"), key).select(key, "i", (F.col("v") * there / width).alias("v"))

@@ -92,3 +92,14 @@ def test_band_envelope_equals_one_run(spark, series):
 def test_envelope_of_no_rows(spark):
     none = spark.createDataFrame([], "k long, i long, v double")
     assert bl.envelope(none, "k", "v").count() == 0
+
+
+def test_filter_has_no_union_and_the_chain_reads_it_once(spark, series, monkeypatch):
+    """Unions of reads of one table met joins with partitions of another number; an own table between the filter and the envelope cuts the plan."""
+    kept = []
+    keep = bl.Steps.keep
+    monkeypatch.setattr(bl.Steps, "keep", lambda self, df, name: kept.append((name, df)) or keep(self, df, name))
+    low = bl.zero_phase(frame(spark, series), "k", "v", 0.2)
+    bl.band_envelope(frame(spark, series), "k", "v", 0.2, 5)
+    plans = [d._jdf.queryExecution().optimizedPlan().toString() for d in (low, *[d for _, d in kept])]
+    assert "low" in [name for name, _ in kept] and not any("Union" in p for p in plans)
