@@ -17,8 +17,12 @@ _DICTIONARY = """sc AS (SELECT vec_id AS scan, vec_id % 40 + 0.25 * (vec_id % 3)
  hj AS (SELECT scan, defect, amplitude, n, exp(-0.08 * u * u) * cos(0.4 * pi() * u) AS h, by_x * exp(-0.08 * u * u) * (0.16 * u * cos(0.4 * pi() * u) + 0.4 * pi() * sin(0.4 * pi() * u)) AS j FROM mx)"""
 
 
+def position():
+    return (F.col("vec_id") % 40 + 0.25 * (F.col("vec_id") % 3)).cast("double")
+
+
 def scans(spark, d):
-    return table(spark, d, "embeddings").select(F.col("vec_id").alias("scan"), (F.col("vec_id") % 40 + 0.25 * (F.col("vec_id") % 3)).cast("double").alias("x"))
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("scan"), position().alias("x"))
 
 
 def defects(spark, d):
@@ -29,18 +33,23 @@ def defects(spark, d):
 
 @query("k23_dictionary_forward", f"WITH {_DICTIONARY} SELECT scan, n, round(sum(h * amplitude), 5) AS model, round(sum(j * amplitude), 4) AS slope FROM hj GROUP BY scan, n")
 def dictionary_forward(spark, d):
-    """Each scan's modelled trace and its slope by the scan's position."""
-    de = defects(spark, d)
-    f = pl.forward(pl.dictionary(scans(spark, d), de, PULSE, DEEPEST), de.select("defect", "amplitude"))
-    return f.select("scan", F.col("n").cast("long").alias("n"), F.round("model", 5).alias("model"), F.round("slope", 4).alias("slope"))
+    """Each scan's modelled trace and its slope by the scan's position; scans of one position have one model."""
+    de, sc = defects(spark, d), scans(spark, d)
+    # x repeats after 120 scans, so there are 120 positions; they are numbered by x itself
+    at = sc.where("x is not null").select(F.col("x").alias("scan"), "x").distinct()
+    f = pl.forward(pl.dictionary(at, de, PULSE, DEEPEST), de.select("defect", "amplitude")).withColumnRenamed("scan", "x")
+    rows = F.sort_array(F.collect_list(F.struct(F.col("n").cast("long").alias("n"), F.round("model", 5).alias("model"), F.round("slope", 4).alias("slope"))))
+    return sc.join(F.broadcast(f.groupBy("x").agg(rows.alias("r"))), "x").select("scan", F.inline("r"))
 
 
 @query("k23_dictionary_adjoint", f"""WITH {_DICTIONARY}, tr AS (SELECT vec_id AS scan, generate_subscripts(embedding, 1) - 1 AS n, unnest(embedding)::DOUBLE AS v FROM embeddings)
  SELECT defect, round(sum(h * v), 5) AS image FROM hj JOIN tr USING (scan, n) GROUP BY defect""")
 def dictionary_adjoint(spark, d):
-    """The image that all traces make at the defects' places."""
-    traces = table(spark, d, "embeddings").select(F.col("vec_id").alias("scan"), F.posexplode("embedding").alias("n", "v"))
-    return pl.adjoint(pl.dictionary(scans(spark, d), defects(spark, d), PULSE, DEEPEST), traces).select("defect", F.round("image", 5).alias("image"))
+    """The image that all traces make at the defects' places; the product is linear, so traces of one position add up first."""
+    traces = table(spark, d, "embeddings").select(position().alias("scan"), F.posexplode("embedding").alias("n", "v"))
+    sums = traces.where("scan is not null").groupBy("scan", "n").agg(F.sum(F.col("v").cast("double")).alias("v"))
+    at = scans(spark, d).where("x is not null").select(F.col("x").alias("scan"), "x").distinct()
+    return pl.adjoint(pl.dictionary(at, defects(spark, d), PULSE, DEEPEST), sums).select("defect", F.round("image", 5).alias("image"))
 
 
 #: A wavelength is 1 / 0.2 samples of two-way travel, 1.75 cells; tracked positions are off by less than 0.4 of it.

@@ -141,3 +141,14 @@ def test_pulse_search_shuffles_traces_alone(spark):
     found = pl.fitted_pulses(traces, "k", {"phase": (-1.0, 1.0), "bandwidth": (0.01, 0.1), "chirp": (-0.05, 0.05)}, 0.2, rounds=9)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Join" not in plan and "Generate" not in plan
+
+
+def test_dictionary_products_go_by_position(spark):
+    """Scans of one position share its rows: none of the dictionary's joins has the scans' ids."""
+    from strandline.plans import registry
+    from tests.oracle import DATA
+
+    plan = registry.queries()["k23_dictionary_adjoint"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "vec_id" not in plan[: plan.index("Aggregate", plan.index("Join"))]
+    plan = registry.queries()["k23_dictionary_forward"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate")
