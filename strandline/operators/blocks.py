@@ -140,8 +140,8 @@ def zero_phase(df: DataFrame, key: str, v: str, cutoff: float, order: int = 5, b
     return found.select(key, "i", F.when(F.col("n") == 1, F.col("head").cast("double")).otherwise(F.col("v")).alias("v"))
 
 
-def smoothed(df: DataFrame, key: str, v: str, kernel: np.ndarray, block: int = BLOCK) -> DataFrame:
-    """(key, i, v): the mean by an odd ``kernel``, over what of it lies within the series. A block gets its neighbours' samples within reach."""
+def smoothed(df: DataFrame, key: str, v: str, kernel: np.ndarray, block: int = BLOCK, zeros: bool = False) -> DataFrame:
+    """(key, i, v): the mean by an odd ``kernel``, over what of it lies within the series, or with places outside as zeros. A block gets its neighbours' samples within reach."""
     half = len(kernel) // 2
     own = F.floor(F.col("i") / block)
     spread = df.select(key, "i", F.col(v).cast("double").alias("v"), F.explode(F.sequence(F.floor((F.col("i") - half) / block), F.floor((F.col("i") + half) / block))).alias("block"), own.alias("home")).where("block >= 0")
@@ -155,7 +155,7 @@ def smoothed(df: DataFrame, key: str, v: str, kernel: np.ndarray, block: int = B
             there = np.pad(np.ones(rows.shape[1]), half)
             n = rows.shape[1]
             total = sum(kernel[j] * wide[:, j : j + n] for j in range(len(kernel)))
-            mass = sum(kernel[j] * there[j : j + n] for j in range(len(kernel)))
+            mass = kernel.sum() if zeros else sum(kernel[j] * there[j : j + n] for j in range(len(kernel)))
             for p, y in zip(places, total / mass):
                 got[p] = y
         return pd.Series(got)
@@ -194,18 +194,21 @@ def _transformed(df: DataFrame, keys: list[str], place: str, pairs: list[str], t
     return zipped.select(*keys, "size", F.col("nth").cast("long").alias("nth"), *[F.col(f"r.{p}").alias(p) for p in pairs])
 
 
-def fourier(df: DataFrame, key: str, pairs: list[str], inverse: bool = False) -> DataFrame:
-    """The discrete Fourier transform of series of ``size`` squared places: (key, size, i, pairs).
+def fourier(df: DataFrame, key: str, pairs: list[str], inverse: bool = False, carried: tuple[str, ...] = ()) -> DataFrame:
+    """The discrete Fourier transform of series of ``size`` squared places: (key, carried, size, i, pairs).
 
     ``df`` has key, size (a power of two), i and the real and imaginary columns named in ``pairs``, two for each
     signal. Place size * a + b is first transformed over a, turned by b times the new
     index, then over b: two shuffles of the series' rows, groups of ``size`` rows each, and n log n work.
+    ``carried`` names columns that are one value a key and stay with its rows: Spark takes unpacked
+    blocks for a few rows, so a join after a transform would broadcast all samples through the driver.
     """
     sign = 1 if inverse else -1
-    split = df.select(key, "size", (F.floor(F.col("i") / F.col("size"))).alias("a"), (F.col("i") % F.col("size")).alias("b"), *pairs)
-    first = _transformed(split, [key, "b"], "a", pairs, F.col("b"), sign).withColumnRenamed("nth", "k1")
-    second = _transformed(first, [key, "k1"], "b", pairs, None, sign)
-    return second.select(key, "size", (F.col("k1") + F.col("size") * F.col("nth")).alias("i"), *pairs)
+    keys = [key, *carried]
+    split = df.select(*keys, "size", (F.floor(F.col("i") / F.col("size"))).alias("a"), (F.col("i") % F.col("size")).alias("b"), *pairs)
+    first = _transformed(split, [*keys, "b"], "a", pairs, F.col("b"), sign).withColumnRenamed("nth", "k1")
+    second = _transformed(first, [*keys, "k1"], "b", pairs, None, sign)
+    return second.select(*keys, "size", (F.col("k1") + F.col("size") * F.col("nth")).alias("i"), *pairs)
 
 
 def analytic(df: DataFrame, key: str, v: str) -> DataFrame:
@@ -224,10 +227,10 @@ def analytic(df: DataFrame, key: str, v: str) -> DataFrame:
     zero = F.lit(0.0)
     own = F.struct(F.col("i").cast("long").alias("i"), F.col("v").alias("ar"), zero.alias("ai"), (F.col("i") == 0).cast("double").alias("br"), h.alias("bi"))
     around = F.struct((F.col("size") * F.col("size") + F.col("i") - F.col("n")).cast("long").alias("i"), zero.alias("ar"), zero.alias("ai"), zero.alias("br"), h.alias("bi"))
-    wide = met.select(key, "size", F.explode(F.when(F.col("i") == 0, F.array(own)).otherwise(F.array(own, around))).alias("r")).select(key, "size", "r.*")
-    s = fourier(wide, key, ["ar", "ai", "br", "bi"])
-    product = s.select(key, "size", "i", (F.col("ar") * F.col("br") - F.col("ai") * F.col("bi")).alias("re"), (F.col("ar") * F.col("bi") + F.col("ai") * F.col("br")).alias("im"))
-    return fourier(product, key, ["re", "im"], inverse=True).join(n, key).where("i < n").select(key, "i", "re", "im")
+    wide = met.select(key, "n", "size", F.explode(F.when(F.col("i") == 0, F.array(own)).otherwise(F.array(own, around))).alias("r")).select(key, "n", "size", "r.*")
+    s = fourier(wide, key, ["ar", "ai", "br", "bi"], carried=("n",))
+    product = s.select(key, "n", "size", "i", (F.col("ar") * F.col("br") - F.col("ai") * F.col("bi")).alias("re"), (F.col("ar") * F.col("bi") + F.col("ai") * F.col("br")).alias("im"))
+    return fourier(product, key, ["re", "im"], inverse=True, carried=("n",)).where("i < n").select(key, "i", "re", "im")
 
 
 def envelope(df: DataFrame, key: str, v: str) -> DataFrame:
@@ -237,25 +240,28 @@ def envelope(df: DataFrame, key: str, v: str) -> DataFrame:
 
 def band_envelope(df: DataFrame, key: str, v: str, cutoff: float, width: int) -> DataFrame:
     """(key, i, v): less its mean, through a zero-phase low-pass, its envelope, the mean of ``width`` (odd) places around each, places outside being zero."""
-    ends = df.groupBy(key).agg(F.count("*").alias("n"), F.avg(v).alias("mean"))
+    ends = df.groupBy(key).agg(F.avg(v).alias("mean"))
     centred = zero_phase(df.join(ends, key).select(key, "i", (F.col(v) - F.col("mean")).alias("v")), key, "v", cutoff)
     low = Steps(df.sparkSession, "low").keep(centred, "low")  # read twice
-    half = F.lit(width // 2)
-    there = F.least(F.col("i"), half) + F.least(F.col("n") - 1 - F.col("i"), half) + 1
-    return smoothed(envelope(low, key, "v"), key, "v", np.ones(width)).join(ends.select(key, "n"), key).select(key, "i", (F.col("v") * there / width).alias("v"))
+    return smoothed(envelope(low, key, "v"), key, "v", np.ones(width), zeros=True)
 
 
-def correlation(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
-    """(key, lag, c): the sum of a[i + lag] * b[i] at every lag, by spectra of the padded series; n log n work and rows linear in n."""
-    n = df.groupBy(key).agg(F.count("*").alias("n"))
+def _correlated(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
+    """(key, n, scale, lag, c): the correlation at every lag, with the length and the product of norms of each series."""
+    own = df.groupBy(key).agg(F.count("*").alias("n"), F.sqrt(F.sum(F.pow(a, F.lit(2))) * F.sum(F.pow(b, F.lit(2)))).alias("scale"))
     size = F.pow(F.lit(2), F.ceil(F.log2(2.0 * F.col("n")) / 2)).cast("long")
-    zero = F.lit(0.0)
-    wide = df.select(key, "i", F.col(a).cast("double").alias("ar"), zero.alias("ai"), F.col(b).cast("double").alias("br"), zero.alias("bi")).join(n.select(key, size.alias("size")), key)
-    s = fourier(wide, key, ["ar", "ai", "br", "bi"])
-    product = s.select(key, "size", "i", (F.col("ar") * F.col("br") + F.col("ai") * F.col("bi")).alias("cr"), (F.col("ai") * F.col("br") - F.col("ar") * F.col("bi")).alias("ci"))
-    back = fourier(product, key, ["cr", "ci"], inverse=True).join(n, key)
+    zero, carried = F.lit(0.0), ("n", "scale")
+    wide = df.select(key, "i", F.col(a).cast("double").alias("ar"), zero.alias("ai"), F.col(b).cast("double").alias("br"), zero.alias("bi")).join(own.withColumn("size", size), key)
+    s = fourier(wide, key, ["ar", "ai", "br", "bi"], carried=carried)
+    product = s.select(key, *carried, "size", "i", (F.col("ar") * F.col("br") + F.col("ai") * F.col("bi")).alias("cr"), (F.col("ai") * F.col("br") - F.col("ar") * F.col("bi")).alias("ci"))
+    back = fourier(product, key, ["cr", "ci"], inverse=True, carried=carried)
     lag = F.when(F.col("i") < F.col("n"), F.col("i")).otherwise(F.col("i") - F.col("size") * F.col("size"))
-    return back.withColumn("lag", lag).where(F.col("lag") > -F.col("n")).select(key, "lag", F.col("cr").alias("c"))
+    return back.withColumn("lag", lag).where(F.col("lag") > -F.col("n")).select(key, *carried, "lag", F.col("cr").alias("c"))
+
+
+def correlation(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
+    """(key, lag, c): the sum of a[i + lag] * b[i] at every lag, by spectra of the padded series; n log n work and rows linear in n."""
+    return _correlated(df, key, a, b).select(key, "lag", "c")
 
 
 def best_lag(df: DataFrame, key: str, a: str, b: str, low: Column, high: Column, digits: int = 4) -> DataFrame:
@@ -265,8 +271,7 @@ def best_lag(df: DataFrame, key: str, a: str, b: str, low: Column, high: Column,
     sample by sample.
     """
     steps = Steps(df.sparkSession, "lags")
-    n = df.groupBy(key).agg(F.count("*").alias("n"), F.sqrt(F.sum(F.pow(a, F.lit(2))) * F.sum(F.pow(b, F.lit(2)))).alias("scale"))
-    c = correlation(df, key, a, b).join(n, key).where((F.col("lag") >= low) & (F.col("lag") <= high))
+    c = _correlated(df, key, a, b).where((F.col("lag") >= low) & (F.col("lag") <= high))
     near = c.withColumn("top", F.max("c").over(Window.partitionBy(key))).where(F.col("c") >= F.col("top") - F.col("scale") * 1e-9 - 10.0**-digits)
     lags = steps.keep(near.select(key, "lag"), "near")
     shifted = df.select(key, "i", F.col(b).alias("__b")).join(lags, key).withColumn("i", F.col("i") + F.col("lag"))

@@ -103,3 +103,12 @@ def test_filter_has_no_union_and_the_chain_reads_it_once(spark, series, monkeypa
     bl.band_envelope(frame(spark, series), "k", "v", 0.2, 5)
     plans = [d._jdf.queryExecution().optimizedPlan().toString() for d in (low, *[d for _, d in kept])]
     assert "low" in [name for name, _ in kept] and not any("Union" in p for p in plans)
+
+
+def test_no_join_meets_samples_unpacked_from_transforms(spark, series, tmp_path):
+    """Spark takes them for a few rows and would broadcast them all. In a plan's text, what comes last stands first."""
+    frame(spark, series).withColumn("w", F.col("v") + 1).write.parquet(str(tmp_path / "s"))
+    df = spark.read.parquet(str(tmp_path / "s"))
+    for found in (bl.envelope(df, "k", "v"), bl.correlation(df, "k", "v", "w"), bl.band_envelope(df, "k", "v", 0.2, 5)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "collect_list" in plan and "Join" not in plan[: plan.index("collect_list")]
