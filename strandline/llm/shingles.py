@@ -29,6 +29,8 @@ COUNTED, LAST = 5000, 100_000
 CELL, ROUNDS = 1024, 4
 #: Words of 64 bits in a broadcast bitmap.
 BITMAP = 1 << 18
+#: Shingles that a task puts together before it deals them out, and documents whose shingles one part counts, roughly.
+CHUNK, DEALT = 1 << 20, 2000
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -57,14 +59,21 @@ def perhaps_similar(a: bytes, n_a: int, b: bytes, n_b: int) -> bool:
     return (OF + LEAST) * common >= LEAST * (n_a + n_b)
 
 
+def _weight(own: np.ndarray, often: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Each shingle's count in the sample, 0 where it is not among those that occur often."""
+    if not len(often):
+        return np.zeros(len(own), np.int64)
+    at = np.minimum(np.searchsorted(often, own), len(often) - 1)
+    return np.where(often[at] == own, counts[at], 0)
+
+
+def _prefix_length(n):
+    return n - (LEAST * n + OF - 1) // OF + 1
+
+
 def prefix(own: np.ndarray, often: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The first n - ceil(0.8 n) + 1 shingles by (count in the sample, hash)."""
-    weight = np.zeros(len(own), np.int64)
-    if len(often):
-        at = np.minimum(np.searchsorted(often, own), len(often) - 1)
-        weight = np.where(often[at] == own, counts[at], 0)
-    n = len(own)
-    return own[np.argsort(weight, kind="stable")[: n - (LEAST * n + OF - 1) // OF + 1]]
+    return own[np.argsort(_weight(own, often, counts), kind="stable")[: _prefix_length(len(own))]]
 
 
 def _flagged(df: DataFrame, column: str, others: DataFrame, other: str) -> tuple[DataFrame, str]:
@@ -201,33 +210,117 @@ def _against_heads(lists: DataFrame, turn: int) -> DataFrame:
     return often.groupBy("row").agg(F.max(F.struct("times", "by", "head")).alias("best")).select(F.col("best.head").alias("a"), F.col("row").alias("b"))
 
 
-def _by_frequency(lists: DataFrame, whole: DataFrame, scratch: Scratch) -> DataFrame:
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers below 2^32 byte plane by byte plane, compressed: small ones take one or two bytes each."""
+    return pa.compress(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(packed, 4 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel().astype(np.int64)
+
+
+def _nth(group: np.ndarray) -> np.ndarray:
+    """The place of each element, from 0, in its run of equal elements."""
+    at = np.arange(len(group))
+    return at - np.maximum.accumulate(np.where(np.r_[True, group[1:] != group[:-1]][: len(group)], at, 0))
+
+
+#: What chunks and parts send each other: a chunk's shingles in a part (a: shorts as steps, b: documents, c: how many documents hold each), or
+#: with a negative part its documents (a: rows, b: sizes, c: shingles to be counted; d, e, f: shingle, document and place of those put last).
+_SENT = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("chunk", T.LongType()), T.StructField("n", T.IntegerType()), *[T.StructField(c, T.BinaryType()) for c in "abcdef"]])
+
+
+def _sent(rows: list[tuple]) -> pa.RecordBatch:
+    schema = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("n", pa.int32()), *[(c, pa.binary()) for c in "abcdef"]])
+    return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows), schema)], schema=schema) if rows else pa.RecordBatch.from_pylist([], schema=schema)
+
+
+def _dealt(rows: list[int], sets: list[np.ndarray], often: np.ndarray, counts: np.ndarray, parts: int) -> pa.RecordBatch:
+    """A chunk of documents: its shingles for each part, and what the chunk needs again when their numbers come back."""
+    sizes, own = np.array([len(s) for s in sets], np.int64), np.concatenate(sets)
+    doc, weight = np.repeat(np.arange(len(sets)), sizes), _weight(own, often, counts)
+    counted = np.bincount(doc[weight == 0], minlength=len(sets))
+    tail = np.nonzero(weight)[0]
+    tail = tail[np.lexsort((own[tail], weight[tail], doc[tail]))]
+    place = counted[doc[tail]] + _nth(doc[tail]) + 1
+    near = place <= _prefix_length(sizes)[doc[tail]]
+    tail, place = tail[near], place[near]
+    as_bytes = lambda v: v.astype("<i8").tobytes()
+    sent = [(-1 - rows[0] % parts, rows[0], len(sets), as_bytes(np.array(rows, np.int64)), as_bytes(sizes), as_bytes(counted), own[tail].tobytes(), as_bytes(doc[tail]), as_bytes(place))]
+    short, doc = (own[weight == 0] >> np.uint64(32)).astype(np.int64), doc[weight == 0]
+    order = np.argsort(short, kind="stable")
+    short, doc = short[order], doc[order]
+    ends = np.searchsorted(short * parts >> 32, np.arange(parts + 1))
+    for part in np.nonzero(np.diff(ends))[0].tolist():
+        held = slice(ends[part], ends[part + 1])
+        sent.append((part, rows[0], int(ends[part + 1] - ends[part]), _packed(np.diff(short[held], prepend=0)), _packed(doc[held]), None, None, None, None))
+    return _sent(sent)
+
+
+def _numbered(found: pa.Table) -> pa.Table:
+    """What a part sends back: of each chunk the shingles that several documents hold, and how many do."""
+    rows = found.to_pylist()
+    if rows[0]["part"] < 0:
+        return found
+    shorts = [np.cumsum(_unpacked(r["a"], r["n"])) for r in rows]
+    _, which, times = np.unique(np.concatenate(shorts), return_inverse=True, return_counts=True)
+    times, at, sent = times[which], 0, []
+    for r, short in zip(rows, shorts):
+        n = times[at : at + len(short)]
+        at, several = at + len(short), n > 1
+        if several.any():
+            sent.append((r["part"], r["chunk"], int(several.sum()), _packed(np.diff(short[several], prepend=0)), _packed(_unpacked(r["b"], r["n"])[several]), _packed(n[several]), None, None, None))
+    return pa.Table.from_batches([_sent(sent)])
+
+
+def _cut(found: pa.Table) -> pa.Table:
+    """The new prefixes of a chunk's documents, without the shingles of one document."""
+    rows = found.to_pylist()
+    own = next(r for r in rows if r["part"] < 0)
+    row, size, counted, tail, tail_doc, tail_place = (np.frombuffer(own[c], "<i8") for c in "abcdef")
+    came = [(_unpacked(r["b"], r["n"]), _unpacked(r["c"], r["n"]), np.cumsum(_unpacked(r["a"], r["n"]))) for r in rows if r["part"] >= 0]
+    doc, times, short = (np.concatenate([np.zeros(0, np.int64), *v]) for v in (zip(*came) if came else ((), (), ())))
+    order = np.lexsort((short, times, doc))
+    doc, short = doc[order], short[order]
+    place = (counted - np.bincount(doc, minlength=len(row)))[doc] + _nth(doc) + 1
+    near = place <= _prefix_length(size)[doc]
+    doc, short, place = (np.concatenate(v) for v in ((doc[near], tail_doc), (short[near], tail), (place[near], tail_place)))
+    return pa.table({"shingle": pa.array(short, pa.int64()), "row": pa.array(row[doc], pa.int64()), "size": pa.array(size[doc].astype(np.int32)), "place": pa.array(place.astype(np.int32))})
+
+
+def _by_frequency(lists: DataFrame, whole: DataFrame, scratch: Scratch, often: np.ndarray = np.zeros(0, np.uint64), counts: np.ndarray = np.zeros(0, np.int64)) -> DataFrame:
     """(shingle, row, size, place): prefixes of the documents of ``lists`` anew, their shingles ordered by the number of those documents that hold them.
 
     Similar documents that are not connected yet share a list, so no others matter, and any
     order is right. Shingles of one document come first and meet nobody: a document that has
-    as many of them as its prefix is long drops out, whatever passages it shares with others. Numbers are those of
-    a shorter hash, which orders alike wherever the shingle occurs. ``place`` counts from 1.
+    as many of them as its prefix is long drops out, whatever passages it shares with others. Those
+    that a sample shows often come last, uncounted. Numbers are those of
+    a shorter hash, which orders alike wherever the shingle occurs and names its list; others of the same hash only lengthen it. ``place`` counts from 1.
+
+    Chunks of documents send their shingles to parts as packed arrays, and parts send back
+    the numbers of those that are shared: a row for each chunk and part instead of one for each shingle.
     """
     # by a bitmap alone, which spares a shuffle of the texts: some documents more do no harm
-    few = _perhaps_among(whole, "row", lists.select("row").distinct(), "row").select("row", "text")
+    rows = scratch.keep(lists.select("row").distinct(), "few")
+    few, parts = _perhaps_among(whole, "row", rows, "row").select("row", "text"), max(1, rows.count() // DEALT)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, sets, held = [], [], 0
         for batch in batches:
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = shingles(text.as_py()).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), row)), pa.array(np.full(len(own), len(own), np.int32))], names=["shingle", "row", "size"])
-
-    every = few.mapInArrow(task, "shingle long, row long, size int").withColumn("short", F.hash("shingle"))
-    common = scratch.keep(every.groupBy("short").agg(F.count("*").alias("n")).where("n > 1"), "common")
-    total = common.agg(F.sum("n")).first()[0] or 0
-    met = spread_join(_perhaps_among(every, "short", common, "short"), common, "short", ["row"], total, sizes=common)
-    held = met.groupBy("row", "size").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("own"))
-    alone = F.col("size") - F.size("own")
-    length = F.col("size") - F.ceil(F.col("size") * LEAST / OF).cast("int") + 1
-    cut = held.where(length > alone).select("row", "size", alone.alias("alone"), F.posexplode(F.slice("own", F.lit(1), length - alone)).alias("at", "s"))
-    found = scratch.keep(cut.select(F.col("s.shingle").alias("shingle"), "row", "size", (F.col("alone") + F.col("at") + 1).alias("place")), "ordered")
-    scratch.drop("common")
+                names.append(row)
+                sets.append(shingles(text.as_py()))
+                held += len(sets[-1])
+                if held >= CHUNK:
+                    yield _dealt(names, sets, often, counts, parts)
+                    names, sets, held = [], [], 0
+        if names:
+            yield _dealt(names, sets, often, counts, parts)
+
+    numbered = few.mapInArrow(task, _SENT).groupBy("part").applyInArrow(_numbered, _SENT)
+    found = scratch.keep(numbered.groupBy("chunk").applyInArrow(_cut, "shingle long, row long, size int, place int"), "ordered")
+    scratch.drop("few")
     scratch.settle()
     return found
 
@@ -256,7 +349,7 @@ def _by_fingerprint(texts: DataFrame, scratch: Scratch) -> DataFrame:
     return same.unionByName(spread_join(one, prints.select(F.col("bits").alias("other"), "a"), "other", ["b"], linked.count(), sizes=linked.groupBy("other").agg(F.count("*").alias("n"))).select("a", "b"))
 
 
-def _components(texts: DataFrame, whole: DataFrame, scratch: Scratch) -> DataFrame:
+def _components(texts: DataFrame, whole: DataFrame, scratch: Scratch, often: np.ndarray, counts: np.ndarray) -> DataFrame:
     """(bits, root): the least row of the component of each row that is similar to another.
 
     ``texts`` holds row, size, prefix, sketch and bits of the distinct sets, ``whole`` row and text.
@@ -288,7 +381,7 @@ def _components(texts: DataFrame, whole: DataFrame, scratch: Scratch) -> DataFra
         last = turn == ROUNDS or left["pairs"] <= 4 * left["rows"] or left["pairs"] > before / 2
         before = left["pairs"]
         if last and left["pairs"] > 4 * left["rows"]:
-            lists, name = _mixed(_by_frequency(lists, whole, scratch), labels, scratch, "lists_last"), "lists_last"
+            lists, name = _mixed(_by_frequency(lists, whole, scratch, often, counts), labels, scratch, "lists_last"), "lists_last"
         pairs = scratch.keep(_all_pairs(lists) if last else _against_heads(lists, turn), f"pairs{turn}")
         found = _confirmed(pairs, texts, whole, scratch, f"found{turn}")
         scratch.drop(f"pairs{turn}")
@@ -309,7 +402,8 @@ def keep_first(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     whatever their names; an empty table gives no rows.
     """
     scratch, names, mark = Scratch(docs.sparkSession), docs.columns, free_prefix(docs.columns)
-    described = _described(docs, text_column, mark, *_often(docs, text_column, scratch)).withColumn(f"{mark}row", F.monotonically_increasing_id())
+    often, counts = _often(docs, text_column, scratch)
+    described = _described(docs, text_column, mark, often, counts).withColumn(f"{mark}row", F.monotonically_increasing_id())
     stored = scratch.keep(described, "documents")
     total = stored.count()
     plain = stored.select(*[F.col(mark + c).alias(c) for c in ("row", "set", "size", "prefix", "sketch", "bits")])
@@ -319,7 +413,7 @@ def keep_first(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     copies = scratch.keep(spread_join(_perhaps_among(rows, "set", several, "set"), several.drop("n"), "set", ["row"], total, sizes=several).where(F.col("row") != F.col("first.row")).select("row"), "copies")
     # read again where it is used: a table of its own would hold the prefixes and sketches twice
     texts = _without(plain.drop("set"), "row", copies, "row")
-    labels = _components(texts, stored.select(F.col(f"{mark}row").alias("row"), F.col(text_column).alias("text")), scratch)
+    labels = _components(texts, stored.select(F.col(f"{mark}row").alias("row"), F.col(text_column).alias("text")), scratch, often, counts)
     member = scratch.keep(first.select("first", F.col("first.row").alias("bits")).join(labels, "bits"), "member")
     least = member.groupBy("root").agg(F.min("first").alias("least"))
     later = spread_join(member, least, "root", ["bits"], member.count()).where(F.col("first.row") != F.col("least.row")).select(F.col("first.row").alias("row"))

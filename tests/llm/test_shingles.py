@@ -1,6 +1,7 @@
 """The last round of near-duplicates against every pair."""
 
 import random
+from collections import Counter
 
 import numpy as np
 
@@ -46,3 +47,28 @@ def test_places_of_plain_prefixes_lose_no_similar_pair(spark):
     n = lists.groupBy("shingle").count().withColumnRenamed("count", "n")
     proposed = {(r["a"], r["b"]) for r in sh._all_pairs(lists.join(n, "shingle")).collect()}
     assert {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if sh.similar(sets[a], sets[b])} <= proposed
+
+
+def test_shingles_travel_in_chunks_and_parts(spark, monkeypatch):
+    """Many chunks and parts, some shingles put last uncounted: no similar pair is lost, numbers are exact, and no row is sent for a single shingle."""
+    monkeypatch.setattr(sh, "CHUNK", 1500)
+    monkeypatch.setattr(sh, "DEALT", 30)
+    texts = corpus() + ["", "two words"]
+    sets = [sh.shingles(t) for t in texts]
+    held = Counter(s for own in sets for s in own.tolist())
+    often = np.array(sorted(s for s, n in held.items() if n > 20), np.uint64)
+    counts = np.array([held[s] for s in often.tolist()], np.int64)
+    lists = spark.createDataFrame([(1, i) for i in range(len(texts))], "shingle long, row long")
+    ordered = sh._by_frequency(lists, spark.createDataFrame(list(enumerate(texts)), "row long, text string"), Scratch(spark), often, counts)
+    got = {(r["row"], r["place"]): r["shingle"] for r in ordered.collect()}
+    for row, own in enumerate(sets):
+        last = dict(zip(often.tolist(), counts.tolist()))
+        order = sorted(own.tolist(), key=lambda s: (last.get(s, 0), 0 if s in last else held[s], s))
+        names = [s - (1 << 64) * (s >> 63) if s in last else s >> 32 for s in order]
+        wanted = {(row, k + 1): n for k, (s, n) in enumerate(zip(order, names)) if held[s] > 1 and k < len(own) - (4 * len(own) + 4) // 5 + 1}
+        assert {at: s for at, s in got.items() if at[0] == row} == wanted
+    n = ordered.groupBy("shingle").count().withColumnRenamed("count", "n")
+    proposed = {(r["a"], r["b"]) for r in sh._all_pairs(ordered.join(n, "shingle").withColumn("label", ordered["row"])).collect()}
+    assert {(a, b) for a in range(160) for b in range(a + 1, len(sets)) if len(sets[b]) and sh.similar(sets[a], sets[b])} <= proposed
+    sent = sh._dealt(list(range(len(sets))), sets, often, counts, 5)
+    assert sent.num_rows == 6 and sum(n for part, n in zip(sent.column(0).to_pylist(), sent.column(2).to_pylist()) if part >= 0) == sum(len(own) - len(np.intersect1d(own, often)) for own in sets)
