@@ -25,7 +25,7 @@ from strandline.llm.simhash import fingerprint_of, hashed_shingles, links, roots
 WIDTH, LEAST, OF = 5, 4, 5
 #: Documents whose shingles are counted and shingles put last at most. They set the order only, never the result.
 COUNTED, LAST = 5000, 100_000
-#: Documents of a shingle that one cell compares, and rounds against heads at most before the rest is compared pair by pair.
+#: Documents of a shingle that one cell compares, and rounds against heads at most, before and after shingles are put in exact order; then the rest is compared pair by pair.
 CELL, ROUNDS = 1024, 4
 #: Words of 64 bits in a broadcast bitmap.
 BITMAP = 1 << 18
@@ -201,9 +201,14 @@ def _mixed(lists: DataFrame, labels: DataFrame | None, scratch: Scratch, name: s
     return found
 
 
-def _against_heads(lists: DataFrame, turn: int) -> DataFrame:
-    """(a, b): each document b with that head of its lists which it meets most often. The rest is left to later rounds."""
-    head = lists.groupBy("shingle").agg(F.min(F.struct(F.xxhash64("row", F.lit(turn)).alias("by"), F.col("row").alias("head"), F.col("size").alias("head_size"), F.col("label").alias("head_label"))).alias("h")).select("shingle", "h.*")
+def _against_heads(lists: DataFrame, turn: int, central: bool = False) -> DataFrame:
+    """(a, b): each document b with that head of its lists which it meets most often. The rest is left to later rounds.
+
+    A central head has the fewest shingles before the list's, so the fewest rare ones: among near
+    copies that is the text they were made from, which is similar to many of them. Others are drawn by a hash.
+    """
+    by = F.xxhash64("row", F.lit(turn))
+    head = lists.groupBy("shingle").agg(F.min(F.struct((F.struct("place", by) if central else by).alias("by"), F.col("row").alias("head"), F.col("size").alias("head_size"), F.col("label").alias("head_label"))).alias("h")).select("shingle", "h.*")
     sizes = lists.groupBy("shingle").agg(F.first("n").alias("n"))
     met = spread_join(lists, head, "shingle", ["row"], lists.count(), sizes=sizes).where((F.col("label") != F.col("head_label")) & _fit("size", "head_size"))
     often = met.groupBy("row", "head", "by").agg(F.count("*").alias("times"))
@@ -353,9 +358,10 @@ def _components(texts: DataFrame, whole: DataFrame, scratch: Scratch, often: np.
     """(bits, root): the least row of the component of each row that is similar to another.
 
     ``texts`` holds row, size, prefix, sketch and bits of the distinct sets, ``whole`` row and text.
-    What the fingerprints propose and one head for each shingle are compared first, which
+    What the fingerprints propose and one central head for each shingle are compared first, which
     connects nearly all members of a large group of near copies; only documents that
-    still are not connected are then put in order by the shingles' frequencies and compared pair by pair.
+    still are not connected are then put in order by the shingles' frequencies. In that order
+    heads come first again, as central ones may differ from those by the sample; the rest is compared pair by pair.
     """
     # counted by a shorter hash, which also lets a few shingles of one document pass; _mixed drops them
     postings, short = texts.select(F.posexplode("prefix").alias("at", "shingle"), "row", "size").select("shingle", "row", "size", (F.col("at") + 1).alias("place")), F.hash("shingle")
@@ -366,26 +372,32 @@ def _components(texts: DataFrame, whole: DataFrame, scratch: Scratch, often: np.
     lists = _mixed(near, None, scratch, name)
     # sum of n over the rows is the sum of squared lengths
     before = lists.agg(F.sum("n")).first()[0] or 0
-    proposed = scratch.keep(_by_fingerprint(texts, scratch).unionByName(_against_heads(lists, 0)).distinct(), "proposed")
+    proposed = scratch.keep(_by_fingerprint(texts, scratch).unionByName(_against_heads(lists, 0, central=True)).distinct(), "proposed")
     edges = _confirmed(proposed, texts, whole, scratch, "found")
-    labels, joined = roots(edges, scratch), True
+    labels, joined, ordered = roots(edges, scratch), True, 0
     scratch.drop("near", "prints", "links", "proposed")
-    for turn in range(1, ROUNDS + 1):
-        if joined:  # otherwise the lists stay, and what they hold is compared pair by pair
+    size = lambda: lists.agg(F.sum("n").alias("pairs"), F.count("*").alias("rows")).first()
+    for turn in range(1, 2 * ROUNDS + 1):
+        if joined:  # otherwise the lists stay
             unmixed, name = name, f"lists{turn}"
             lists = _mixed(lists, labels, scratch, name)
             scratch.drop(unmixed)
-        left = lists.agg(F.sum("n").alias("pairs"), F.count("*").alias("rows")).first()
+        left = size()
+        if left["rows"] and left["pairs"] > 4 * left["rows"] and not ordered and (turn == ROUNDS or left["pairs"] > before / 2):
+            unmixed, name, ordered = name, "lists_ordered", turn
+            lists = _mixed(_by_frequency(lists, whole, scratch, often, counts), labels, scratch, name)
+            scratch.drop(unmixed, "ordered")
+            left = size()
         if not left["rows"]:
             break
-        last = turn == ROUNDS or left["pairs"] <= 4 * left["rows"] or left["pairs"] > before / 2
         before = left["pairs"]
-        if last and left["pairs"] > 4 * left["rows"]:
-            lists, name = _mixed(_by_frequency(lists, whole, scratch, often, counts), labels, scratch, "lists_last"), "lists_last"
-        pairs = scratch.keep(_all_pairs(lists) if last else _against_heads(lists, turn), f"pairs{turn}")
+        # in exact order, heads are tried as long as a quarter of what they meet is similar
+        last = left["pairs"] <= 4 * left["rows"] or ordered and (turn >= ordered + ROUNDS or turn > ordered and few)
+        pairs = scratch.keep(_all_pairs(lists) if last else _against_heads(lists, turn, central=turn == ordered), f"pairs{turn}")
         found = _confirmed(pairs, texts, whole, scratch, f"found{turn}")
+        n = found.count()
+        joined, few = n > 0, 4 * n < pairs.count()
         scratch.drop(f"pairs{turn}")
-        joined = found.limit(1).count() > 0
         if joined:
             edges = edges.unionByName(found)
             labels = roots(edges, scratch)

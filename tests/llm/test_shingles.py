@@ -72,3 +72,32 @@ def test_shingles_travel_in_chunks_and_parts(spark, monkeypatch):
     assert {(a, b) for a in range(160) for b in range(a + 1, len(sets)) if len(sets[b]) and sh.similar(sets[a], sets[b])} <= proposed
     sent = sh._dealt(list(range(len(sets))), sets, often, counts, 5)
     assert sent.num_rows == 6 and sum(n for part, n in zip(sent.column(0).to_pylist(), sent.column(2).to_pylist()) if part >= 0) == sum(len(own) - len(np.intersect1d(own, often)) for own in sets)
+
+
+def test_a_large_group_of_near_copies_is_compared_with_its_centre(spark, monkeypatch):
+    """Copies of one text, many of them too different to be similar to each other: pairs grow with the copies, not with their square."""
+    rng, proposed = random.Random(8), []
+    word = lambda: f"w{rng.randrange(5000)}"
+    base = [word() for _ in range(150)]
+    texts = [" ".join(base)]
+    for i in range(400):
+        copy = list(base)
+        for at in rng.sample(range(150), 1 + i % 5):
+            copy[at] = word()
+        texts.append(" ".join(copy))
+    confirmed = sh._confirmed
+    monkeypatch.setattr(sh, "_confirmed", lambda pairs, *rest: proposed.append(pairs.count()) or confirmed(pairs, *rest))
+    docs = spark.createDataFrame([(1000 - i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = {r["doc_id"] for r in sh.keep_first(docs).collect()}
+    sets, root = [sh.shingles(t) for t in reversed(texts)], list(range(len(texts)))
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    for a in range(len(sets)):
+        for b in range(a):
+            if sh.similar(sets[a], sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    assert got == {600 + i for i in range(len(sets)) if find(i) == i} and len(got) > 100
+    assert sum(proposed) < 5 * len(texts)
