@@ -354,6 +354,16 @@ def _by_fingerprint(texts: DataFrame, scratch: Scratch) -> DataFrame:
     return same.unionByName(spread_join(one, prints.select(F.col("bits").alias("other"), "a"), "other", ["b"], linked.count(), sizes=linked.groupBy("other").agg(F.count("*").alias("n"))).select("a", "b"))
 
 
+def _relabelled(labels: DataFrame, found: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(bits, root) after further links. Only the links and the roots they touch go through the rounds of labels, not all earlier links again."""
+    total, known = found.count(), labels.select(F.col("bits").alias("end"), "root")
+    one = spread_join(found.withColumnRenamed("bits", "end"), known, "end", ["other"], total, "left").select(F.coalesce("root", "end").alias("bits"), "other")
+    both = spread_join(one.withColumnRenamed("other", "end"), known, "end", ["bits"], total, "left").select("bits", F.coalesce("root", "end").alias("other"))
+    new = roots(scratch.keep(both.where("bits <> other").distinct(), f"{name}_links"), scratch)
+    moved = spread_join(labels, new.select(F.col("bits").alias("root"), F.col("root").alias("least")), "root", ["bits"], labels.count(), "left").select("bits", F.coalesce("least", "root").alias("root"))
+    return scratch.keep(moved.unionByName(new.join(labels.select("bits"), "bits", "left_anti")), name)
+
+
 def _components(texts: DataFrame, whole: DataFrame, scratch: Scratch, often: np.ndarray, counts: np.ndarray) -> DataFrame:
     """(bits, root): the least row of the component of each row that is similar to another.
 
@@ -399,8 +409,7 @@ def _components(texts: DataFrame, whole: DataFrame, scratch: Scratch, often: np.
         joined, few = n > 0, 4 * n < pairs.count()
         scratch.drop(f"pairs{turn}")
         if joined:
-            edges = edges.unionByName(found)
-            labels = roots(edges, scratch)
+            labels = _relabelled(labels, found, scratch, f"joined{turn}")
         if last:
             break
     return labels

@@ -101,3 +101,18 @@ def test_a_large_group_of_near_copies_is_compared_with_its_centre(spark, monkeyp
                 root[max(x, y)] = min(x, y)
     assert got == {600 + i for i in range(len(sets)) if find(i) == i} and len(got) > 100
     assert sum(proposed) < 5 * len(texts)
+
+
+def test_further_links_join_the_labels_of_what_they_connect(spark, monkeypatch):
+    """A large component gets new links: labels are those of all links together, and only new links go through the rounds."""
+    rng, seen = random.Random(3), []
+    first = [(0, i) for i in range(1, 700)] + [(1000 + i, 1001 + i) for i in range(0, 40, 2)]
+    further = [(690 + k, 1000 + 2 * k) for k in range(5)] + [(2000, 1030), (3000, 3001), (3001, 2999)] + [(4000, 1038 + k) for k in (0, 1)]
+    frame = lambda rows: spark.createDataFrame(rng.sample(rows, len(rows)), "bits long, other long")
+    roots, scratch = sh.roots, Scratch(spark)
+    want = {(r["bits"], r["root"]) for r in roots(frame(first + further), Scratch(spark)).collect()}
+    labels = roots(frame(first), scratch)
+    monkeypatch.setattr(sh, "roots", lambda edges, scratch: seen.append(edges.count()) or roots(edges, scratch))
+    got = sh._relabelled(labels, frame(further), scratch, "joined").collect()
+    assert {(r["bits"], r["root"]) for r in got} == want and len(got) == len(want)
+    assert seen[0] <= len(further)
